@@ -16,6 +16,12 @@ def clip(value: Column, low=None, high=None) -> Column:
     return F.when(value.isNotNull(), bounded)
 
 
+def known(value: Column) -> Column:
+    """The number, or null where it is NaN: Spark would rank NaN above every number."""
+    number = value.cast("double")
+    return F.when(~F.isnan(number), number)
+
+
 def finite(value: Column) -> Column:
     """The value, or null where it is NaN or infinite."""
     number = value.cast("double")

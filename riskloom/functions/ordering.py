@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .attach import attach
+
 SAMPLE_PER_GROUP = 2048
 OUTER_CELLS = 16
 INNER_CELLS = 32
@@ -71,7 +73,7 @@ def value_steps(
     edges = _bucket_edges(distinct, keys, value, names)
     outer = _below(F.col("_coarse"), value)
     placed = (
-        distinct.join(edges, keys)
+        attach(distinct, edges, keys, spread_on=value)
         .withColumn("_outer", outer)
         .withColumn("_bucket", F.col("_outer") * INNER_CELLS + _below(F.element_at("_fine", F.col("_outer") + 1), value))
         .select(*keys, "_bucket", value, *names)
@@ -130,12 +132,13 @@ def order_statistics(
 
 
 def rank_within(
-    df: DataFrame, by: list[str], bucket: Column, order: list[Column]
+    df: DataFrame, by: list[str], bucket: Column, order: list[Column], limit: int | None = None
 ) -> DataFrame:
     """1-based ``rank`` of each row and the ``group_size``, for an order that refines ``bucket``.
 
     ``bucket`` must be non-decreasing in the order and spread rows evenly, for instance the
-    leading bits of a hash of a unique key.
+    leading bits of a hash of a unique key. With ``limit`` only the first rows of each group
+    are kept, and buckets that lie wholly beyond it are dropped before anything is sorted.
     """
     keys = by or ["_whole"]
     placed = df.withColumn("_bucket", bucket)
@@ -152,7 +155,11 @@ def rank_within(
             F.sum("count").over(Window.partitionBy(*keys)).alias("group_size"),
         )
     )
+    if limit is not None:
+        offsets = offsets.filter(F.col("_below") < limit)
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    ranked = placed.withColumn("_inside", F.row_number().over(inside)).join(offsets, [*keys, "_bucket"])
+    ranked = placed.join(offsets, [*keys, "_bucket"]).withColumn("_inside", F.row_number().over(inside))
     out = ranked.withColumn("rank", F.col("_inside") + F.col("_below"))
+    if limit is not None:
+        out = out.filter(F.col("rank") <= limit)
     return out.drop("_bucket", "_inside", "_below", *([] if by else ["_whole"]))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import clip, finite, ratio_floor, total
+from ..functions import clip, known, ratio_floor, total
 
 PAYMENT_FEATURES = [
     "on_time_payment_rate",
@@ -30,7 +30,7 @@ TREND_PAYMENTS = 3
 def _calendar(payments: DataFrame, key: str) -> DataFrame:
     on_time = F.coalesce(F.col("payment_status") == "on_time", F.lit(False))
     missed = F.coalesce(F.col("payment_status") == "missed", F.lit(False))
-    paid_ratio = ratio_floor(finite(F.col("amount_paid")), finite(F.col("amount_due")))
+    paid_ratio = ratio_floor(known(F.col("amount_paid")), known(F.col("amount_due")))
     return (
         payments.select(
             key,

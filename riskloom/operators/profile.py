@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import clip, finite, ratio_floor
+from ..functions import clip, known, ratio_floor
 from ..sources.schemas import CATEGORICAL_COLUMNS
 
 PROFILE_FEATURES = [
@@ -36,7 +36,7 @@ CROSSES = {
 
 
 def _number(name: str):
-    return finite(F.col(name))
+    return known(F.col(name))
 
 
 def _profile_columns():

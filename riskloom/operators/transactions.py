@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import cutoff, finite, month_start, rate_or_zero, total
+from ..functions import cutoff, known, month_start, rate_or_zero, total
 
 DEFAULT_REFERENCE_DATE = "2024-12-31"
 VELOCITY_DAYS = (7, 30, 90)
@@ -37,7 +37,7 @@ TRANSACTION_FEATURES = [*VELOCITY_FEATURES, *SPEND_FEATURES, *BEHAVIOR_FEATURES,
 
 
 def _amount() -> Column:
-    return finite(F.col("amount"))
+    return known(F.col("amount"))
 
 
 def _weekend() -> Column:

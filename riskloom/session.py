@@ -23,6 +23,8 @@ def build_session(master: str | None = None, app: str = "riskloom", **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Recording a Python stack per column expression doubles the time to build wide plans.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
     }
     for name, value in settings.items():
@@ -41,3 +43,15 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
         root = tempfile.mkdtemp(prefix="riskloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def materialize(df, purpose: str):
+    """Write ``df`` once to the shared folder and read it back.
+
+    For results that several jobs read: it cuts the lineage, outlives lost executors and, as
+    parquet, still lets later jobs read only the columns they need.
+    """
+    spark = df.sparkSession
+    path = shared_folder(spark, purpose)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
