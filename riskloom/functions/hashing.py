@@ -22,7 +22,7 @@ def hash_bucket(hashed: Column) -> Column:
 
 def uniform(key: Column, salt: str) -> Column:
     """A draw from [0, 1) for the key."""
-    return F.pmod(F.xxhash64(key.cast("string"), F.lit(salt)), F.lit(1_000_000)) / F.lit(1e6)
+    return key_hash(key, salt) / F.lit(float(2**HASH_BITS))
 
 
 def choose(key: Column, salt: str, shares: dict[str, float]) -> Column:

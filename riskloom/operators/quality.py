@@ -261,3 +261,9 @@ def split_valid(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, Dat
     """The valid rows, and the quarantined rows with their reasons."""
     judged = with_violations(df, rules)
     return judged.filter(F.size("violations") == 0).drop("violations"), judged.filter(F.size("violations") > 0)
+
+
+def violation_counts(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """Rows broken per rule, for the rules that are broken at all."""
+    reasons = with_violations(df, rules).select(F.explode("violations").alias("reason"))
+    return reasons.groupBy("reason").agg(F.count(F.lit(1)).alias("rows"))

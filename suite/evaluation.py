@@ -130,7 +130,7 @@ def _(spark, folder):
     "decisions_by_tier",
     with_views(
         ["scored"],
-        f"""SELECT risk_tier, decision, count(*) AS applications, round(avg(pd), 6) AS avg_pd,
+        f"""SELECT risk_tier, decision, count(*) AS applications, round(avg(pd), 9) AS avg_pd,
   round(sum(expected_loss), 4) AS expected_loss, round(avg(credit_score), 6) AS avg_score
 FROM ({SCORE_SQL.format(ead=_OWN_EAD)}) s GROUP BY ROLLUP (risk_tier, decision)""",
     ),
@@ -141,7 +141,7 @@ def _(spark, folder):
         "risk_tier",
         "decision",
         "applications",
-        F.round("avg_pd", 6).alias("avg_pd"),
+        F.round("avg_pd", 9).alias("avg_pd"),
         F.round("expected_loss", 4).alias("expected_loss"),
         F.round("avg_score", 6).alias("avg_score"),
     )
@@ -275,7 +275,7 @@ def _(spark, folder):
         f"""WITH long AS ({_LONG}),
 edges AS (SELECT model, list_distinct(quantile_cont(prob, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])) AS e
   FROM long GROUP BY model),
-placed AS (SELECT *, greatest(1, len(list_filter(e, x -> x < prob)))::INT AS decile FROM long JOIN edges USING (model))
+placed AS (SELECT *, greatest(1, len(list_filter(e, lambda x: x < prob)))::INT AS decile FROM long JOIN edges USING (model))
 SELECT model, decile, count(*) AS count, sum(label)::BIGINT AS default_count, round(avg(label), 6) AS default_rate,
   round(avg(prob), 6) AS avg_predicted_pd, round(min(prob), 6) AS min_pd, round(max(prob), 6) AS max_pd
 FROM placed GROUP BY model, decile""",

@@ -217,11 +217,6 @@ def _reasons_sql(view: str, rules: dict[str, str]) -> str:
     )
 
 
-def _reasons(df, rules):
-    _, rejected = quality.split_valid(df, rules)
-    return rejected.select(F.explode("violations").alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("rows"))
-
-
 @query(
     "borrower_violations",
     with_views(
@@ -237,7 +232,7 @@ def _reasons(df, rules):
     ),
 )
 def _(spark, folder):
-    return _reasons(table(spark, folder, "borrowers"), quality.borrower_rules())
+    return quality.violation_counts(table(spark, folder, "borrowers"), quality.borrower_rules())
 
 
 @query(
@@ -250,7 +245,7 @@ def _(spark, folder):
 )
 def _(spark, folder):
     shifted = table(spark, folder, "recent_transactions").withColumn("amount", F.col("amount") - 2)
-    return _reasons(shifted, quality.transaction_rules())
+    return quality.violation_counts(shifted, quality.transaction_rules())
 
 
 @query(
@@ -263,7 +258,7 @@ def _(spark, folder):
 )
 def _(spark, folder):
     shifted = table(spark, folder, "payments").withColumn("days_past_due", F.col("days_past_due") - 1)
-    return _reasons(shifted, quality.payment_rules())
+    return quality.violation_counts(shifted, quality.payment_rules())
 
 
 @query("standard_columns", with_views(["borrowers"], f"SELECT {', '.join(BORROWER_COLUMNS)} FROM borrowers"))
