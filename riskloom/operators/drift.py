@@ -15,6 +15,7 @@ from ..functions.hashing import uniform
 from .encode import long_form, numeric_columns
 
 BINS = 10
+OUTSIDE = -1
 SMALLEST_SHARE = 1e-6
 WARNING_PSI, ALERT_PSI = 0.10, 0.25
 
@@ -56,39 +57,57 @@ def feature_ranges(df: DataFrame, columns: list[str], bins: int = BINS) -> DataF
     )
 
 
-def _counts(df: DataFrame, columns: list[str], ranges: DataFrame, bins: int, keep: list[str]) -> DataFrame:
-    """Counts per feature and bin. ``ranges`` has one row per column of the frame: small by construction."""
-    values = long_form(df, columns, keep).withColumn("value", known(F.col("value"))).filter(F.col("value").isNotNull())
+def bin_counts(
+    df: DataFrame, columns: list[str], ranges: DataFrame, bins: int = BINS, by: list[str] | None = None
+) -> DataFrame:
+    """Rows per feature and bin, with ``OUTSIDE`` for values beyond the reference range.
+
+    ``ranges`` has one row per column of the frame, so broadcasting it is bounded by the width
+    of the table, not by its length. Counts of several parts can be added up.
+    """
+    by = by or []
+    value, low, high = F.col("value"), F.col("low"), F.col("high")
+    values = long_form(df, columns, by).withColumn("value", known(value)).filter(value.isNotNull())
+    place = F.when(value.between(low, high), _bin(value, low, F.col("width"), bins)).otherwise(F.lit(OUTSIDE))
     return (
         values.join(F.broadcast(ranges), "feature")
-        .filter(F.col("value").between(F.col("low"), F.col("high")))
-        .withColumn("bin", _bin(F.col("value"), F.col("low"), F.col("width"), bins))
-        .groupBy(*keep, "feature", "bin")
+        .withColumn("bin", place)
+        .groupBy(*by, "feature", "bin")
         .agg(F.count(F.lit(1)).alias("rows"))
     )
 
 
+def bin_shares(counts: DataFrame, bins: int = BINS, by: list[str] | None = None) -> DataFrame:
+    """Shares over all bins, empty ones included, of every feature that has a value at all."""
+    keys = [*(by or []), "feature"]
+    inside = F.col("bin") != OUTSIDE
+    per_bin = [
+        F.coalesce(F.sum(F.when(F.col("bin") == k, F.col("rows"))), F.lit(0)).alias(f"bin_{k}") for k in range(bins)
+    ]
+    whole = F.greatest(F.coalesce(F.sum(F.when(inside, F.col("rows"))), F.lit(0)), F.lit(1)).alias("total")
+    entries = F.array(
+        *[
+            F.struct(F.lit(k).alias("bin"), (F.col(f"bin_{k}") / F.col("total")).alias("current_share"))
+            for k in range(bins)
+        ]
+    )
+    return counts.groupBy(*keys).agg(*per_bin, whole).select(*keys, F.inline(entries))
+
+
 def reference_bins(df: DataFrame, columns: list[str] | None = None, bins: int = BINS) -> DataFrame:
     """The reference distribution: (feature, bin, low, high, width, share) with empty bins included."""
     columns = columns or numeric_columns(df)
     ranges = feature_ranges(df, columns, bins)
-    counted = _counts(df, columns, ranges, bins, [])
-    spine = ranges.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    totals = counted.groupBy("feature").agg(F.sum("rows").alias("total"))
-    return (
-        spine.join(counted, ["feature", "bin"], "left")
-        .join(totals, "feature")
-        .select(
-            "feature",
-            "bin",
-            "low",
-            "high",
-            "width",
-            (F.coalesce(F.col("rows"), F.lit(0)) / F.col("total")).alias("share"),
-        )
+    shares = bin_shares(bin_counts(df, columns, ranges, bins), bins)
+    return shares.join(F.broadcast(ranges), "feature").select(
+        "feature", "bin", "low", "high", "width", F.col("current_share").alias("share")
     )
 
 
+def reference_ranges(reference: DataFrame) -> DataFrame:
+    return reference.filter(F.col("bin") == 0).select("feature", "low", "high", "width")
+
+
 def current_bins(
     df: DataFrame, reference: DataFrame, columns: list[str], bins: int = BINS, by: list[str] | None = None
 ) -> DataFrame:
@@ -97,27 +116,7 @@ def current_bins(
     Only features present here with at least one value appear. ``by`` compares several data
     sets (scenarios, days) at once.
     """
-    by = by or []
-    ranges = reference.select("feature", "low", "high", "width").distinct()
-    counted = _counts(df, columns, ranges, bins, by)
-    seen = df.groupBy(*by).agg(*[F.count(known(F.col(c))).alias(c) for c in columns])
-    present = (
-        seen.unpivot(by, columns, "feature", "values").filter(F.col("values") > 0).select(*by, "feature")
-    )
-    totals = counted.groupBy(*by, "feature").agg(F.sum("rows").alias("total"))
-    spine = present.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    return (
-        spine.join(counted, [*by, "feature", "bin"], "left")
-        .join(totals, [*by, "feature"], "left")
-        .select(
-            *by,
-            "feature",
-            "bin",
-            (F.coalesce(F.col("rows"), F.lit(0)) / F.greatest(F.coalesce(F.col("total"), F.lit(1)), F.lit(1))).alias(
-                "current_share"
-            ),
-        )
-    )
+    return bin_shares(bin_counts(df, columns, reference_ranges(reference), bins, by), bins, by)
 
 
 def stability_index(current: DataFrame, reference: DataFrame, by: list[str] | None = None) -> DataFrame:

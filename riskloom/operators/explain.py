@@ -90,7 +90,7 @@ def global_importance(explained: DataFrame, features: list[str]) -> DataFrame:
     Arrays are exploded into (feature, contribution) and combined map-side: the shuffle holds
     one row per feature and task.
     """
-    long = explained.select(F.inline("contributions"))
+    long = explained.select(F.inline_outer("contributions"))
     importance = long.groupBy("feature").agg(F.avg(F.abs("contribution")).alias("importance"))
     return importance.filter(F.col("feature").isin(features)).orderBy(F.col("importance").desc(), "feature")
 
@@ -111,14 +111,22 @@ def local_explanation(explained: DataFrame, key: str, n: int = MAX_LISTED) -> Da
 
 
 def contribution_rows(explained: DataFrame, key: str, column: str = "contributions") -> DataFrame:
-    """One row per contribution with its 1-based place."""
-    return explained.select(key, F.posexplode(column)).select(
-        key,
-        (F.col("pos") + 1).alias("place"),
-        "col.feature",
-        "col.value",
-        "col.contribution",
-        "col.direction",
+    """One row per contribution with its 1-based place.
+
+    The outer form, because for the plain one the optimiser repeats the whole array expression
+    in a filter on its size.
+    """
+    return (
+        explained.select(key, F.posexplode_outer(column))
+        .filter(F.col("pos").isNotNull())
+        .select(
+            key,
+            (F.col("pos") + 1).alias("place"),
+            "col.feature",
+            "col.value",
+            "col.contribution",
+            "col.direction",
+        )
     )
 
 
@@ -149,6 +157,11 @@ def adverse_reasons(explained: DataFrame, max_reasons: int = MAX_REASONS) -> Dat
     return explained.withColumn("reasons", reasons)
 
 
+def reason_rows(reasoned: DataFrame, key: str) -> DataFrame:
+    """One row per reason."""
+    return reasoned.select(key, F.inline_outer("reasons")).filter(F.col("code").isNotNull())
+
+
 def notice(reasoned: DataFrame, key: str) -> DataFrame:
     """The (code, reason) list of an adverse-action notice."""
     pairs = F.transform("reasons", lambda r: F.struct(r["code"].alias("code"), r["description"].alias("reason")))

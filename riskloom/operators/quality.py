@@ -265,5 +265,5 @@ def split_valid(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, Dat
 
 def violation_counts(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """Rows broken per rule, for the rules that are broken at all."""
-    reasons = with_violations(df, rules).select(F.explode("violations").alias("reason"))
-    return reasons.groupBy("reason").agg(F.count(F.lit(1)).alias("rows"))
+    reasons = with_violations(df, rules).select(F.explode_outer("violations").alias("reason"))
+    return reasons.filter(F.col("reason").isNotNull()).groupBy("reason").agg(F.count(F.lit(1)).alias("rows"))

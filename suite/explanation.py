@@ -119,7 +119,7 @@ def _(spark, folder):
 )
 def _(spark, folder):
     reasoned = explain.adverse_reasons(_explained(spark, folder))
-    return rounded(reasoned.select("borrower_id", F.inline("reasons")))
+    return rounded(explain.reason_rows(reasoned, "borrower_id"))
 
 
 @query(
@@ -151,6 +151,6 @@ def _(spark, folder):
 )
 def _(spark, folder):
     reasoned = explain.adverse_reasons(_explained(spark, folder))
-    used = reasoned.select(F.inline("reasons")).groupBy("code").agg(F.count(F.lit(1)).alias("applications"))
+    used = explain.reason_rows(reasoned, "borrower_id").groupBy("code").agg(F.count(F.lit(1)).alias("applications"))
     listed = explain.reason_codes(spark).join(used, "code", "left")
     return listed.select("feature", "code", "reason", F.coalesce("applications", F.lit(0)).alias("applications"))
