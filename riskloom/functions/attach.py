@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 64
+SALTS = 16
 
 
 def attach(rows: DataFrame, per_group: DataFrame, by: list[str], spread_on: str, how: str = "inner") -> DataFrame:

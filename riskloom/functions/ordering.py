@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .attach import attach
 
 SAMPLE_PER_GROUP = 2048
+MAX_BROADCAST_GROUPS = 1024
 OUTER_CELLS = 16
 INNER_CELLS = 32
 
@@ -54,13 +55,16 @@ def _below(edges: Column, value: str) -> Column:
 
 
 def value_steps(
-    df: DataFrame, by: list[str], value: str, weights: dict[str, Column]
+    df: DataFrame, by: list[str], value: str, weights: dict[str, Column], groups: int | None = None
 ) -> DataFrame:
     """Per group and distinct value: summed weights, inclusive running sums and group totals.
 
     ``weights`` maps a name to a per-row column; the result has ``name``, ``name_cum`` and
     ``name_all``. Rows whose value is null are ignored. Equal values share one row, so ties
     are handled exactly, and repeated values are combined before anything is shuffled.
+
+    ``groups`` states how many groups there can be, where the caller knows (one per model, one
+    per column). The edges, 4 KB per group, are then broadcast; otherwise the join is salted.
     """
     names = list(weights)
     anchor = [] if by else ["_whole"]
@@ -72,8 +76,13 @@ def value_steps(
 
     edges = _bucket_edges(distinct, keys, value, names)
     outer = _below(F.col("_coarse"), value)
+    known_groups = groups if by else 1
+    if known_groups is not None and known_groups <= MAX_BROADCAST_GROUPS:
+        edged = distinct.join(F.broadcast(edges), keys)
+    else:
+        edged = attach(distinct, edges, keys, spread_on=value)
     placed = (
-        attach(distinct, edges, keys, spread_on=value)
+        edged
         .withColumn("_outer", outer)
         .withColumn("_bucket", F.col("_outer") * INNER_CELLS + _below(F.element_at("_fine", F.col("_outer") + 1), value))
         .select(*keys, "_bucket", value, *names)
@@ -105,14 +114,14 @@ def value_steps(
 
 
 def order_statistics(
-    df: DataFrame, by: list[str], value: str, probabilities: dict[str, float]
+    df: DataFrame, by: list[str], value: str, probabilities: dict[str, float], groups: int | None = None
 ) -> DataFrame:
     """Exact linearly interpolated quantiles per group, one column per entry.
 
     The position of a quantile is known once the group size is, so each is a conditional
     minimum over the running counts: no task holds the values of a group.
     """
-    steps = value_steps(df, by, value, {"rows": F.lit(1)})
+    steps = value_steps(df, by, value, {"rows": F.lit(1)}, groups)
     aggregates = []
     for name, p in probabilities.items():
         position = (F.col("rows_all") - 1) * F.lit(float(p))

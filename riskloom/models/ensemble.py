@@ -58,7 +58,7 @@ def weight_metrics(df: DataFrame, candidates: list[dict[str, float]], label: str
         *[F.struct(F.lit(i).alias("candidate"), combine(w).alias("prob")) for i, w in enumerate(candidates)]
     )
     fanned = df.select(F.col(label).alias("label"), F.inline(combined))
-    return rank_metrics(fanned, ["candidate"]).select("candidate", "auc_roc")
+    return rank_metrics(fanned, ["candidate"], groups=len(candidates)).select("candidate", "auc_roc")
 
 
 def _best(df: DataFrame, candidates: list[dict[str, float]], label: str) -> dict[str, float]:

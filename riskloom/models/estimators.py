@@ -95,14 +95,8 @@ def boosted_classifier(columns: list[str], label: str, weighted: bool, **params)
     }
     if weighted:
         settings["weightCol"] = WEIGHT
-    trees = GBTClassifier(
-        featuresCol="_features",
-        labelCol=label,
-        probabilityCol="_probability",
-        rawPredictionCol="_margin",
-        predictionCol="_class",
-        **settings,
-    )
+    trees = GBTClassifier(featuresCol="_features", labelCol=label, predictionCol="_class", **settings)
+    trees = trees.setProbabilityCol("_probability").setRawPredictionCol("_margin")
     return Pipeline(stages=[_assembler(columns), trees])
 
 

@@ -56,7 +56,7 @@ def feature_medians(df: DataFrame, columns: list[str], approximate: bool = False
     if approximate:
         sketch = df.agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5, 10000).alias(c) for c in columns])
         return sketch.unpivot([], columns, "feature", "median")
-    return order_statistics(long_form(df, columns), ["feature"], "value", {"median": 0.5})
+    return order_statistics(long_form(df, columns), ["feature"], "value", {"median": 0.5}, len(columns))
 
 
 def one_hot(df: DataFrame, vocabulary: dict[str, list[str]]) -> DataFrame:

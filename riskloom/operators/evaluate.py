@@ -1,6 +1,7 @@
 """Model metrics over a table of labels and probabilities, one or many models at a time.
 
-``by`` names grouping columns (a model, a batch timestamp). Rank metrics all read
+``by`` names grouping columns (a model, a batch timestamp); ``groups`` says how many groups
+there can be, where that is known, which spares a shuffle. Rank metrics all read
 ``curve_steps``: distinct probabilities with running counts, computed without a global sort.
 """
 
@@ -16,10 +17,12 @@ DECILES = 10
 AUC_GATE = 0.70
 
 
-def curve_steps(df: DataFrame, by: list[str], label: str = "label", prob: str = "prob") -> DataFrame:
+def curve_steps(
+    df: DataFrame, by: list[str], label: str = "label", prob: str = "prob", groups: int | None = None
+) -> DataFrame:
     """Distinct probabilities in ascending order with running counts of positives and rows."""
     return value_steps(
-        df, by, prob, {"pos": F.when(F.col(label) == 1, 1).otherwise(0), "rows": F.lit(1)}
+        df, by, prob, {"pos": F.when(F.col(label) == 1, 1).otherwise(0), "rows": F.lit(1)}, groups
     )
 
 
@@ -27,13 +30,15 @@ def _negatives(suffix: str) -> Column:
     return F.col(f"rows{suffix}") - F.col(f"pos{suffix}")
 
 
-def rank_metrics(df: DataFrame, by: list[str], label: str = "label", prob: str = "prob") -> DataFrame:
+def rank_metrics(
+    df: DataFrame, by: list[str], label: str = "label", prob: str = "prob", groups: int | None = None
+) -> DataFrame:
     """AUC (ties by mid-rank), Gini and the KS statistic; null where only one class is present."""
     neg, neg_all = F.col("rows") - F.col("pos"), _negatives("_all")
     positives_above = F.col("pos_all") - F.col("pos_cum") + F.col("pos") / 2
     gap = F.try_divide(F.col("pos_cum"), F.col("pos_all")) - F.try_divide(_negatives("_cum"), neg_all)
     found = (
-        curve_steps(df, by, label, prob)
+        curve_steps(df, by, label, prob, groups)
         .groupBy(*by)
         .agg(
             F.try_divide(F.sum(neg * positives_above), F.max("pos_all").cast("double") * F.max(neg_all)).alias(
@@ -55,11 +60,13 @@ def loss_metrics(df: DataFrame, by: list[str], label: str = "label", prob: str =
     )
 
 
-def roc_points(df: DataFrame, by: list[str], label: str = "label", prob: str = "prob") -> DataFrame:
+def roc_points(
+    df: DataFrame, by: list[str], label: str = "label", prob: str = "prob", groups: int | None = None
+) -> DataFrame:
     """One point per distinct probability: rates of rows at or above the threshold."""
     at_or_above = F.col("pos_all") - F.col("pos_cum") + F.col("pos")
     neg_at_or_above = _negatives("_all") - _negatives("_cum") + _negatives("")
-    return curve_steps(df, by, label, prob).select(
+    return curve_steps(df, by, label, prob, groups).select(
         *by,
         F.col(prob).alias("threshold"),
         rate_or_zero(at_or_above, F.col("pos_all")).alias("tpr"),
@@ -67,7 +74,9 @@ def roc_points(df: DataFrame, by: list[str], label: str = "label", prob: str = "
     )
 
 
-def best_threshold(df: DataFrame, by: list[str], label: str = "label", prob: str = "prob") -> DataFrame:
+def best_threshold(
+    df: DataFrame, by: list[str], label: str = "label", prob: str = "prob", groups: int | None = None
+) -> DataFrame:
     """The threshold with the largest tpr - fpr; of equal ones the highest.
 
     Differences are compared as whole numbers (tp * N - fp * P), so equal ones are equal. The
@@ -79,7 +88,7 @@ def best_threshold(df: DataFrame, by: list[str], label: str = "label", prob: str
     gain = tp.cast("decimal(19,0)") * _negatives("_all").cast("decimal(18,0)") - fp.cast("decimal(19,0)") * F.col(
         "pos_all"
     ).cast("decimal(18,0)")
-    points = curve_steps(df, by, label, prob).select(
+    points = curve_steps(df, by, label, prob, groups).select(
         *by, F.struct(gain.cast(whole).alias("gain"), F.col(prob).alias("threshold")).alias("point")
     )
     best = points.groupBy(*by).agg(F.max("point").alias("best"))
@@ -141,13 +150,18 @@ def classification_report(cells: DataFrame, by: list[str]) -> DataFrame:
 
 
 def decile_table(
-    df: DataFrame, by: list[str], label: str = "label", prob: str = "prob", bins: int = DECILES
+    df: DataFrame,
+    by: list[str],
+    label: str = "label",
+    prob: str = "prob",
+    bins: int = DECILES,
+    groups: int | None = None,
 ) -> DataFrame:
     """Rows binned at interpolated quantile edges, right-closed; equal edges are merged.
 
     Edges come from the running counts, so equal probabilities stay in one bin.
     """
-    steps = curve_steps(df, by, label, prob)
+    steps = curve_steps(df, by, label, prob, groups)
     whole = F.max("rows_all").alias("_n")
     fewer = F.least(F.lit(bins), F.col("rows_all"))
     cuts = []
@@ -211,7 +225,9 @@ def models_long(df: DataFrame, models: list[str], label: str, keep: list[str] |
     return narrowed.unpivot([*(keep or []), "label"], models, "model", "prob")
 
 
-def evaluate_pd(df: DataFrame, by: list[str], label: str = "label", prob: str = "prob") -> DataFrame:
+def evaluate_pd(
+    df: DataFrame, by: list[str], label: str = "label", prob: str = "prob", groups: int | None = None
+) -> DataFrame:
     """One row per group: AUC, Gini, KS, log loss, Brier, best threshold and the confusion cells.
 
     The best threshold and the cells at it come from the same steps as the rank metrics.
@@ -228,7 +244,7 @@ def evaluate_pd(df: DataFrame, by: list[str], label: str = "label", prob: str =
         gain.cast("decimal(38,0)").alias("gain"), F.col(prob).alias("threshold"), tp.alias("tp"), fp.alias("fp")
     )
     found = (
-        curve_steps(df, by, label, prob)
+        curve_steps(df, by, label, prob, groups)
         .groupBy(*by)
         .agg(
             F.sum(neg * (F.col("pos_all") - F.col("pos_cum") + F.col("pos") / 2)).alias("_area"),

@@ -123,7 +123,7 @@ def train(
         fraud=fraud,
         checks=checks,
         splits=split_summary(matrix, "is_default"),
-        pd_metrics=evaluate.performance_gate(evaluate.evaluate_pd(long, ["model"])),
+        pd_metrics=evaluate.performance_gate(evaluate.evaluate_pd(long, ["model"], groups=len(kinds) + 1)),
         lgd_metrics=evaluate.lgd_errors(tested, [], "lgd_value", "lgd"),
         ead_metrics=evaluate.ead_errors(tested, [], "ead_value", "ead"),
         background=background_sample(part["train"], key, columns),
@@ -141,7 +141,7 @@ def add_challenger(run: TrainingRun, kind: str = "crosses", **params) -> Trainin
     tested = predictions(part["test"], models).withColumn("ensemble", ensemble.combine(weights))
     tested = materialize(tested.select("is_default", *names, "ensemble"), "test-scores")
     long = evaluate.models_long(tested, [*names, "ensemble"], "is_default")
-    metrics = evaluate.performance_gate(evaluate.evaluate_pd(long, ["model"]))
+    metrics = evaluate.performance_gate(evaluate.evaluate_pd(long, ["model"], groups=len(names) + 1))
     return TrainingRun(**{**run.__dict__, "pd_models": models, "weights": weights, "pd_metrics": metrics})
 
 
@@ -152,4 +152,4 @@ def reevaluate(path: str, matrix: DataFrame, kinds: list[str], part: str = "test
     scored = predictions(matrix.filter(F.col("split") == part), models)
     scored = scored.withColumn("ensemble", ensemble.combine(weights)).select("is_default", *kinds, "ensemble")
     long = evaluate.models_long(scored, [*kinds, "ensemble"], "is_default")
-    return evaluate.performance_gate(evaluate.evaluate_pd(long, ["model"]))
+    return evaluate.performance_gate(evaluate.evaluate_pd(long, ["model"], groups=len(kinds) + 1))

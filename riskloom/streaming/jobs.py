@@ -45,13 +45,14 @@ def request_windows(
     requests: DataFrame, timestamp: str = "requested_at", length: str = "1 minute", lateness: str = "10 minutes"
 ) -> DataFrame:
     """Requests, errors and cumulative latency buckets per endpoint, status and tumbling window."""
-    buckets = [F.count_if(F.col("latency_seconds") <= b).alias(f"le_{b}") for b in LATENCY_BUCKETS]
+    names = {b: f"le_{b * 1000:g}ms" for b in LATENCY_BUCKETS}
+    buckets = [F.count_if(F.col("latency_seconds") <= b).alias(n) for b, n in names.items()]
     return (
         _watermarked(requests, timestamp, lateness)
         .groupBy(F.window(timestamp, length).alias("w"), "endpoint", "status")
         .agg(F.count(F.lit(1)).alias("requests"), F.sum("latency_seconds").alias("latency_sum"), *buckets)
         .select(F.col("w.start").alias("window_start"), "endpoint", "status", "requests", "latency_sum",
-                *[f"`le_{b}`" for b in LATENCY_BUCKETS])
+                *names.values())
     )
 
 

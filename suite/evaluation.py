@@ -197,7 +197,7 @@ FROM steps GROUP BY model""",
     ),
 )
 def _(spark, folder):
-    return rounded(evaluate.rank_metrics(long_scores(spark, folder), ["model"]))
+    return rounded(evaluate.rank_metrics(long_scores(spark, folder), ["model"], groups=len(MODELS)))
 
 
 @query(
@@ -222,7 +222,7 @@ SELECT model, prob AS threshold, round((p - pc + pos) / p, 6) AS tpr, round((n -
     ),
 )
 def _(spark, folder):
-    return rounded(evaluate.roc_points(long_scores(spark, folder), ["model"]))
+    return rounded(evaluate.roc_points(long_scores(spark, folder), ["model"], groups=len(MODELS)))
 
 
 @query(
@@ -230,7 +230,7 @@ def _(spark, folder):
     with_views(["scored"], f"{STEPS_SQL} SELECT model, cut AS optimal_threshold FROM best"),
 )
 def _(spark, folder):
-    return evaluate.best_threshold(long_scores(spark, folder), ["model"])
+    return evaluate.best_threshold(long_scores(spark, folder), ["model"], groups=len(MODELS))
 
 
 _CELLS = """cells AS (SELECT model, count(*) FILTER (label = 0 AND prob < cut) AS tn,
@@ -282,7 +282,7 @@ FROM placed GROUP BY model, decile""",
     ),
 )
 def _(spark, folder):
-    return rounded(evaluate.decile_table(long_scores(spark, folder), ["model"]))
+    return rounded(evaluate.decile_table(long_scores(spark, folder), ["model"], groups=len(MODELS)))
 
 
 @query(
@@ -301,7 +301,7 @@ FROM ranks JOIN losses USING (model) JOIN best USING (model) JOIN cells USING (m
     ),
 )
 def _(spark, folder):
-    metrics = evaluate.evaluate_pd(long_scores(spark, folder), ["model"])
+    metrics = evaluate.evaluate_pd(long_scores(spark, folder), ["model"], groups=len(MODELS))
     return rounded(evaluate.performance_gate(metrics))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from riskloom.operators import assemble, encode, profile, registry
 from riskloom.operators.payments import PAYMENT_FEATURES
 from riskloom.operators.transactions import TRANSACTION_FEATURES
+from riskloom.session import materialize
 
 from .features import CREDIT_SQL, PROFILE_SQL, RATIO_SQL, _payment_sql, _transaction_sql
 from .registry import query, rounded
@@ -59,6 +60,10 @@ def _inputs(spark, folder):
     return [table(spark, folder, name) for name in MATRIX_VIEWS]
 
 
+def _raw(spark, folder):
+    return materialize(assemble.raw_features(*_inputs(spark, folder), LONG_REFERENCE), "raw-features")
+
+
 @query("feature_matrix", matrix_sql("round(state_mean, 6)"))
 def _(spark, folder):
     matrix, _ = assemble.feature_matrix(*_inputs(spark, folder), LONG_REFERENCE, label="is_default")
@@ -81,13 +86,13 @@ SELECT feature, round(median, 6) AS median FROM (UNPIVOT (SELECT {", ".join(f"{c
     ),
 )
 def _(spark, folder):
-    raw = encode.flag_delinquency(assemble.raw_features(*_inputs(spark, folder), LONG_REFERENCE))
+    raw = encode.flag_delinquency(_raw(spark, folder))
     return rounded(encode.feature_medians(raw, NUMERIC))
 
 
 @query("feature_medians_approximate")
 def _(spark, folder):
-    raw = encode.flag_delinquency(assemble.raw_features(*_inputs(spark, folder), LONG_REFERENCE))
+    raw = encode.flag_delinquency(_raw(spark, folder))
     return rounded(encode.feature_medians(raw, NUMERIC, approximate=True))
 
 
@@ -230,7 +235,7 @@ FROM groups LEFT JOIN filled USING (name) GROUP BY "group" """,
     ),
 )
 def _(spark, folder):
-    raw = encode.flag_delinquency(assemble.raw_features(*_inputs(spark, folder), LONG_REFERENCE))
+    raw = encode.flag_delinquency(_raw(spark, folder))
     covered = registry.registered_columns(raw, registry.feature_registry(spark))
     return covered.groupBy("group").agg(
         F.count(F.lit(1)).alias("features"), F.sum("filled_rows").alias("filled_values")

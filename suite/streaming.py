@@ -84,7 +84,7 @@ def _(spark, folder):
             "status",
             "requests",
             "latency_sum",
-            F.col("`le_0.1`").alias("fast_requests"),
+            F.col("le_100ms").alias("fast_requests"),
         )
     )
 
