@@ -34,6 +34,8 @@ def long_form(df: DataFrame, columns: list[str], keep: list[str] | None = None)
 def category_values(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Distinct non-null values of the categorical columns, as (feature, value) rows."""
     columns = [c for c in (columns or CATEGORICAL_COLUMNS) if c in df.columns]
+    if not columns:
+        return df.sparkSession.createDataFrame([], "feature string, value string")
     values = df.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot([], columns, "feature", "value")
     return values.filter(F.col("value").isNotNull()).distinct()
 
