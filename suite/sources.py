@@ -8,7 +8,8 @@ from riskloom.models import ensemble
 from riskloom.session import shared_folder
 from riskloom.sources import sinks, standardize, store, tables
 
-from .evaluation import MODELS, scored_applications
+from .evaluation import _OWN_EAD, MODELS, SCORE_SQL, scored_applications
+from .monitoring import _RATES as RATES_SQL
 from .monitoring import COLUMNS, _features, _rates
 from .registry import query, rounded
 from .views import table, with_views
@@ -185,16 +186,29 @@ def _(spark, folder):
     return store.latest_rows(events, "user_id", ["ts", "event_id"]).drop("ts")
 
 
-@query("scoring_results_sink")
+@query(
+    "scoring_results_sink",
+    with_views(
+        ["scored"],
+        f"""SELECT borrower_id AS application_id, borrower_id, credit_score, round(pd, 6) AS pd_value,
+  round(lgd, 6) AS lgd_value, round(ead, 6) AS ead_value, round(expected_loss, 6) AS expected_loss, fraud_score, decision,
+  '1.0.1' AS model_version, DATE '2024-02-01' AS day FROM ({SCORE_SQL.format(ead=_OWN_EAD)}) s""",
+    ),
+)
 def _(spark, folder):
     path = shared_folder(spark, "scores")
     scored = scored_applications(spark, folder, ("borrower_id",)).withColumn("application_id", F.col("borrower_id"))
     sinks.append_scores(scored, path, "1.0.0", "2024-01-31 00:00:00")
     sinks.append_scores(scored, path, "1.0.1", "2024-02-01 00:00:00")
-    return sinks.read_results(spark, path, since="2024-02-01")
+    return rounded(sinks.read_results(spark, path, since="2024-02-01").drop("scored_at"))
 
 
-@query("drift_metrics_sink")
+@query(
+    "drift_metrics_sink",
+    "SELECT feature AS feature_name, 0::DOUBLE AS psi_value, 'stable' AS status, DATE '2024-01-31' AS day FROM (VALUES "
+    + ", ".join(f"('{c}')" for c in COLUMNS)
+    + ") t(feature) WHERE (SELECT count(*) FROM customer) > 0",
+)
 def _(spark, folder):
     from riskloom.operators import drift
 
@@ -202,17 +216,23 @@ def _(spark, folder):
     features = _features(spark, folder)
     reference = drift.reference_bins(features, COLUMNS)
     sinks.append_drift(drift.drift_table(features, reference, COLUMNS), path, "2024-01-31 00:00:00")
-    return sinks.read_results(spark, path)
+    return sinks.read_results(spark, path).drop("recorded_at")
 
 
-@query("fairness_metrics_sink")
+@query(
+    "fairness_metrics_sink",
+    with_views(
+        ["scored"],
+        f"""WITH {RATES_SQL}
+SELECT employment_type AS group_name, metric_name, round(value, 6) AS value, DATE '2024-01-31' AS day
+FROM (UNPIVOT (SELECT employment_type, approval_rate, tpr, fpr FROM rates) ON approval_rate, tpr, fpr
+  INTO NAME metric_name VALUE value)""",
+    ),
+)
 def _(spark, folder):
     path = shared_folder(spark, "fairness")
     sinks.append_fairness(_rates(spark, folder), "employment_type", path, "2024-01-31 00:00:00")
-    return sinks.read_results(spark, path)
-
-
-_ENSEMBLE = "0.957 * pd + 0.043 * challenger_pd"
+    return rounded(sinks.read_results(spark, path).drop("recorded_at"))
 
 
 @query(
