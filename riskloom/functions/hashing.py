@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 HASH_BITS = 32
-BUCKET_BITS = 12
+BUCKET_BITS = 16
 
 
 def key_hash(key: Column, seed: int | str) -> Column:

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from .attach import attach
 
 SAMPLE_PER_GROUP = 2048
-MAX_BROADCAST_GROUPS = 1024
 OUTER_CELLS = 16
 INNER_CELLS = 32
 
@@ -64,7 +63,7 @@ def value_steps(
     are handled exactly, and repeated values are combined before anything is shuffled.
 
     ``groups`` states how many groups there can be, where the caller knows (one per model, one
-    per column). The edges, 4 KB per group, are then broadcast; otherwise the join is salted.
+    per column). The edges, some 64 KB per group, are then broadcast; otherwise Spark decides by size.
     """
     names = list(weights)
     anchor = [] if by else ["_whole"]
@@ -76,13 +75,8 @@ def value_steps(
 
     edges = _bucket_edges(distinct, keys, value, names)
     outer = _below(F.col("_coarse"), value)
-    known_groups = groups if by else 1
-    if known_groups is not None and known_groups <= MAX_BROADCAST_GROUPS:
-        edged = distinct.join(F.broadcast(edges), keys)
-    else:
-        edged = attach(distinct, edges, keys, spread_on=value)
     placed = (
-        edged
+        attach(distinct, edges, keys, spread_on=value, groups=groups if by else 1)
         .withColumn("_outer", outer)
         .withColumn("_bucket", F.col("_outer") * INNER_CELLS + _below(F.element_at("_fine", F.col("_outer") + 1), value))
         .select(*keys, "_bucket", value, *names)

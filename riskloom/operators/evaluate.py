@@ -97,12 +97,18 @@ def best_threshold(
 
 
 def with_predictions(
-    df: DataFrame, by: list[str], label: str = "label", prob: str = "prob", threshold: float | None = None
+    df: DataFrame,
+    by: list[str],
+    label: str = "label",
+    prob: str = "prob",
+    threshold: float | None = None,
+    groups: int | None = None,
 ) -> DataFrame:
     """Add ``pred``: 1 at or above the threshold, which defaults to each group's best one."""
     if threshold is not None:
         return df.withColumn("pred", (F.col(prob) >= threshold).cast("int"))
-    joined = attach(df, best_threshold(df, by, label, prob), by, spread_on=prob)
+    best = best_threshold(df, by, label, prob, groups)
+    joined = attach(df, best, by, spread_on=prob, groups=groups)
     return joined.withColumn("pred", (F.col(prob) >= F.col("optimal_threshold")).cast("int")).drop(
         "optimal_threshold"
     )
@@ -177,7 +183,7 @@ def decile_table(
         return low + (high - low) * (position - F.floor(position))
 
     edges = found.select(*by, F.array_distinct(F.array(*[edge(k) for k in range(bins + 1)])).alias("_edges"))
-    placed = attach(steps, edges, by, spread_on=prob)
+    placed = attach(steps, edges, by, spread_on=prob, groups=groups)
     under = F.size(F.filter("_edges", lambda e: e < F.col(prob)))
     return (
         placed.withColumn("decile", F.greatest(F.lit(1), under))

@@ -240,7 +240,7 @@ _CELLS = """cells AS (SELECT model, count(*) FILTER (label = 0 AND prob < cut) A
 
 @query("confusion_matrix", with_views(["scored"], f"{STEPS_SQL}, {_CELLS} SELECT * FROM cells"))
 def _(spark, folder):
-    predicted = evaluate.with_predictions(long_scores(spark, folder), ["model"])
+    predicted = evaluate.with_predictions(long_scores(spark, folder), ["model"], groups=len(MODELS))
     return evaluate.confusion(predicted, ["model"])
 
 
@@ -264,7 +264,7 @@ SELECT model, class, round(precision, 6) AS precision, round(recall, 6) AS recal
     ),
 )
 def _(spark, folder):
-    predicted = evaluate.with_predictions(long_scores(spark, folder), ["model"])
+    predicted = evaluate.with_predictions(long_scores(spark, folder), ["model"], groups=len(MODELS))
     return rounded(evaluate.classification_report(evaluate.confusion(predicted, ["model"]), ["model"]))
 
 

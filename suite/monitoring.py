@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from riskloom.operators import drift, evaluate, fairness, monitor, shadow
 from riskloom.operators.profile import CREDIT_FEATURES, PROFILE_FEATURES, RATIO_FEATURES, borrower_features
+from riskloom.plans import drift_report
 
 from .evaluation import MODELS
 from .features import CREDIT_SQL, PROFILE_SQL, RATIO_SQL
@@ -83,13 +84,10 @@ def _features(spark, folder):
     return borrower_features(table(spark, folder, "borrowers"))
 
 
-def _stressed(spark, folder):
-    parts = None
-    for scenario in drift.SCENARIOS:
-        stressed = drift.stressed_borrowers(table(spark, folder, "borrowers"), scenario)
-        part = borrower_features(stressed).withColumn("scenario", F.lit(scenario))
-        parts = part if parts is None else parts.unionByName(part)
-    return parts
+def _stress_drift(spark, folder):
+    borrowers = table(spark, folder, "borrowers")
+    sets = {s: borrower_features(drift.stressed_borrowers(borrowers, s)) for s in drift.SCENARIOS}
+    return drift_report.compare_sets(drift_report.store_reference(_features(spark, folder), COLUMNS), sets, COLUMNS)
 
 
 @query(
@@ -106,8 +104,7 @@ def _(spark, folder):
 
 @query("feature_drift", with_views(["borrowers"], f"WITH {_psi(list(drift.SCENARIOS))} SELECT * FROM drift"))
 def _(spark, folder):
-    reference = drift.reference_bins(_features(spark, folder), COLUMNS)
-    return drift.drift_table(_stressed(spark, folder), reference, COLUMNS, by=["scenario"])
+    return _stress_drift(spark, folder)
 
 
 @query(
@@ -121,9 +118,7 @@ SELECT scenario, CASE WHEN bool_or(status = 'alert') THEN 'alert' WHEN bool_or(s
     ),
 )
 def _(spark, folder):
-    reference = drift.reference_bins(_features(spark, folder), COLUMNS)
-    table_ = drift.drift_table(_stressed(spark, folder), reference, COLUMNS, by=["scenario"])
-    return drift.drift_report(table_, ["scenario"])
+    return drift_report.report(_stress_drift(spark, folder))
 
 
 _SAMPLE = """(SELECT * FROM borrowers QUALIFY row_number() OVER (ORDER BY
@@ -149,7 +144,7 @@ def _(spark, folder):
     from riskloom.operators.split import sample_rows
 
     borrowers = table(spark, folder, "borrowers")
-    reference = drift.reference_bins(borrower_features(borrowers), COLUMNS)
+    reference = drift_report.store_reference(borrower_features(borrowers), COLUMNS)
     return drift.drift_table(borrower_features(sample_rows(borrowers, 500)), reference, COLUMNS)
 
 
