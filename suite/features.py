@@ -6,7 +6,7 @@ from riskloom.operators import payments as pay
 from riskloom.operators import profile as prof
 from riskloom.operators import transactions as txn
 
-from .registry import query, rounded
+from .registry import FINER, query, rounded
 from .views import LONG_REFERENCE, RECENT_REFERENCE, table, with_views
 
 
@@ -97,7 +97,8 @@ SELECT borrower_id, {r("avg((payment_status = 'on_time')::INT)")} AS on_time_pay
   {r("avg(days_past_due)")} AS avg_days_past_due,
   max(days_past_due)::DOUBLE AS max_days_past_due,
   count(*) FILTER (payment_status = 'missed') AS missed_payment_count,
-  {r("avg(amount_paid / greatest(amount_due, 1))")} AS payment_amount_ratio,
+  {"avg(amount_paid / greatest(amount_due, 1))" if digits is None else
+   f"round(avg(amount_paid / greatest(amount_due, 1)), {FINER['payment_amount_ratio']})"} AS payment_amount_ratio,
   count(*) FILTER (breaks = 0) AS consecutive_on_time,
   {r("CASE WHEN count(*) FILTER (back <= 3) < 2 THEN 0 ELSE regr_slope(days_past_due, -back) FILTER (back <= 3) END")}
     AS payment_trend_3m
@@ -112,10 +113,12 @@ GROUP BY borrower_id"""
 
 for _view, _ref in (("recent_transactions", RECENT_REFERENCE), ("long_transactions", LONG_REFERENCE)):
     _tag = _view.split("_")[0]
+    # Means of two-decimal amounts over 64 rows have 8 decimals; the long view's sums allow only 6.
+    _digits = 8 if _tag == "recent" else 6
 
-    @query(f"velocity_features_{_tag}", with_views([_view], _velocity_sql(_view, _ref)))
-    def _(spark, folder, view=_view, ref=_ref):
-        return rounded(txn.velocity_features(table(spark, folder, view), ref))
+    @query(f"velocity_features_{_tag}", with_views([_view], _velocity_sql(_view, _ref, _digits)))
+    def _(spark, folder, view=_view, ref=_ref, digits=_digits):
+        return rounded(txn.velocity_features(table(spark, folder, view), ref), digits)
 
     @query(f"spend_features_{_tag}", with_views([_view], _spend_sql(_view, _ref)))
     def _(spark, folder, view=_view, ref=_ref):

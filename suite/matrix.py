@@ -10,7 +10,7 @@ from riskloom.operators.transactions import TRANSACTION_FEATURES
 from riskloom.session import materialize
 
 from .features import CREDIT_SQL, PROFILE_SQL, RATIO_SQL, _payment_sql, _transaction_sql
-from .registry import query, rounded
+from .registry import FINER, query, rounded
 from .views import LONG_REFERENCE, table, with_views
 
 VOCABULARY = {
@@ -42,7 +42,7 @@ _ONE_HOT_SQL = ",\n".join(
 )
 _MEDIAN_CTE = "med AS (SELECT " + ", ".join(f"quantile_cont({c}, 0.5) AS {c}" for c in NUMERIC) + " FROM raw)"
 _FILLED_SQL = ",\n".join(
-    f"round(coalesce(raw.{c}::DOUBLE, med.{c}::DOUBLE, 0), 6) AS {c}" for c in NUMERIC
+    f"round(coalesce(raw.{c}::DOUBLE, med.{c}::DOUBLE, 0), {FINER.get(c, 6)}) AS {c}" for c in NUMERIC
 )
 
 
