@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -83,8 +84,12 @@ def test_registry_lists_46_features(spark):
 
 
 def write_lines(folder, name, records):
+    """A file named by its place in arrival order; a stream takes files by modification time."""
     folder.mkdir(exist_ok=True)
-    (folder / name).write_text("\n".join(json.dumps(r) for r in records))
+    path = folder / name
+    path.write_text("\n".join(json.dumps(r) for r in records))
+    arrived = 1_700_000_000 + int(path.stem)
+    os.utime(path, (arrived, arrived))
 
 
 def test_stream_of_several_batches_equals_batch(spark, tmp_path):
