@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskloom.llm import chat, language, mixing, simhash
+from riskloom.llm import chat, decontaminate, language, licences, mixing, paragraphs, simhash, training_order, warc
+from riskloom.session import shared_folder
 from suite.registry import query
 
 
@@ -17,6 +18,38 @@ def op1(spark, folder):
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+@query("op2_benchmark_decontamination")
+def op2(spark, folder):
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op3_training_order")
+def op3(spark, folder):
+    return training_order.materialised_order(table(spark, folder, "documents"))
+
+
+@query("op4_paragraph_dedup")
+def op4(spark, folder):
+    return paragraphs.repeated_paragraphs(table(spark, folder, "documents"))
+
+
+@query("op5_licence_scan")
+def op5(spark, folder):
+    """Documents laid out as files: a folder per ten thousand and per hundred ids, then per source.
+
+    The first document of a folder's ids stands as the folder's LICENSE file.
+    """
+    docs = table(spark, folder, "documents").select("doc_id", "source", "text")
+    ten, hundred = F.floor(F.col("doc_id") / 10000), F.floor(F.col("doc_id") / 100)
+    path = (
+        F.when(F.col("doc_id") % 10000 == 0, F.format_string("/%d/LICENSE", ten))
+        .when(F.col("doc_id") % 100 == 0, F.format_string("/%d/%d/LICENSE", ten, hundred))
+        .otherwise(F.format_string("/%d/%d/%s/%d.txt", ten, hundred, F.coalesce("source", F.lit("none")), "doc_id"))
+    )
+    found = licences.inherit(licences.scan(docs.withColumn("path", path)))
+    return found.select("doc_id", "path", "own_licence", "similarity", "licence", "inherited_from")
+
+
 @query("op6_language_id")
 def op6(spark, folder):
     return language.identify(table(spark, folder, "documents"))
@@ -66,6 +99,29 @@ def op7(spark, folder):
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+OP8 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+h AS (SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha1(payload) AS hex,
+             max(page_id) OVER (PARTITION BY payload) AS newest FROM p),
+b AS (SELECT *, list_transform(range(8), lambda i: ('0x' || substr(hex, 5 * i::INT + 1, 5))::INT) AS groups FROM h)
+SELECT page_id, payload_bytes,
+       list_aggregate(list_transform(groups, lambda v: list_aggregate(list_transform([15, 10, 5, 0],
+           lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> s) & 31) + 1, 1)), 'string_agg', '')),
+           'string_agg', '') AS payload_digest,
+       CASE WHEN page_id < newest THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < newest THEN newest END AS refers_to
+FROM b
+"""
+
+
+@query("op8_warc_round_trip", OP8)
+def op8(spark, folder):
+    path = shared_folder(spark, "warc")
+    warc.write_archives(table(spark, folder, "pages"), path)
+    read = warc.read_archives(spark, path, payloads=False)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 OP10 = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
