@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from riskloom.session import materialize
 
@@ -34,14 +35,18 @@ def keep_rows(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame
     """Rows of ``docs`` whose key is in ``ids`` (each id once), one row for a repeated key.
 
     Texts move once, in the semi join. Keys that occur more than once are found on the key column
-    alone; only their rows are brought together to drop the repeats.
+    alone; only their rows are brought together, and the first text in order stays.
     """
     again = materialize(
         docs.groupBy(key).count().where("count > 1 and " + key + " is not null").select(key), "repeated-ids"
     )
-    kept = docs.join(ids.select(key), key, "left_semi").select(docs.columns)
-    single = kept.join(again, key, "left_anti").select(docs.columns)
-    repeated = kept.join(again, key, "left_semi").dropDuplicates([key]).select(docs.columns)
+    ids, name = ids.select(key), free_name(docs, "nth")
+    single = docs.join(again, key, "left_anti").join(ids, key, "left_semi").select(docs.columns)
+    nth = F.row_number().over(W.partitionBy(key).orderBy("text"))
+    repeated = (
+        docs.join(again, key, "left_semi").join(ids, key, "left_semi").withColumn(name, nth)
+        .where(F.col(name) == 1).select(docs.columns)
+    )
     return single.unionByName(repeated)
 
 
