@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskloom.llm import chat, decontaminate, language, licences, mixing, paragraphs, simhash, training_order, warc
+from riskloom.llm import chat, decontaminate, language, licences, mixing, paragraphs, search, simhash, training_order, warc
 from riskloom.session import shared_folder
 from suite.registry import query
 
@@ -122,6 +122,13 @@ def op8(spark, folder):
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query("op9_bm25_search")
+def op9(spark, folder):
+    """Every document whose id is divisible by 50 asks with its whole text, all documents answer."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return search.top_k(docs, docs.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id"))
+
+
 OP10 = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
