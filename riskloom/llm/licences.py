@@ -8,6 +8,7 @@ from math import log, sqrt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.llm.tables import free_name
 from riskloom.session import materialize
 
 # Identifiers of licences and the notices by which works refer to them.
@@ -124,6 +125,7 @@ def inherit(scanned: DataFrame) -> DataFrame:
     are one row per directory and, when large, are joined by a shuffle that can split a crowded
     directory's files.
     """
+    source, passed = free_name(scanned, "source"), free_name(scanned, "passed")
     name = F.regexp_extract("path", "([^/]*)$", 1)
     parent = F.regexp_replace("path", "/?[^/]*$", "")
     declared = materialize(
@@ -140,12 +142,11 @@ def inherit(scanned: DataFrame) -> DataFrame:
         .join(declared, "directory")
         .groupBy("path")
         .agg(F.max(F.struct(F.length("directory").alias("depth"), "directory", "passed")).alias("near"))
-        .select("path", F.col("near.directory").alias("inherited_from"), F.col("near.passed").alias("passed"))
+        .select("path", F.col("near.directory").alias(source), F.col("near.passed").alias(passed))
     )
     found = materialize(nearest, "inherited-licences")
-    return (
-        scanned.join(found, "path", "left")
-        .withColumn("inherited_from", F.when(F.col("own_licence").isNull(), F.col("inherited_from")))
-        .withColumn("licence", F.coalesce("own_licence", "passed"))
-        .drop("passed")
+    return scanned.join(found, "path", "left").select(
+        *[c for c in scanned.columns if c not in ("licence", "inherited_from")],
+        F.when(F.col("own_licence").isNull(), F.col(source)).alias("inherited_from"),
+        F.coalesce("own_licence", passed).alias("licence"),
     )
