@@ -25,7 +25,7 @@ def op2(spark, folder):
 
 @query("op3_training_order")
 def op3(spark, folder):
-    return training_order.materialised_order(table(spark, folder, "documents"))
+    return training_order.materialised_order(table(spark, folder, "documents"), stored=True)
 
 
 @query("op4_paragraph_dedup")

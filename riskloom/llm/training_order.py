@@ -7,6 +7,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,47 +17,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm.tables import write_raw
-from riskloom.session import shared_folder
+from riskloom.session import materialize, shared_folder
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 END_OF_TEXT = 50256
-# Fixed value: the pre-tokenizer pattern that belongs to this vocabulary.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CHUNK = re.compile(r"[ \n]?[^ \n]+")
-UNSAFE = re.compile(r"[\s\x85\xa0][ \n]|[ \n]\Z")
-KNOWN_CHUNKS = 1 << 19
+# Fixed value: the pre-tokenizer pattern of this vocabulary, in the form that never looks back.
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 NO_ID = -(1 << 63)
 HEADER = np.dtype([("doc_id", "<i8"), ("part", "<u4"), ("length", "<u4")])
 
 
 class Encoder:
-    """Token ids of whole texts as little-endian bytes, remembering the chunks it has met.
-
-    The pattern always cuts before a space or line end that follows a visible character, so such
-    chunks can be encoded one by one. Texts with other white space next to one are encoded whole.
-    """
+    """Token ids of whole texts."""
 
     def __init__(self, vocabulary: bytes):
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.splitlines() if line)}
         self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.kind = np.dtype("<u2") if max(ranks.values()) < 65535 else np.dtype("<u4")
-        self.known: dict[str, bytes] = {}
-
-    def _plain(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), self.kind).tobytes()
-
-    def encode(self, text: str) -> bytes:
-        if UNSAFE.search(text):
-            return self._plain(text)
-        known, parts = self.known, []
-        for chunk in CHUNK.findall(text):
-            found = known.get(chunk)
-            if found is None:
-                if len(known) >= KNOWN_CHUNKS:
-                    known.clear()
-                found = known[chunk] = self._plain(chunk)
-            parts.append(found)
-        return b"".join(parts)
+        self.encode = self.encoding.encode_ordinary
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -107,48 +85,38 @@ class Permutation:
         return self._walk(slots, True)
 
 
-def tokenize(docs: DataFrame, length: int, vocabulary: str = VOCABULARY, end: int = END_OF_TEXT) -> DataFrame:
-    """``(task, first, doc_id, sequences, tokens)`` of every row, written once.
+@contextmanager
+def _same_splits(spark: SparkSession) -> Iterator[None]:
+    """Scans are cut alike inside, even if executors come or go between two jobs."""
+    name = "spark.sql.files.minPartitionNum"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, before or str(spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+
+
+def _sequences(n_tokens: int, length: int) -> int:
+    """Sequences of a text of so many ids and the end mark."""
+    return n_tokens // length + 1
 
-    Whole texts, each closed by ``end``; null text counts as empty. ``first`` numbers a row's first
-    sequence within the task that wrote it. Numbers hold because the rows are read from what the
-    tasks committed, never computed again. The vocabulary is read by the driver and sent along.
-    """
-    spark = docs.sparkSession
-    with open(vocabulary, "rb") as file:
-        sent = spark.sparkContext.broadcast(file.read())
+
+def _count(rows: DataFrame, sent, length: int) -> dict[int, tuple[int, int]]:
+    """Sequences in each task of a scan, and a checksum of its ids and lengths: one row per task comes back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task, total = _encoder(sent.value), TaskContext.get().partitionId(), 0
-        last = np.array([end], encoder.kind).tobytes()
+        encoder, total, check = _encoder(sent.value), 0, 0
         for batch in batches:
-            firsts, counts, tokens, held, ids = [], [], [], 0, []
             for doc_id, text in zip(*batch.columns, strict=True):
-                tokens.append(encoder.encode(text.as_py() or "") + last)
-                count = -(-len(tokens[-1]) // (encoder.kind.itemsize * length))
-                firsts.append(total)
-                counts.append(count)
-                ids.append(doc_id.as_py())
-                total += count
-                held += len(tokens[-1])
-                if held > 8 << 20:
-                    yield _rows(task, firsts, ids, counts, tokens)
-                    firsts, counts, tokens, held, ids = [], [], [], 0, []
-            yield _rows(task, firsts, ids, counts, tokens)
-
-    path = shared_folder(spark, "tokens")
-    schema = "task int, first long, doc_id long, sequences long, tokens binary"
-    docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema).write.option(
-        "compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
-def _rows(task: int, firsts: list, ids: list, counts: list, tokens: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([task] * len(ids), pa.int32()), pa.array(firsts, pa.int64()), pa.array(ids, pa.int64()),
-         pa.array(counts, pa.int64()), pa.array(tokens, pa.binary())],
-        ["task", "first", "doc_id", "sequences", "tokens"],
-    )
+                n = len(encoder.encode(text.as_py() or ""))
+                total += _sequences(n, length)
+                check = zlib.crc32(b"%r %d" % (doc_id.as_py(), n), check)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([v], pa.int64()) for v in (TaskContext.get().partitionId(), total, check)], ["task", "n", "check"])
+
+    return {r["task"]: (r["n"], r["check"]) for r in rows.mapInArrow(run, "task long, n long, check long").collect()}
 
 
 def stride(length: int, width: int = 2) -> int:
@@ -163,7 +131,7 @@ def locate(slot: int, length: int, shard_records: int, width: int = 2) -> tuple[
 
 def write_shards(
     docs: DataFrame, path: str, length: int = 512, shard_records: int = 32768, key: str = "epoch-0",
-    vocabulary: str = VOCABULARY, end: int = END_OF_TEXT,
+    vocabulary: str = VOCABULARY, end: int = END_OF_TEXT, stored: bool = False,
 ) -> int:
     """Write all sequences of ``docs(doc_id, text, ...)`` in permuted order; returns their number.
 
@@ -173,46 +141,65 @@ def write_shards(
     shuffle, so the partition of a record follows from its slot: every shard but the last has exactly
     ``shard_records`` records, however the texts or sources are spread.
 
+    The texts are encoded twice: once to count the sequences of each task of the scan, once to write
+    them, which takes less than storing the ids in between. A sequence's number is its place in
+    its task after those of earlier tasks, so both scans must be cut alike. ``stored`` says that
+    ``docs`` is a plain read of files; any other plan is first written to the shared folder. Each
+    task checks its ids and lengths against the count and fails the job when they differ.
+
     Null text is empty and gives one sequence; null doc_id is written as the least long. Repeated
-    rows are written as often as they occur. No rows give no shard. One number per tokenizing
-    task comes to the driver. A lost executor costs its tasks' work: tokens are read from the shared folder.
+    rows are written as often as they occur. No rows give no shard. One row per task comes to the
+    driver, which also reads the vocabulary and sends it along.
     """
     spark = docs.sparkSession
-    tokens = tokenize(docs, length, vocabulary, end)
-    bases, total = {}, 0
-    for task, count in sorted(map(tuple, tokens.groupBy("task").agg(F.sum("sequences")).collect())):
-        bases[task], total = total, total + count
-    if not total:
-        return 0
-    sent = spark.sparkContext.broadcast(bases)
+    if not stored:
+        docs = materialize(docs.select("doc_id", "text"), "texts")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     with open(vocabulary, "rb") as file:
-        width = 2 if file.read().count(b"\n") <= 65535 and end < 65536 else 4
-    filler = np.array([end], f"<u{width}").tobytes()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = Permutation(total, key)
-        for batch in batches:
-            numbers, records = [], []
-            for task, first, doc_id, count, data in zip(*batch.columns, strict=True):
-                n, data = count.as_py(), data.as_py()
-                number = sent.value[task.as_py()] + first.as_py()
-                numbers.append(np.arange(number, number + n))
-                size = width * length
-                for part in range(n):
-                    piece = data[part * size : (part + 1) * size]
-                    head = np.array((NO_ID if doc_id.as_py() is None else doc_id.as_py(), part, len(piece) // width), HEADER)
-                    records.append(head.tobytes() + piece + filler * ((size - len(piece)) // width))
+        sent = spark.sparkContext.broadcast(file.read())
+    width = Encoder(sent.value).kind.itemsize
+    with _same_splits(spark):
+        counted = _count(rows, sent, length)
+        total, plan = 0, {}
+        for task in sorted(counted):
+            plan[task] = (total, *counted[task])
+            total += counted[task][0]
+        if not total:
+            return 0
+        plans = spark.sparkContext.broadcast(plan)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            encoder, order = _encoder(sent.value), Permutation(total, key)
+            first, expected, expected_check = plans.value[TaskContext.get().partitionId()]
+            number, check, records = first, 0, []
+            size, last = width * length, np.array([end], encoder.kind).tobytes()
+
+            def flush() -> pa.RecordBatch:
+                slots = order.slots(np.arange(number - len(records), number))
+                return pa.RecordBatch.from_arrays([pa.array(slots), pa.array(records, pa.binary())], ["slot", "record"])
+
+            for batch in batches:
+                for doc_id, text in zip(*batch.columns, strict=True):
+                    doc_id, ids = doc_id.as_py(), encoder.encode(text.as_py() or "")
+                    check = zlib.crc32(b"%r %d" % (doc_id, len(ids)), check)
+                    data = np.array(ids, encoder.kind).tobytes() + last
+                    for part in range(_sequences(len(ids), length)):
+                        piece = data[part * size : (part + 1) * size]
+                        head = np.array((NO_ID if doc_id is None else doc_id, part, len(piece) // width), HEADER)
+                        records.append(head.tobytes() + piece + last * ((size - len(piece)) // width))
+                        number += 1
+                        if len(records) >= 4096:
+                            yield flush()
+                            records = []
             if records:
-                slots = order.slots(np.concatenate(numbers))
-                for at in range(0, len(records), 4096):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(slots[at : at + 4096]), pa.array(records[at : at + 4096], pa.binary())],
-                        ["slot", "record"])
-
-    shards = -(-total // shard_records)
-    placed = tokens.select("task", "first", "doc_id", "sequences", "tokens").mapInArrow(run, "slot long, record binary")
-    dealt = placed.repartitionById(shards, F.floor(F.col("slot") / shard_records).cast("int"))
-    write_raw(dealt.sortWithinPartitions("slot"), "record", path, "\n")
+                yield flush()
+            if (number - first, check) != (expected, expected_check):
+                raise ValueError("the texts were read in another order than when they were counted")
+
+        shards = -(-total // shard_records)
+        placed = rows.mapInArrow(run, "slot long, record binary")
+        dealt = placed.repartitionById(shards, F.floor(F.col("slot") / shard_records).cast("int"))
+        write_raw(dealt.sortWithinPartitions("slot"), "record", path, "\n")
     return total
 
 
@@ -258,11 +245,13 @@ def read_shards(
     return files.where(number >= first_slot // shard_records).select("path", "content").mapInArrow(run, SCHEMA)
 
 
-def materialised_order(docs: DataFrame, length: int = 512, shard_records: int = 32768, key: str = "epoch-0") -> DataFrame:
+def materialised_order(
+    docs: DataFrame, length: int = 512, shard_records: int = 32768, key: str = "epoch-0", stored: bool = False
+) -> DataFrame:
     """Write the shards to the shared folder and read them back: a row per slot, with a checksum of its ids."""
     spark = docs.sparkSession
     path = shared_folder(spark, "shards")
-    if not write_shards(docs, path, length, shard_records, key):
+    if not write_shards(docs, path, length, shard_records, key, stored=stored):
         spark.createDataFrame([], "value string").write.text(path)
     found = read_shards(spark, path, length, shard_records, tokens=False)
     return found.select("slot", "shard", "offset", "doc_id", "part", "n_tokens",
