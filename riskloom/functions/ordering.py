@@ -10,32 +10,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .attach import attach
 
-SAMPLE_PER_GROUP = 2048
 OUTER_CELLS = 16
 INNER_CELLS = 32
+SKETCH_ACCURACY = 10_000
 
 
-def _bucket_edges(distinct: DataFrame, by: list[str], value: str, weights: list[str]) -> DataFrame:
+def _bucket_edges(distinct: DataFrame, by: list[str], value: str) -> DataFrame:
     """Balanced bucket edges per group, as a coarse list and, per coarse cell, a fine list.
 
-    The sample is the ``SAMPLE_PER_GROUP`` distinct values with the smallest hash: a pure
-    function of the data, so a recomputed stage arrives at the same edges. The limit on
-    ``row_number`` is applied before the shuffle too, hence few rows travel.
+    The edges are approximate quantiles of the distinct values: a sketch per group and task,
+    merged, so neither the values nor a sample of them meet in one task. Results are exact
+    whatever the edges are; they only balance the buckets.
     """
-    by_hash = Window.partitionBy(*by).orderBy(F.xxhash64(value, *weights), F.col(value))
-    sampled = (
-        distinct.withColumn("_pick", F.row_number().over(by_hash))
-        .filter(F.col("_pick") <= SAMPLE_PER_GROUP)
-        .groupBy(*by)
-        .agg(F.sort_array(F.collect_list(value)).alias("_sample"))
-    )
     cells = OUTER_CELLS * INNER_CELLS
-    edge_at = lambda i: F.element_at(
-        "_sample", (F.floor(i * F.size("_sample") / F.lit(cells)) + 1).cast("int")
-    )
-    edges = F.transform(F.sequence(F.lit(1), F.lit(cells - 1)), edge_at)
+    shares = F.array(*[F.lit(i / cells) for i in range(1, cells)])
+    edges = distinct.groupBy(*by).agg(F.percentile_approx(value, shares, SKETCH_ACCURACY).alias("_edges"))
     coarse = F.transform(
         F.sequence(F.lit(1), F.lit(OUTER_CELLS - 1)),
         lambda i: F.element_at("_edges", (i * INNER_CELLS).cast("int")),
@@ -44,9 +36,7 @@ def _bucket_edges(distinct: DataFrame, by: list[str], value: str, weights: list[
         F.sequence(F.lit(0), F.lit(OUTER_CELLS - 1)),
         lambda i: F.slice("_edges", i * INNER_CELLS + 1, INNER_CELLS - 1),
     )
-    return sampled.select(*by, edges.alias("_edges")).select(
-        *by, coarse.alias("_coarse"), fine.alias("_fine")
-    )
+    return edges.select(*by, coarse.alias("_coarse"), fine.alias("_fine"))
 
 
 def _below(edges: Column, value: str) -> Column:
@@ -71,9 +61,9 @@ def value_steps(
     narrowed = df.filter(F.col(value).isNotNull()).select(
         *by, *[F.lit(0).alias(a) for a in anchor], value, *[c.alias(n) for n, c in weights.items()]
     )
-    distinct = narrowed.groupBy(*keys, value).agg(*[F.sum(n).alias(n) for n in names])
+    distinct = materialize(narrowed.groupBy(*keys, value).agg(*[F.sum(n).alias(n) for n in names]), "distinct-values")
 
-    edges = _bucket_edges(distinct, keys, value, names)
+    edges = materialize(_bucket_edges(distinct, keys, value), "bucket-edges")
     outer = _below(F.col("_coarse"), value)
     placed = (
         attach(distinct, edges, keys, spread_on=value, groups=groups if by else 1)

@@ -12,12 +12,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import attach, order_statistics
+from ..functions import attach, order_statistics, value_steps
+from ..session import materialize
 from ..sources.schemas import CATEGORICAL_COLUMNS, TARGET_COLUMNS
 
 STATE_PRIOR = 0.08
+BRACKET = 0.002  # of the rows, either side of the median
+SKETCH_ACCURACY = 10_000
 NO_DELINQUENCY = -1.0
-MAX_VOCABULARY = 1000
 NUMERIC_TYPES = {"tinyint", "smallint", "int", "bigint", "float", "double"}
 
 
@@ -52,13 +54,62 @@ def state_means(df: DataFrame, label: str, state: str = "state") -> DataFrame:
 def feature_medians(df: DataFrame, columns: list[str], approximate: bool = False) -> DataFrame:
     """Median per feature as (feature, median) rows.
 
-    The exact form ranks values in parallel; the approximate one is a single pass with a
-    mergeable sketch per column.
+    The approximate form is a single pass with a mergeable sketch per column. The exact one brackets
+    each median by such sketches, counts what lies below the bracket and ranks only the
+    values inside it: wide aggregates over the table as it is, and few values to order.
     """
     if approximate:
         sketch = df.agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5, 10000).alias(c) for c in columns])
         return sketch.unpivot([], columns, "feature", "median")
-    return order_statistics(long_form(df, columns), ["feature"], "value", {"median": 0.5}, len(columns))
+    return _bracketed_medians(df, columns)
+
+
+def _bracketed_medians(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Exact medians; a column whose bracket missed its median is ranked as a whole."""
+    spark = df.sparkSession
+    numbers = materialize(df.select(*[F.col(c).cast("double").alias(c) for c in columns]), "numbers")
+    shares = F.array(*[F.lit(0.5 + side * BRACKET) for side in (-1, 1)])
+    found = numbers.agg(
+        *[F.percentile_approx(c, shares, SKETCH_ACCURACY).alias(f"edges_{i}") for i, c in enumerate(columns)],
+        *[F.count(c).alias(f"n_{i}") for i, c in enumerate(columns)],
+    ).first()
+    size = {c: found[f"n_{i}"] for i, c in enumerate(columns)}
+    edges = {c: found[f"edges_{i}"] for i, c in enumerate(columns) if size[c]}
+    known = list(edges)
+    counts = numbers.agg(
+        F.lit(0).alias("none"),
+        *[F.count_if(F.col(c) < F.lit(edges[c][0])).alias(f"below_{i}") for i, c in enumerate(known)],
+        *[F.count_if(F.col(c) <= F.lit(edges[c][1])).alias(f"until_{i}") for i, c in enumerate(known)],
+    ).first()
+    below = {c: counts[f"below_{i}"] for i, c in enumerate(known)}
+    until = {c: counts[f"until_{i}"] for i, c in enumerate(known)}
+    held = [c for c in known if below[c] <= (size[c] - 1) // 2 and until[c] > size[c] // 2]
+    single = {c: edges[c][0] for c in held if edges[c][0] == edges[c][1]}
+    ranked = [c for c in held if c not in single]
+    missed = [c for c in known if c not in held]
+    rows = list(single.items())  # a column without values has no median
+    result = spark.createDataFrame(rows, "feature string, median double")
+    if missed:
+        result = result.unionByName(
+            order_statistics(long_form(numbers, missed), ["feature"], "value", {"median": 0.5}, len(missed)))
+    if not ranked:
+        return result
+    inside = [
+        F.struct(F.lit(c).alias("feature"),
+                 F.when(F.col(c).between(F.lit(edges[c][0]), F.lit(edges[c][1])), F.col(c)).alias("value"))
+        for c in ranked
+    ]
+    few = numbers.select(F.explode(F.filter(F.array(*inside), lambda x: x["value"].isNotNull())).alias("x"))
+    steps = value_steps(few.select("x.*"), ["feature"], "value", {"rows": F.lit(1)}, len(ranked))
+    start = F.create_map(*[F.lit(x) for c in ranked for x in (c, below[c])])[F.col("feature")]
+    total = F.create_map(*[F.lit(x) for c in ranked for x in (c, size[c])])[F.col("feature")]
+
+    def at(rank: Column) -> Column:
+        return F.min(F.when(F.col("rows_cum") + start > rank, F.col("value")))
+
+    low, high = at(F.floor((total - 1) / 2)), at(F.ceil((total - 1) / 2))
+    pairs = steps.groupBy("feature").agg(low.alias("low"), high.alias("high"))
+    return result.unionByName(pairs.select("feature", (F.col("low") + (F.col("high") - F.col("low")) * 0.5).alias("median")))
 
 
 def one_hot(df: DataFrame, vocabulary: dict[str, list[str]]) -> DataFrame:
@@ -159,18 +210,26 @@ class FeatureModel:
 
 
 def fit_features(
-    raw: DataFrame, keep: list[str], label: str | None = None, approximate_medians: bool = False
+    raw: DataFrame, keep: list[str], label: str | None = None, approximate_medians: bool = False,
+    max_values: int | None = None,
 ) -> FeatureModel:
-    """Learn vocabularies, state means (when a label column is given) and medians from ``raw``."""
-    rows = category_values(raw).limit(MAX_VOCABULARY + 1).collect()
-    if len(rows) > MAX_VOCABULARY:
-        raise ValueError(f"more than {MAX_VOCABULARY} category values: not categorical columns")
+    """Learn vocabularies, state means (when a label column is given) and medians from ``raw``.
+
+    Every category value becomes a column, so all of them come to the driver. With ``max_values``,
+    more values than that raise before they do.
+    """
+    values = category_values(raw)
+    if max_values is not None:
+        values = materialize(values, "category-values")
+        if (found := values.count()) > max_values:
+            raise ValueError(f"{found} category values; max_values is {max_values}")
+    rows = values.collect()
     vocabulary = {
         c: sorted(r["value"] for r in rows if r["feature"] == c) for c in CATEGORICAL_COLUMNS if c in raw.columns
     }
     means, fallback = None, STATE_PRIOR
     if label is not None and "state" in raw.columns:
-        means = state_means(raw, label)
+        means = materialize(state_means(raw, label), "state-means")  # so that its true size is known
         overall = raw.agg(F.avg(F.col(label).cast("double"))).first()[0]
         fallback = STATE_PRIOR if overall is None else float(overall)
     flagged = flag_delinquency(raw)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom.functions import ordering
-from riskloom.operators import split
+from riskloom.operators import encode, split
 
 from .conftest import rows
 
@@ -66,3 +66,31 @@ def test_weights(spark):
     assert found[1]["capped_weight"] == pytest.approx(98 / 3) and found[0]["capped_weight"] == 1.0
     total = split.with_class_weight(df, "y").agg(F.sum("weight")).first()[0]
     assert total == pytest.approx(100.0)
+
+
+def test_no_task_takes_a_group_before_it_is_cut(spark):
+    """Windows over a group alone see its buckets only; rows are ordered within buckets."""
+    df = spark.range(5000).select((F.col("id") % 2).alias("g"), F.rand(1).alias("v"))
+    plan = ordering.value_steps(df, ["g"], "v", {"rows": F.lit(1)}, 2)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if line.lstrip(" :+-").startswith("Window")]
+    assert windows and all("_bucket" in line for line in windows if " v#" in line)  # those that order rows
+    assert not any("row_number" in line or "xxhash64" in line for line in plan.splitlines())
+
+
+def test_class_weights_need_no_join(spark):
+    df = spark.createDataFrame([(i, int(i < 2)) for i in range(100)], "borrower_id int, y int")
+    plan = split.with_class_weight(df, "y")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 5001])
+def test_bracketed_medians_are_exact(spark, n):
+    rng = np.random.default_rng(n)
+    pdf = pd.DataFrame({
+        "smooth": rng.random(n), "ties": rng.integers(0, 3, n).astype(float), "tiny": 10 ** -rng.uniform(1, 15, n),
+        "holes": np.where(rng.random(n) < 0.5, np.nan, rng.random(n)),
+    })
+    df = spark.createDataFrame(pdf).replace(float("nan"), None).withColumn("empty", F.lit(None).cast("double"))
+    found = {r["feature"]: r["median"] for r in encode.feature_medians(df, df.columns).collect()}
+    want = {c: float(pdf[c].median()) for c in pdf if pdf[c].notna().any()}
+    assert found == pytest.approx(want, rel=1e-15)
