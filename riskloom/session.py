@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -35,11 +36,15 @@ def build_session(master: str | None = None, app: str = "riskloom", **conf: str)
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, the place every executor can reach.
 
-    Only where the session names none (single-machine tests) is a temporary folder made,
-    and the setting is then recorded so later calls agree.
+    Only where the session names none and runs on this machine alone (tests) is a temporary folder
+    made, and the setting is then recorded so later calls agree. On a cluster a missing setting
+    raises: executors would each write to a disk of their own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir is not set, and {master or 'this master'} is not one machine")
         root = tempfile.mkdtemp(prefix="riskloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
