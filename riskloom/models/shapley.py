@@ -15,14 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.split import sample_rows
+from ..session import materialize
 
-MAX_BACKGROUND = 500
+BACKGROUND_ROWS = 500
 
 
-def background_sample(df: DataFrame, key: str, columns: list[str], n: int = MAX_BACKGROUND) -> DataFrame:
-    """At most ``n`` rows to compare with; the number bounds what is later broadcast."""
-    if n > MAX_BACKGROUND:
-        raise ValueError(f"a background holds at most {MAX_BACKGROUND} rows")
+def background_sample(df: DataFrame, key: str, columns: list[str], n: int = BACKGROUND_ROWS) -> DataFrame:
+    """``n`` rows to compare with, all if there are fewer."""
     return sample_rows(df.select(key, *columns), n, key).select(*columns)
 
 
@@ -33,14 +32,19 @@ def sampled_contributions(
     background: DataFrame,
     predict: Callable[[DataFrame], DataFrame],
     samples: int = 16,
+    most_background: int = BACKGROUND_ROWS,
 ) -> DataFrame:
     """(key, feature, value, contribution) rows.
 
     ``predict`` adds a ``prob`` column to a frame holding ``columns``. Draws depend on the key
     and the sample number only. A row's contributions add up to its prediction minus the mean
-    prediction of the background rows drawn for it.
+    prediction of the background rows drawn for it. The background is sent to every task: one of
+    more than ``most_background`` rows raises.
     """
-    rows = background.limit(MAX_BACKGROUND).collect()
+    background = materialize(background, "background")
+    if (found := background.count()) > most_background:
+        raise ValueError(f"a background of {found} rows; most_background is {most_background}")
+    rows = background.collect()
     if not rows:
         raise ValueError("the background is empty")
     spark = df.sparkSession

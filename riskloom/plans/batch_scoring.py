@@ -5,16 +5,17 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..models import ensemble
-from ..models.estimators import Classifier, ExposureModel, TwoStageLGD
+from ..models.estimators import Classifier, ExposureModel, Regressor, TwoStageLGD
 from ..models.shapley import sampled_contributions
 from ..operators import explain, quality
 from ..operators.decision import score_frame
 from ..operators.encode import FeatureModel
 from ..operators.profile import borrower_features, with_utilization
+from .training import read_manifest
 
 MODEL_VERSION = "1.0.0"
 
@@ -30,6 +31,23 @@ class Scorer:
     ead: ExposureModel
     fraud: Classifier
 
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Scorer:
+        """The scorer of a saved training run, by its path alone.
+
+        Weights are taken for the models at hand and scaled to a sum of one.
+        """
+        held = read_manifest(spark, path)
+        names = held["pd_models"]
+        return cls(
+            features=FeatureModel.load(spark, f"{path}/features"),
+            pd_models={n: Classifier.load(f"{path}/pd_{n}") for n in names},
+            weights=ensemble.load_weights(spark, f"{path}/weights", names),
+            lgd=TwoStageLGD.load(f"{path}/lgd", held["severity"]),
+            ead=ExposureModel(Regressor.load(f"{path}/ead") if held["conversion"] else None),
+            fraud=Classifier.load(f"{path}/fraud"),
+        )
+
     def score(self, matrix: DataFrame, keep: list[str], drawn: str | None = None, limit: str | None = None) -> DataFrame:
         """The nine score columns for finished feature rows."""
         scored = matrix

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..models import ensemble
@@ -28,6 +29,7 @@ from ..operators.transactions import DEFAULT_REFERENCE_DATE
 from ..session import materialize
 from ..sources.schemas import TARGET_COLUMNS
 
+WEIGHT_STEPS = ensemble.GRID_STEPS
 CARRIED = ["current_credit_balance", "total_credit_limit"]
 PD_KINDS = ("logistic", "boosted", "boosted_balanced")
 
@@ -62,6 +64,20 @@ class TrainingRun:
         self.fraud.save(f"{path}/fraud")
         ensemble.save_weights(spark, self.weights, f"{path}/weights")
         self.background.write.mode("overwrite").parquet(f"{path}/background")
+        # Written last: a run without it was not saved to the end.
+        manifest = {
+            "pd_models": list(self.pd_models),
+            "severity": self.lgd.severity is not None,
+            "conversion": self.ead.conversion is not None,
+            "columns": self.columns,
+        }
+        rows = spark.createDataFrame([(json.dumps(manifest),)], "manifest string")
+        rows.write.mode("overwrite").json(f"{path}/manifest")
+
+
+def read_manifest(spark: SparkSession, path: str) -> dict:
+    """What a saved run holds; folders it doesn't name are left from another run."""
+    return json.loads(spark.read.schema("manifest string").json(f"{path}/manifest").first()["manifest"])
 
 
 def predictions(df: DataFrame, models: dict[str, Classifier]) -> DataFrame:
@@ -80,6 +96,7 @@ def train(
     kinds: tuple[str, ...] = PD_KINDS,
     params: dict[str, dict] | None = None,
     search: list[dict] | None = None,
+    steps: int = WEIGHT_STEPS,
 ) -> TrainingRun:
     """Validate, build features, split, fit, weigh and evaluate.
 
@@ -102,7 +119,7 @@ def train(
         params["boosted"] = {**params.get("boosted", {}), **tune_boosted(part["train"], columns, "is_default", search, key)}
     pd_models = {k: fit_pd(k, part["train"], columns, "is_default", **params.get(k, {})) for k in kinds}
     validated = materialize(predictions(part["validation"], pd_models).select("is_default", *kinds), "validation")
-    weights = ensemble.search_weights(validated, list(kinds), "is_default")
+    weights = ensemble.search_weights(validated, list(kinds), "is_default", steps=steps)
 
     lgd = fit_two_stage_lgd(part["train"], columns, "lgd_value", **params.get("lgd", {}))
     factor = conversion_label(F.col("ead_value"), F.col(CARRIED[0]), F.col(CARRIED[1]))
@@ -131,13 +148,13 @@ def train(
     )
 
 
-def add_challenger(run: TrainingRun, kind: str = "crosses", **params) -> TrainingRun:
+def add_challenger(run: TrainingRun, kind: str = "crosses", steps: int = WEIGHT_STEPS, **params) -> TrainingRun:
     """Fit one more model on the same split, re-weigh the ensemble and re-evaluate it."""
     part = {name: run.matrix.filter(F.col("split") == name) for name in ("train", "validation", "test")}
     models = {**run.pd_models, kind: fit_pd(kind, part["train"], run.columns, "is_default", **params)}
     names = list(models)
     validated = materialize(predictions(part["validation"], models).select("is_default", *names), "validation")
-    weights = ensemble.search_weights(validated, names, "is_default", steps=5)
+    weights = ensemble.search_weights(validated, names, "is_default", steps=steps)
     tested = predictions(part["test"], models).withColumn("ensemble", ensemble.combine(weights))
     tested = materialize(tested.select("is_default", *names, "ensemble"), "test-scores")
     long = evaluate.models_long(tested, [*names, "ensemble"], "is_default")

@@ -36,7 +36,9 @@ def scoring_rows(scored: DataFrame, model_version: str, scored_at) -> DataFrame:
         F.lit(model_version).alias("model_version"),
         F.lit(str(scored_at)).cast("timestamp").alias("scored_at"),
     )
-    return renamed.select(*[c for c in SCORING_COLUMNS if c in renamed.columns])
+    if missing := [c for c in SCORING_COLUMNS if c not in renamed.columns]:
+        raise ValueError(f"scores lack the columns {missing}")
+    return renamed.select(*SCORING_COLUMNS)
 
 
 def append_scores(scored: DataFrame, path: str, model_version: str, scored_at) -> None:

@@ -207,6 +207,27 @@ def _(spark, folder):
     return training.reevaluate(path, run.matrix, list(training.PD_KINDS))
 
 
+@query(
+    "scores_of_a_loaded_run",
+    with_views(["borrowers"], "SELECT borrower_id, true AS equal FROM borrowers"),
+)
+def _(spark, folder):
+    """A run is trained, saved and loaded by its path; every score equals that of the run in hand."""
+    run = _run(spark, folder)
+    path = shared_folder(spark, "run")
+    run.save(path)
+    applications = table(spark, folder, "borrowers").withColumn("application_id", F.col("borrower_id"))
+    made = batch_scoring.Scorer(run.features, run.pd_models, run.weights, run.lgd, run.ead, run.fraud)
+    scores = [
+        batch_scoring.score_applications(applications, s, use_balance=True)[0]
+        for s in (made, batch_scoring.Scorer.load(spark, path))
+    ]
+    names = [c for c, t in scores[0].dtypes if t in ("double", "int", "string") and c != "application_id"]
+    packed = [s.select("application_id", F.struct(*names).alias(n)) for n, s in zip(("a", "b"), scores, strict=True)]
+    both = packed[0].join(packed[1], "application_id")
+    return both.select(F.col("application_id").alias("borrower_id"), (F.col("a") == F.col("b")).alias("equal"))
+
+
 @query("batch_score_with_reasons")
 def _(spark, folder):
     run = _run(spark, folder)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from riskloom.operators import drift, evaluate, fairness, monitor, shadow
@@ -24,13 +26,15 @@ def _between(low: float, high: float, salt: str) -> str:
     return f"({low}::DOUBLE + {_draw(salt)} * ({high}::DOUBLE - {low}::DOUBLE))"
 
 
+# The whole distribution function of Poisson(1), as far as doubles tell it from 1.
+_POISSON = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(17)]
 _E, _D, _S = drift.SCENARIOS
 STRESS_SQL = {
     _E: f"""annual_income * {_between(0.75, 0.95, _E + ':income')} AS annual_income,
   least(greatest(credit_utilization_ratio * {_between(1.1, 1.6, _E + ':use')}, 0), 2) AS credit_utilization_ratio,
   least(greatest(debt_to_income_ratio * {_between(1.1, 1.4, _E + ':debt')}, 0), 5) AS debt_to_income_ratio,
-  number_of_delinquencies + ({' + '.join(f"({_draw(_E + ':delinquency')} >= {x})::INT"
-                                       for x in (0.3679, 0.7358, 0.9197, 0.9810))}) AS number_of_delinquencies""",
+  number_of_delinquencies + ({' + '.join(f"({_draw(_E + ':delinquency')} >= {x!r}::DOUBLE)::INT"
+                                       for x in _POISSON)}) AS number_of_delinquencies""",
     _D: f"""least(greatest(age - floor({_between(3, 10, _D + ':age')}), 18), 100)::INT AS age,
   CASE WHEN employment_length_years IS NOT NULL THEN
     least(greatest(employment_length_years * {_between(0.3, 0.8, _D + ':job')}, 0), 40) END AS employment_length_years,
