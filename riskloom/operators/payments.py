@@ -70,19 +70,40 @@ def _recent_slope() -> Column:
 
 
 def payment_features(payments: DataFrame, key: str = "borrower_id") -> DataFrame:
-    newest_first = Window.partitionBy(key).orderBy(
+    """Features of a borrower's payments, newest first.
+
+    Payments are ordered within a borrower's month, and months within a borrower, so the rows
+    of a borrower with very many payments are spread over as many tasks as there are months.
+    A null due date counts as the newest and makes a month of its own. Rows without a key are left out.
+    """
+    newest_first = Window.partitionBy(key, "month").orderBy(
         F.col("due_date").desc_nulls_first(),
         F.col("broken").desc(),
         F.col("late_days").desc_nulls_first(),
     )
     up_to_here = newest_first.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = (
-        _calendar(payments, key)
+    later = Window.partitionBy(key).orderBy(F.col("month").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    month = F.coalesce(F.trunc("due_date", "month"), F.lit("9999-12-31").cast("date"))
+    calendar = _calendar(payments, key).withColumn("month", month)
+    months = (
+        calendar.groupBy(key, "month")
+        .agg(F.sum("rows").alias("_rows"), F.max("broken").alias("_broken"))
         .select(
+            key,
+            "month",
+            F.coalesce(F.sum("_rows").over(later), F.lit(0)).alias("_rows_later"),
+            F.coalesce(F.max("_broken").over(later), F.lit(False)).alias("_broken_later"),
+        )
+    )
+    placed = (
+        calendar.select(
             "*",
-            F.sum("rows").over(up_to_here).alias("_so_far"),
-            F.max(F.col("broken")).over(up_to_here).alias("_broken_since"),
+            F.sum("rows").over(up_to_here).alias("_rows_here"),
+            F.max(F.col("broken")).over(up_to_here).alias("_broken_here"),
         )
+        .join(months, [key, "month"])
+        .withColumn("_so_far", F.col("_rows_later") + F.col("_rows_here"))
+        .withColumn("_broken_since", F.col("_broken_later") | F.col("_broken_here"))
         .withColumn("first", (F.col("_so_far") - F.col("rows")).cast("double"))
         .withColumn(
             "taken",

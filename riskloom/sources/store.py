@@ -54,11 +54,12 @@ def snapshot_entries(
 def latest_entries(entries: DataFrame, now, key: str) -> DataFrame:
     """The newest unexpired entry per key as of ``now``.
 
-    ``max_by`` combines map-side, so a key written very often is no burden to one task.
+    ``max_by`` combines map-side, so a key written very often is no burden to one task. Of entries
+    written at the same time the one with the larger features text counts.
     """
     moment = F.lit(str(now)).cast(entries.schema["expires_at"].dataType)
     newest = entries.groupBy(key).agg(
-        F.max_by(F.struct("features", "written_at", "expires_at"), "written_at").alias("entry")
+        F.max_by(F.struct("features", "written_at", "expires_at"), F.struct("written_at", "features")).alias("entry")
     )
     return newest.select(key, "entry.*").filter(F.col("expires_at") > moment)
 

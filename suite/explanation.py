@@ -105,9 +105,9 @@ def _(spark, folder):
     return _factors(spark, folder, "top_protective_factors")
 
 
-@query("explanation_listing", _listed("feature_contributions", "true", 10))
+@query("explanation_listing", _listed("feature_contributions", "true", 20))
 def _(spark, folder):
-    return _factors(spark, folder, "feature_contributions", 10)
+    return _factors(spark, folder, "feature_contributions", 20)
 
 
 @query(
