@@ -8,7 +8,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -54,40 +54,134 @@ def band_hashes(grams: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return value.astype(np.int64)
 
 
-def _paragraphs(text: str, least_words: int) -> Iterator[tuple[int, int, int, list[bytes]]]:
-    """Number, start, end and lower-cased words of each line with enough words."""
-    at = 0
-    for number, line in enumerate(text.split("\n")):
-        words = line.encode().lower().split()
-        if len(words) >= least_words:
-            yield number, at, at + len(line), words
-        at += len(line) + 1
-
-
-def _key(words: list[bytes]) -> bytes:
-    return xxhash.xxh3_128_digest(b" ".join(words))
+PASSAGE_WORDS = 25
+NAMES = ["doc_id", "paragraph", "start", "end", "n_words", "key", "bands", "passage"]
+KINDS = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.int64()]
+SCHEMA = "doc_id long, paragraph int, start int, end int, n_words int, key binary, bands array<long>, passage long"
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+class _Words:
+    """Words of a text with their places, and the hash of the shingle that begins at each."""
+
+    def __init__(self, text: str, width: int):
+        data = text.encode().lower()
+        codes = np.frombuffer(data, np.uint8)
+        gap = np.concatenate(([True], _SPACE[codes], [True]))
+        first = np.nonzero(gap[:-1] & ~gap[1:])[0]
+        last = np.nonzero(~gap[:-1] & gap[1:])[0]
+        place = np.concatenate(([0], np.cumsum((codes & 0xC0) != 0x80)))  # code points before each byte
+        self.starts, self.ends, self.count = place[first], place[last], len(first)
+        self.line = b" ".join(data.split())
+        self.stops = np.cumsum(last - first + 1) - 1
+        self.heads = self.stops - (last - first)
+        breaks = np.nonzero(codes == 10)[0]
+        self.breaks = place[breaks]
+        self.bounds = np.concatenate(([0], np.searchsorted(first, breaks), [self.count]))
+        self.size = int(place[-1])
+        pairs = zip(self.heads[: 1 - width].tolist(), self.stops[width - 1 :].tolist()) if self.count >= width else ()
+        self.grams = np.fromiter((xxhash.xxh64_intdigest(self.line[i:j]) for i, j in pairs), np.uint64)
+        self.width = width
+
+    def paragraphs(self, least_words: int) -> Iterator[tuple[int, int, int, int, int]]:
+        """Number, start, end and word range of each line with enough words."""
+        for number in np.nonzero(np.diff(self.bounds) >= least_words)[0].tolist():
+            start = int(self.breaks[number - 1]) + 1 if number else 0
+            end = int(self.breaks[number]) if number < len(self.breaks) else self.size
+            yield number, start, end, int(self.bounds[number]), int(self.bounds[number + 1])
+
+    def key(self, low: int, high: int) -> bytes:
+        return xxhash.xxh3_128_digest(self.line[self.heads[low] : self.stops[high - 1]])
+
+    def shingles(self, low: int, high: int) -> np.ndarray:
+        if high - low < self.width:
+            return np.array([xxhash.xxh64_intdigest(self.line[self.heads[low] : self.stops[high - 1]])], np.uint64)
+        return np.unique(self.grams[low : high - self.width + 1])
+
+    def passages(self, span: int) -> tuple[np.ndarray, np.ndarray]:
+        """First words and keys of the passages, each key once.
+
+        Of every ``span`` shingles in a row the one with the smallest hash begins a passage, so texts that
+        share ``span`` + PASSAGE_WORDS - 1 words share one that begins in the same place.
+        """
+        if len(self.grams) < span:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        view = np.lib.stride_tricks.sliding_window_view(self.grams, span)
+        begin = np.unique(view.argmin(axis=1) + np.arange(len(view)))
+        begin = begin[begin + PASSAGE_WORDS <= self.count]
+        value = np.zeros(len(begin), np.uint64)
+        for at in [*range(0, PASSAGE_WORDS - self.width, self.width), PASSAGE_WORDS - self.width]:
+            value = (value ^ self.grams[begin + at]) * np.uint64(0x9E3779B97F4A7C15)
+            value ^= value >> np.uint64(29)
+        keys, index = np.unique(value.view(np.int64), return_index=True)
+        return begin[index], keys
+
+
+def signed_paragraphs(
+    docs: DataFrame, least_words: int, width: int, bands: int, rows: int, span: int
+) -> DataFrame:
+    """Long enough lines of every text with key and bands, and its passages with ``passage`` set."""
 
+    def lines_of(found: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), KINDS)], NAMES)
 
-def signed_paragraphs(docs: DataFrame, least_words: int, width: int, bands: int, rows: int) -> DataFrame:
-    """``(doc_id, paragraph, start, end, n_words, key, bands)`` of every long enough line of every text."""
-    schema = "doc_id long, paragraph int, start int, end int, n_words int, key binary, bands array<long>"
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
-    names = ["doc_id", "paragraph", "start", "end", "n_words", "key", "bands"]
+    def passages_of(found: list) -> pa.RecordBatch:
+        doc_id, start, end, passage = (np.concatenate(c) for c in zip(*found))
+        none = [pa.nulls(len(doc_id), t) for t in KINDS]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(doc_id), none[1], pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)),
+             pa.array(np.full(len(doc_id), PASSAGE_WORDS, np.int32)), none[5], none[6], pa.array(passage)], NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
+            lines, passages, held = [], [], 0
             for doc_id, text in zip(*batch.columns, strict=True):
-                for number, start, end, words in _paragraphs(text.as_py() or "", least_words):
-                    found.append((doc_id.as_py(), number, start, end, len(words), _key(words),
-                                  band_hashes(shingles(words, width), bands, rows)))
-                if len(found) >= 8192:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), kinds)], names)
-                    found = []
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), kinds)], names)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+                words = _Words(text.as_py() or "", width)
+                for number, start, end, low, high in words.paragraphs(least_words):
+                    lines.append((doc_id.as_py(), number, start, end, high - low, words.key(low, high),
+                                  band_hashes(words.shingles(low, high), bands, rows), None))
+                begin, keys = words.passages(span)
+                if len(keys):
+                    passages.append((np.full(len(keys), doc_id.as_py(), np.int64), words.starts[begin],
+                                     words.ends[begin + PASSAGE_WORDS - 1], keys))
+                    held += len(keys)
+                if len(lines) >= 8192:
+                    yield lines_of(lines)
+                    lines = []
+                if held >= 65536:
+                    yield passages_of(passages)
+                    passages, held = [], 0
+            if lines:
+                yield lines_of(lines)
+            if passages:
+                yield passages_of(passages)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+
+
+def repeated_passages(passages: DataFrame) -> DataFrame:
+    """Runs of passages that other documents hold too: ``passages(doc_id, start, end, passage)``.
+
+    A passage is first counted by its key alone; only those met more than once are brought together. Passages
+    of a document that touch become one run, kept if every passage in it is the first of its kind.
+    """
+    often = materialize(
+        passages.groupBy("passage").agg(F.count("*").alias("class_size")).where("class_size > 1"), "passage-counts")
+    met = materialize(passages.join(often, "passage"), "met-passages")
+    first = met.groupBy("passage").agg(
+        F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("high")
+    ).where("first.doc_id < high").select("passage", "first")
+    placed = met.join(materialize(first, "first-passages"), "passage").select(
+        "doc_id", "start", "end", "passage", "class_size", (F.struct("doc_id", "start") == F.col("first")).alias("kept"))
+    before = W.partitionBy("doc_id").orderBy("start", "end")
+    reach = F.max("end").over(before.rowsBetween(W.unboundedPreceding, -1))
+    opens = (F.coalesce(F.col("start") > reach, F.lit(True))).cast("int")
+    numbered = placed.withColumn("opens", opens).withColumn("run", F.sum("opens").over(before))
+    return numbered.groupBy("doc_id", "run").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.min("passage").alias("passage"),
+        F.max("class_size").alias("class_size"), F.every("kept").alias("kept"),
+    )
 
 
 def collisions(signed: DataFrame) -> DataFrame:
@@ -162,11 +256,12 @@ def verified_links(docs: DataFrame, candidates: DataFrame, similarity: float, wi
         for batch in batches:
             rows = []
             for text, wanted in zip(*batch.columns, strict=True):
-                found = {n: words for n, _, _, words in _paragraphs(text.as_py() or "", 1)}
+                words = _Words(text.as_py() or "", width)
+                found = {n: (low, high) for n, _, _, low, high in words.paragraphs(1)}
                 for one in wanted.as_py():
-                    words = found.get(one["paragraph"])
-                    if words and _key(words) == one["key"]:  # else another text with this id
-                        rows.append((one["group"], one["tiles"], one["key"], shingles(words, width).tobytes()))
+                    low, high = found.get(one["paragraph"], (0, 0))
+                    if low < high and words.key(low, high) == one["key"]:  # else another text with this id
+                        rows.append((one["group"], one["tiles"], one["key"], words.shingles(low, high).tobytes()))
             columns = list(zip(*rows)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, [pa.binary(), pa.int32(), pa.binary(), pa.binary()])],
@@ -203,23 +298,31 @@ def verified_links(docs: DataFrame, candidates: DataFrame, similarity: float, wi
 
 def repeated_paragraphs(
     docs: DataFrame, least_words: int = 30, similarity: float = 0.8, width: int = 5, recall: float = 0.995,
-    rows: int = 3, tile: int = 512,
+    rows: int = 3, tile: int = 512, passage_span: int = 26,
 ) -> DataFrame:
-    """Occurrences of paragraphs that repeat across documents.
+    """Paragraphs and passages that repeat across documents.
+
+    Result: ``doc_id, kind, paragraph, start, end, n_words, class_id, class_size, kept``; start and end are
+    code points of the text.
+
+    ``kind`` paragraph: a line of at least ``least_words`` words, ``paragraph`` its number from 0. Equal lines
+    (A-Z lower-cased, white space aside) and those whose five-word shingles have a Jaccard similarity of
+    ``similarity`` or more form classes, closed under links. One occurrence is kept, the first by
+    doc_id and line; all others are for removal.
 
-    Result: ``doc_id, paragraph (line number from 0), start, end (code points), n_words, class_id,
-    class_size, kept``. A paragraph is a line of at least ``least_words`` words. Equal ones (A-Z
-    lower-cased, white space aside) and those whose five-word shingles have a Jaccard similarity of
-    ``similarity`` or more form classes, closed under links. One occurrence of a class is kept, the
-    first by doc_id and line; all others are for removal. A class within one document is not returned.
+    ``kind`` passage: a run of words that stands in other documents too, wherever it lies in its lines.
+    Texts are cut into 25-word passages at places their own words decide, so that any
+    ``passage_span`` + 24 words (50) that two documents share contain one passage in common. Runs have
+    no ``paragraph`` and no ``n_words``; ``class_id`` is the smallest passage in them.
 
-    Whole texts are read; empty and null texts and short lines have no paragraphs. Rows without
-    doc_id are left out, they can't be named. A repeated row is one document, so its
-    paragraphs do not repeat by it alone. No rows, no result.
+    What repeats within one document only is not returned. Whole texts are read; empty and null
+    texts and short lines have no paragraphs. Rows without doc_id are left out, they can't be named.
+    A repeated row is one document, so its paragraphs do not repeat by it alone. No rows, no result.
     """
     bands = tune(similarity, recall, rows)
-    signed = materialize(
-        signed_paragraphs(docs.where("doc_id is not null"), least_words, width, bands, rows), "paragraphs")
+    named = docs.where("doc_id is not null")
+    cut = materialize(signed_paragraphs(named, least_words, width, bands, rows, passage_span), "paragraphs")
+    signed = cut.where("passage is null").drop("passage")
     coarse = components(collisions(signed))
     sizes = coarse.groupBy("component").count()
     grouped = materialize(
@@ -231,7 +334,7 @@ def repeated_paragraphs(
     places = signed.join(grouped, "key").groupBy("key").agg(
         F.min(F.struct("doc_id", "paragraph")).alias("at"), F.first("group").alias("group"), F.first("tiles").alias("tiles"))
     candidates = places.select("key", "group", "tiles", "at.doc_id", "at.paragraph")
-    classes = components(verified_links(docs.where("doc_id is not null"), candidates, similarity, width, tile))
+    classes = components(verified_links(named, candidates, similarity, width, tile))
     classes = materialize(classes.select(F.col("node").alias("key"), "component"), "classes")
     narrow = materialize(
         signed.drop("bands").join(classes, "key", "left")
@@ -242,19 +345,33 @@ def repeated_paragraphs(
         F.count("*").alias("class_size"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"),
         F.min(F.struct("doc_id", "paragraph")).alias("first")
     ).where("low < high")
-    return narrow.join(materialize(spread, "repeated-classes"), "class_id").select(
-        "doc_id", "paragraph", "start", "end", "n_words", F.lower(F.hex("class_id")).alias("class_id"), "class_size",
+    lines = narrow.join(materialize(spread, "repeated-classes"), "class_id").select(
+        "doc_id", F.lit("paragraph").alias("kind"), "paragraph", "start", "end", "n_words",
+        F.lower(F.hex("class_id")).alias("class_id"), "class_size",
         (F.struct("doc_id", "paragraph") == F.col("first")).alias("kept"),
     )
+    passages = cut.where("passage is not null").select("doc_id", "start", "end", "passage")
+    runs = repeated_passages(passages).select(
+        "doc_id", F.lit("passage").alias("kind"), F.lit(None).cast("int").alias("paragraph"), "start", "end",
+        F.lit(None).cast("int").alias("n_words"), F.lower(F.lpad(F.hex("passage"), 16, "0")).alias("class_id"),
+        "class_size", "kept",
+    )
+    return lines.unionByName(runs)
 
 
 def without_repeats(docs: DataFrame, repeats: DataFrame) -> DataFrame:
-    """``docs`` with the paragraphs for removal cut out of their texts; all columns stay."""
-    name = free_name(docs, "cut")
-    cuts = repeats.where("not kept").groupBy("doc_id").agg(F.collect_set("paragraph").alias(name))
-    lines = F.split("text", "\n", -1)
-    left = F.array_join(
-        F.filter(lines, lambda line, n: ~F.array_contains(F.col(name), n)), "\n"
-    )
+    """``docs`` with everything not kept cut out of the texts, a paragraph with its line end; all columns stay."""
+    name = free_name(docs, "cuts")
+    until = F.when(F.col("kind") == "paragraph", F.col("end") + 1).otherwise(F.col("end"))
+    cuts = repeats.where("not kept").groupBy("doc_id").agg(
+        F.sort_array(F.collect_set(F.struct("start", until.alias("until")))).alias(name))
+    empty = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
+
+    def cut(left: Column, span: Column) -> Column:
+        more = F.substring(F.col("text"), left["at"] + 1, F.greatest(span["start"] - left["at"], F.lit(0)))
+        return F.struct(F.greatest(left["at"], span["until"]).alias("at"), F.concat(left["text"], more).alias("text"))
+
+    rest = F.aggregate(name, empty, cut, lambda left: F.concat(
+        left["text"], F.substring(F.col("text"), left["at"] + 1, F.length("text"))))
     return docs.join(cuts, "doc_id", "left").withColumn(
-        "text", F.when(F.col(name).isNull(), F.col("text")).otherwise(left)).select(docs.columns)
+        "text", F.when(F.col(name).isNull(), F.col("text")).otherwise(rest)).select(docs.columns)

@@ -35,7 +35,7 @@ def brute(texts, least=30, similarity=0.8, width=5):
 
 def classes(result):
     found = {}
-    for r in result:
+    for r in (r for r in result if r.kind == "paragraph"):
         found.setdefault(r.class_id, []).append((r.doc_id, r.paragraph))
     return sorted(tuple(sorted(c)) for c in found.values())
 
@@ -55,6 +55,8 @@ def test_agrees_with_all_pairs(spark, tile):
     texts += [(80, "\n".join([prose(5, 44)] * 3)), (81, prose(6, 29)), (82, prose(6, 29))]
     got = paragraphs.repeated_paragraphs(frame(spark, texts), tile=tile).collect()
     assert classes(got) == brute(texts)
+    runs, got = [r for r in got if r.kind == "passage"], [r for r in got if r.kind == "paragraph"]
+    assert {r.doc_id for r in runs} >= set(range(24)) | set(range(50, 56)) and not {r.doc_id for r in runs} & set(range(60, 83))
     for _, group in itertools.groupby(sorted(got, key=lambda r: (r.class_id, r.doc_id, r.paragraph)), key=lambda r: r.class_id):
         group = list(group)
         assert [r.kept for r in group] == [True] + [False] * (len(group) - 1)
@@ -67,7 +69,7 @@ def test_agrees_with_all_pairs(spark, tile):
 def test_awkward_rows(spark):
     texts = awkward()
     got = paragraphs.repeated_paragraphs(frame(spark, texts)).collect()
-    assert {r.doc_id for r in got} == {1, 2, 6, 7}
+    assert {(r.doc_id, r.kind) for r in got} == {(i, k) for i in (1, 2, 6, 7) for k in ("paragraph", "passage")}
     assert paragraphs.repeated_paragraphs(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
@@ -80,6 +82,39 @@ def test_removal_keeps_the_first_and_all_columns(spark):
     assert {r.doc_id: r.text for r in left.collect()} == {1: texts[0][1], 2: "c", 3: "d", 4: None}
 
 
+def shared_runs(texts, words=50):
+    """Documents that share a run of so many words with another, by brute force."""
+    where = {}
+    for doc_id, text in texts:
+        own = text.lower().split()
+        for i in range(len(own) - words + 1):
+            where.setdefault(tuple(own[i : i + words]), set()).add(doc_id)
+    return {d for docs in where.values() if len(docs) > 1 for d in docs}
+
+
+def test_passages_inside_lines_are_found(spark):
+    shared = [prose(900 + k, 50 + k) for k in range(8)]
+    texts = [(n, prose(n, 37 + n % 9) + " " + shared[n % 8] + " " + prose(500 + n, n % 40) + ("\n" if n % 3 else " ") + prose(700 + n, 20))
+             for n in range(40)]
+    texts += [(100 + n, prose(1000 + n, 150)) for n in range(20)] + [(200, shared[0].replace(" ", "\n", 20)), (201, prose(5000, 9) + " " + " ".join(shared[1].split()[:20]))]
+    got = [r for r in paragraphs.repeated_paragraphs(frame(spark, texts)).collect() if r.kind == "passage"]
+    assert {r.doc_id for r in got} == shared_runs(texts) == set(range(40)) | {200}
+    by_id = dict(texts)
+    for r in got:
+        piece = " ".join(by_id[r.doc_id][r.start : r.end].split())
+        assert len(piece.split()) >= 25 and any(piece in " ".join(by_id[d].split()) for d in by_id if d != r.doc_id)
+    assert sum(r.kept for r in got) == 8
+
+
+def test_places_are_code_points():
+    text = "É " + prose(1, 70, "aéö字") + "\n  \tx " + prose(2, 40, "äb")
+    words = paragraphs._Words(text, 5)
+    assert [text[a:b] for a, b in zip(words.starts, words.ends)] == text.split()
+    assert [text[a:b] for _, a, b, _, _ in words.paragraphs(1)] == text.split("\n")
+    assert words.key(0, 71) == paragraphs.xxhash.xxh3_128_digest(" ".join(text.split("\n")[0].split()).encode().lower())
+    assert paragraphs._Words("", 5).count == 0 and not list(paragraphs._Words("\n\n", 5).paragraphs(1))
+
+
 def test_bands_give_the_recall_they_are_tuned_for():
     assert 1 - (1 - 0.8**3) ** paragraphs.tune() >= 0.995
     hits = 0
