@@ -13,12 +13,13 @@ from pyspark.ml.classification import FMClassifier, GBTClassifier, LogisticRegre
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clip
 from ..operators.decision import REGULATORY_CONVERSION, exposure
 from ..operators.split import class_weights
+from .calibration import calibrated
 
 WEIGHT = "_weight"
 MIN_SEVERITY_ROWS = 10
@@ -43,20 +44,28 @@ def _scaled(columns: list[str]) -> list:
 
 @dataclass
 class Classifier:
-    """A fitted probability model; ``predict`` adds one column and nothing else."""
+    """A fitted probability model; ``predict`` adds one column and nothing else.
+
+    ``temperature``, where set, is applied to every probability.
+    """
 
     model: PipelineModel
+    temperature: float | None = None
 
     def predict(self, df: DataFrame, name: str = "pd") -> DataFrame:
-        scored = self.model.transform(df)
-        return scored.select(*df.columns, vector_to_array("_probability")[1].alias(name))
+        scored, prob = self.model.transform(df), vector_to_array("_probability")[1]
+        prob = prob if self.temperature is None else calibrated(prob, self.temperature)
+        return scored.select(*df.columns, prob.alias(name))
 
     def save(self, path: str) -> None:
-        self.model.write().overwrite().save(path)
+        self.model.write().overwrite().save(f"{path}/model")
+        settings = SparkSession.active().createDataFrame([(self.temperature,)], "temperature double")
+        settings.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/calibration")
 
     @classmethod
     def load(cls, path: str) -> Classifier:
-        return cls(PipelineModel.load(path))
+        settings = SparkSession.active().read.schema("temperature double").json(f"{path}/calibration").first()
+        return cls(PipelineModel.load(f"{path}/model"), settings["temperature"])
 
 
 def fit_logistic(
@@ -110,9 +119,17 @@ def fit_boosted_balanced(df: DataFrame, columns: list[str], label: str, **params
 
 
 def fit_crosses(
-    df: DataFrame, columns: list[str], label: str, factors: int = 8, max_iter: int = 100, step: float = 0.05
+    df: DataFrame, columns: list[str], label: str, factors: int = 8, max_iter: int = 100, step: float = 0.05,
+    weighted: bool = True,
 ) -> Classifier:
-    """The challenger: a factorisation machine, i.e. linear terms plus learned feature crosses."""
+    """The challenger: a factorisation machine, i.e. linear terms plus learned feature crosses.
+
+    The machine knows no row weights, so a positive row counts as often as the capped positive weight says.
+    """
+    if weighted:
+        weights = {r[label]: r["capped_weight"] for r in class_weights(df, label).collect()}
+        copies = F.when(F.col(label) == 1, max(1, round(weights.get(1, 1.0)))).otherwise(1)
+        df = df.select("*", F.explode(F.sequence(F.lit(1), copies)).alias("_copy"))
     machine = FMClassifier(
         featuresCol="_features",
         labelCol=label,

@@ -19,7 +19,7 @@ from ..models.estimators import (
     fit_two_stage_lgd,
 )
 from ..models.shapley import background_sample
-from ..models.tuning import tune_boosted
+from ..models.tuning import tune_boosted, with_temperature
 from ..operators import evaluate, quality
 from ..operators.assemble import raw_features, require_labels
 from ..operators.encode import FeatureModel, fit_features
@@ -149,9 +149,10 @@ def train(
 
 
 def add_challenger(run: TrainingRun, kind: str = "crosses", steps: int = WEIGHT_STEPS, **params) -> TrainingRun:
-    """Fit one more model on the same split, re-weigh the ensemble and re-evaluate it."""
+    """Fit one more model on the same split, calibrate it on the validation part, re-weigh and re-evaluate."""
     part = {name: run.matrix.filter(F.col("split") == name) for name in ("train", "validation", "test")}
-    models = {**run.pd_models, kind: fit_pd(kind, part["train"], run.columns, "is_default", **params)}
+    model = with_temperature(fit_pd(kind, part["train"], run.columns, "is_default", **params), part["validation"], "is_default")
+    models = {**run.pd_models, kind: model}
     names = list(models)
     validated = materialize(predictions(part["validation"], models).select("is_default", *names), "validation")
     weights = ensemble.search_weights(validated, names, "is_default", steps=steps)

@@ -12,7 +12,7 @@ from riskloom.operators import evaluate, profile, split
 from riskloom.plans import batch_scoring, training
 from riskloom.session import materialize, shared_folder
 
-from .evaluation import _OWN_EAD, MODELS
+from .evaluation import _OWN_EAD, _SPLIT, MODELS
 from .explanation import FEATURES
 from .registry import query, rounded
 from .views import LONG_REFERENCE, table, with_views
@@ -193,6 +193,30 @@ def _(spark, folder):
     return placed.select("borrower_id", F.size("embedding").alias("dimensions"), finite.alias("finite"))
 
 
+_CALIBRATED = f"""
+SELECT round(least(count(*) FILTER (is_default = 0) / (count(*) FILTER (is_default = 1) + 1), 50), 6) AS weight,
+       true AS not_worse, true AS in_unit
+FROM ({_SPLIT}) s WHERE split = 'train'"""
+
+
+@query("calibrated_challenger", with_views(["borrowers"], _CALIBRATED))
+def _(spark, folder):
+    """The challenger's positive weight, and its validation loss after calibration against that before."""
+    frame = _frame(spark, folder)
+    train, validation = frame.filter("split = 'train'"), frame.filter("split = 'validation'")
+    raw = estimators.fit_pd("crosses", train, FEATURES, "is_default")
+    model = tuning.with_temperature(raw, validation, "is_default")
+    both = model.predict(raw.predict(validation, "before"), "after")
+    y, weight = F.col("is_default"), split.class_weights(train, "is_default").filter("is_default = 1")
+
+    def loss(name: str):
+        p = F.least(F.greatest(F.col(name), F.lit(1e-7)), F.lit(1 - 1e-7))
+        return F.avg(-(y * F.ln(p) + (1 - y) * F.ln(1 - p)))
+
+    found = both.agg((loss("after") <= loss("before") + 1e-9).alias("not_worse"), F.every(F.col("after").between(0, 1)).alias("in_unit"))
+    return rounded(found.join(weight.select(F.col("capped_weight").alias("weight")), F.lit(True)))
+
+
 @query("tuned_settings")
 def _(spark, folder):
     frame = _frame(spark, folder).filter("split = 'train'")

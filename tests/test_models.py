@@ -120,3 +120,20 @@ def test_training_and_batch_scoring(spark, tmp_path):
     assert rows(batch_scoring.batch_summary(replies))[0]["total_processed"] == scored.count()
     decisions = {r["decision"] for r in rows(scored)}
     assert decisions <= {"approved", "declined", "manual_review"}
+
+    loaded = batch_scoring.Scorer.load(spark, str(tmp_path / "run"))
+    again, _ = batch_scoring.score_applications(applications, loaded)
+    assert sorted(map(str, again.collect())) == sorted(map(str, scored.collect()))
+    more = training.add_challenger(run, "crosses", steps=4, max_iter=10)
+    assert set(more.weights) == {"logistic", "boosted_balanced", "crosses"} and sum(more.weights.values()) == pytest.approx(1.0)
+    challenger = more.pd_models["crosses"]
+    assert 0.1 <= challenger.temperature <= 10
+    challenger.save(str(tmp_path / "challenger"))
+    assert estimators.Classifier.load(str(tmp_path / "challenger")).temperature == challenger.temperature
+
+
+def test_background_beyond_its_bound_raises(spark):
+    background = spark.range(20).select(F.col("id").cast("double").alias("a"))
+    df = spark.createDataFrame([("k", 1.0)], "k string, a double")
+    with pytest.raises(ValueError, match="most_background"):
+        shapley.sampled_contributions(df, "k", ["a"], background, lambda d: d.withColumn("prob", F.col("a")), 2, most_background=10)
