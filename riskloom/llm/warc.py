@@ -63,12 +63,16 @@ def dictionary_frame(dictionary: bytes) -> bytes:
 def train_dictionary(pages: DataFrame, samples: int = 256, sample_chars: int = 8192, size: int = 16384) -> bytes:
     """A dictionary learnt from at most ``samples`` pages, ``sample_chars`` of each.
 
-    The pages with the smallest hashes of their ids are taken. Too few pages to train on give a
-    dictionary of plain content.
+    Pages are drawn by the hashes of their ids, about as many as wanted over all tasks together, so
+    what comes to the driver is bounded whatever the number of pages. Too few pages to train on
+    give a dictionary of plain content.
     """
+    some = pages.where("html is not null")
+    share = min(1.0, 2.0 * samples / max(some.count(), 1))
+    drawn = F.pmod(F.xxhash64(F.lit("dictionary"), "page_id"), F.lit(1 << 30))
     rows = (
-        pages.where("html is not null")
-        .select(F.substring("html", 1, sample_chars).alias("html"), F.xxhash64("page_id").alias("h"))
+        some.where(drawn < int(share * (1 << 30)))
+        .select(F.substring("html", 1, sample_chars).alias("html"), drawn.alias("h"))
         .orderBy("h", "html").limit(samples).collect()
     )
     texts = [record(0, None, r["html"].encode(), None, "1970-01-01T00:00:00Z") for r in rows]
