@@ -284,8 +284,9 @@ def _(spark, folder):
     ]
     names = [c for c, t in scores[0].dtypes if t in ("double", "int", "string") and c != "application_id"]
     packed = [s.select("application_id", F.struct(*names).alias(n)) for n, s in zip(("a", "b"), scores, strict=True)]
-    both = packed[0].join(packed[1], "application_id")
-    return both.select(F.col("application_id").alias("borrower_id"), (F.col("a") == F.col("b")).alias("equal"))
+    both = applications.select("application_id").join(packed[0], "application_id", "left")
+    both = both.join(packed[1], "application_id", "left")  # quarantined applications have no score in either
+    return both.select(F.col("application_id").alias("borrower_id"), F.col("a").eqNullSafe(F.col("b")).alias("equal"))
 
 
 @query("batch_score_with_reasons")
