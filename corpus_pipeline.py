@@ -45,7 +45,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def training_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Writes the shards; returns the row of every slot, read back from them."""
-    return training_order.materialised_order(docs, stored=True)
+    return training_order.materialised_order(docs, shard_records=8192, stored=True)
 
 
 STAGES = [
