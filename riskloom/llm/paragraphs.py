@@ -100,7 +100,7 @@ class _Words:
         return np.unique(self.grams[low : high - self.width + 1])
 
     def passages(self, span: int) -> tuple[np.ndarray, np.ndarray]:
-        """First words and keys of the passages, each key once.
+        """First words and keys of the passages in order, every place of a key.
 
         Of every ``span`` shingles in a row the one with the smallest hash begins a passage, so texts that
         share ``span`` + PASSAGE_WORDS - 1 words share one that begins in the same place.
@@ -114,8 +114,7 @@ class _Words:
         for at in [*range(0, PASSAGE_WORDS - self.width, self.width), PASSAGE_WORDS - self.width]:
             value = (value ^ self.grams[begin + at]) * np.uint64(0x9E3779B97F4A7C15)
             value ^= value >> np.uint64(29)
-        keys, index = np.unique(value.view(np.int64), return_index=True)
-        return begin[index], keys
+        return begin, value.view(np.int64)
 
 
 def signed_paragraphs(
@@ -163,15 +162,15 @@ def signed_paragraphs(
 def repeated_passages(passages: DataFrame) -> DataFrame:
     """Runs of passages that other documents hold too: ``passages(doc_id, start, end, passage)``.
 
-    A passage is first counted by its key alone; only those met more than once are brought together. Passages
-    of a document that touch become one run, kept if every passage in it is the first of its kind.
+    Passages are first counted by key alone; only every place of those that two documents hold is brought
+    together. Passages of a document that touch become one run, kept if every passage in it is the first of its kind.
     """
     often = materialize(
-        passages.groupBy("passage").agg(F.count("*").alias("class_size")).where("class_size > 1"), "passage-counts")
+        passages.groupBy("passage").agg(
+            F.count("*").alias("class_size"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")
+        ).where("low < high").drop("low", "high"), "passage-counts")
     met = materialize(passages.join(often, "passage"), "met-passages")
-    first = met.groupBy("passage").agg(
-        F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("high")
-    ).where("first.doc_id < high").select("passage", "first")
+    first = met.groupBy("passage").agg(F.min(F.struct("doc_id", "start")).alias("first"))
     placed = met.join(materialize(first, "first-passages"), "passage").select(
         "doc_id", "start", "end", "passage", "class_size", (F.struct("doc_id", "start") == F.col("first")).alias("kept"))
     before = W.partitionBy("doc_id").orderBy("start", "end")

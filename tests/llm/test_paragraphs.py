@@ -124,3 +124,17 @@ def test_bands_give_the_recall_they_are_tuned_for():
         a, b = (paragraphs.band_hashes(paragraphs.shingles([w.encode() for w in x]), 8, 3) for x in (words, other))
         hits += bool(set(a.tolist()) & set(b.tolist()))
     assert hits >= 198
+
+
+def test_every_place_of_a_passage_is_returned(spark):
+    shared = prose(40, 60)
+    texts = [(1, shared + " " + prose(41, 45)), (2, " ".join([prose(42, 40), shared, prose(43, 40), shared, prose(44, 40), shared])),
+             (3, " ".join([prose(45, 50), prose(46, 60), prose(45, 50)]))]
+    docs = frame(spark, texts)
+    got = paragraphs.repeated_paragraphs(docs)
+    runs = [r for r in got.collect() if r.kind == "passage"]
+    assert sorted((r.doc_id, r.kept) for r in runs) == [(1, True)] + [(2, False)] * 3  # doc 3 repeats itself only
+    assert {r.class_size for r in runs} == {4}
+    left = " ".join(r.text for r in paragraphs.without_repeats(docs, got).collect())
+    middle = " ".join(shared.split()[26:34])  # 25 words from either end may be outside of all passages
+    assert left.count(middle) == 1
