@@ -159,30 +159,50 @@ def signed_paragraphs(
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 
 
-def repeated_passages(passages: DataFrame) -> DataFrame:
+def repeated_passages(passages: DataFrame, removed: DataFrame) -> DataFrame:
     """Runs of passages that other documents hold too: ``passages(doc_id, start, end, passage)``.
 
     Passages are first counted by key alone; only every place of those that two documents hold is brought
-    together. Passages of a document that touch become one run, kept if every passage in it is the first of its kind.
+    together. One place of each is kept: the first that no paragraph ``removed(doc_id, start, end)`` touches,
+    else the first. Passages of a document that touch and are all kept or all not become one run. What a
+    passage that is not kept shares with a kept one belongs to the latter, so that no cut reaches into it.
     """
     often = materialize(
         passages.groupBy("passage").agg(
             F.count("*").alias("class_size"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")
         ).where("low < high").drop("low", "high"), "passage-counts")
-    met = materialize(passages.join(often, "passage"), "met-passages")
-    first = met.groupBy("passage").agg(F.min(F.struct("doc_id", "start")).alias("first"))
+    met = passages.join(often, "passage")
+    both = met.unionByName(removed.select("doc_id", "start", "end"), allowMissingColumns=True)
+    past = F.max(F.when(F.col("passage").isNull(), F.col("end"))).over(_rows_before("start", F.desc("end")))
+    coming = F.min(F.when(F.col("passage").isNull(), F.col("start"))).over(_rows_before(F.desc("start"), "end"))
+    lost = F.coalesce(past > F.col("start"), F.lit(False)) | F.coalesce(coming < F.col("end"), F.lit(False))
+    met = materialize(both.withColumn("lost", lost).where("passage is not null"), "met-passages")
+    place = F.struct("lost", "doc_id", "start")
+    first = met.groupBy("passage").agg(F.min(place).alias("first"))
     placed = met.join(materialize(first, "first-passages"), "passage").select(
-        "doc_id", "start", "end", "passage", "class_size", (F.struct("doc_id", "start") == F.col("first")).alias("kept"))
-    before = W.partitionBy("doc_id").orderBy("start", "end")
-    reach = F.max("end").over(before.rowsBetween(W.unboundedPreceding, -1))
-    opens = (F.coalesce(F.col("start") > reach, F.lit(True))).cast("int")
-    numbered = placed.withColumn("opens", opens).withColumn("run", F.sum("opens").over(before))
+        "doc_id", "start", "end", "passage", "class_size", (place == F.col("first")).alias("kept"))
+    after = F.max(F.when(F.col("kept"), F.col("end"))).over(_rows_before("start", "end"))
+    until = F.min(F.when(F.col("kept"), F.col("start"))).over(_rows_before(F.desc("start"), F.desc("end"))) - 1  # white space
+    free = placed.withColumns({"after": after, "until": until}).select(
+        "doc_id", "passage", "class_size", "kept",
+        F.when(F.col("kept"), F.col("start")).otherwise(F.greatest("start", "after")).alias("start"),
+        F.when(F.col("kept"), F.col("end")).otherwise(F.least("end", "until")).alias("end"),
+    ).where("start < end")
+    before = _rows_before("start", "end")
+    opens = F.coalesce((F.col("start") > F.max("end").over(before)) | (F.col("kept") != F.lag("kept").over(
+        W.partitionBy("doc_id").orderBy("start", "end"))), F.lit(True)).cast("int")
+    numbered = free.withColumn("opens", opens).withColumn(
+        "run", F.sum("opens").over(before.rowsBetween(W.unboundedPreceding, W.currentRow)))
     return numbered.groupBy("doc_id", "run").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.min("passage").alias("passage"),
         F.max("class_size").alias("class_size"), F.every("kept").alias("kept"),
     )
 
 
+def _rows_before(*order: Column | str):
+    return W.partitionBy("doc_id").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+
+
 def collisions(signed: DataFrame) -> DataFrame:
     """Links ``(u, v)`` between keys that share a band, a chain per band value.
 
@@ -312,7 +332,8 @@ def repeated_paragraphs(
     ``kind`` passage: a run of words that stands in other documents too, wherever it lies in its lines.
     Texts are cut into 25-word passages at places their own words decide, so that any
     ``passage_span`` + 24 words (50) that two documents share contain one passage in common. Runs have
-    no ``paragraph`` and no ``n_words``; ``class_id`` is the smallest passage in them.
+    no ``paragraph`` and no ``n_words``; ``class_id`` is the smallest passage in them. A run ends where
+    kept passages begin, so every passage stands in one place after removal.
 
     What repeats within one document only is not returned. Whole texts are read; empty and null
     texts and short lines have no paragraphs. Rows without doc_id are left out, they can't be named.
@@ -344,13 +365,13 @@ def repeated_paragraphs(
         F.count("*").alias("class_size"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"),
         F.min(F.struct("doc_id", "paragraph")).alias("first")
     ).where("low < high")
-    lines = narrow.join(materialize(spread, "repeated-classes"), "class_id").select(
+    lines = materialize(narrow.join(materialize(spread, "repeated-classes"), "class_id").select(
         "doc_id", F.lit("paragraph").alias("kind"), "paragraph", "start", "end", "n_words",
         F.lower(F.hex("class_id")).alias("class_id"), "class_size",
         (F.struct("doc_id", "paragraph") == F.col("first")).alias("kept"),
-    )
+    ), "repeated-lines")
     passages = cut.where("passage is not null").select("doc_id", "start", "end", "passage")
-    runs = repeated_passages(passages).select(
+    runs = repeated_passages(passages, lines.where("not kept")).select(
         "doc_id", F.lit("passage").alias("kind"), F.lit(None).cast("int").alias("paragraph"), "start", "end",
         F.lit(None).cast("int").alias("n_words"), F.lower(F.lpad(F.hex("passage"), 16, "0")).alias("class_id"),
         "class_size", "kept",

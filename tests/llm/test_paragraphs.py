@@ -138,3 +138,29 @@ def test_every_place_of_a_passage_is_returned(spark):
     left = " ".join(r.text for r in paragraphs.without_repeats(docs, got).collect())
     middle = " ".join(shared.split()[26:34])  # 25 words from either end may be outside of all passages
     assert left.count(middle) == 1
+
+
+def test_overlapping_runs_keep_one_place_of_every_passage(spark):
+    x, y, z = (prose(50 + n, 80) for n in range(3))
+    texts = [(1, x + " " + y), (2, " ".join([x, y, z])), (3, y + " " + z), (4, " ".join([z, y, x, prose(60, 30), z]))]
+    near_copy = prose(70, 300)
+    inside = " ".join(near_copy.split()[:140] + prose(71, 36).split() + near_copy.split()[160:])  # a near copy with words of its own
+    own = " ".join(inside.split()[135:190])
+    texts += [(10, near_copy), (11, inside), (12, prose(72, 40) + " " + own + " " + prose(73, 40))]
+    docs = frame(spark, texts)
+    got = paragraphs.repeated_paragraphs(docs)
+    runs = [r for r in got.collect() if r.kind == "passage"]
+    assert any(r.kept for r in runs if r.doc_id == 2) and not all(r.kept for r in runs if r.doc_id == 2)
+    for r, s in itertools.combinations(runs, 2):
+        assert r.doc_id != s.doc_id or r.kept == s.kept or r.end <= s.start or s.end <= r.start
+    rest = {r.doc_id: r.text for r in paragraphs.without_repeats(docs, got).collect()}
+    places = {}
+    for doc_id, text in texts:
+        words = paragraphs._Words(text, 5)
+        for begin, key in zip(*words.passages(26)):
+            places.setdefault(int(key), {})[doc_id] = " ".join(text.split()[begin : begin + 25])
+    shared = [where for where in places.values() if len(where) > 1]
+    assert len(shared) > 15
+    for where in shared:
+        piece = next(iter(where.values()))
+        assert sum(" ".join(t.split()).count(piece) for t in rest.values()) == 1
