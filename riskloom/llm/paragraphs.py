@@ -134,12 +134,14 @@ def signed_paragraphs(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lines, passages, held = [], [], 0
+            lines, passages, held, made = [], [], 0, {}
             for doc_id, text in zip(*batch.columns, strict=True):
                 words = _Words(text.as_py() or "", width)
                 for number, start, end, low, high in words.paragraphs(least_words):
-                    lines.append((doc_id.as_py(), number, start, end, high - low, words.key(low, high),
-                                  band_hashes(words.shingles(low, high), bands, rows), None))
+                    key = words.key(low, high)
+                    if key not in made:  # common lines are hashed once per batch
+                        made[key] = band_hashes(words.shingles(low, high), bands, rows)
+                    lines.append((doc_id.as_py(), number, start, end, high - low, key, made[key], None))
                 begin, keys = words.passages(span)
                 if len(keys):
                     passages.append((np.full(len(keys), doc_id.as_py(), np.int64), words.starts[begin],
@@ -214,9 +216,10 @@ def collisions(signed: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys, lists = batch.column(0), batch.column(1)
+            one = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_index=True)[1]  # equal keys need no link
+            keys, lists = (c.take(pa.array(one)) for c in batch.columns)
             bands = np.asarray(lists.flatten())
-            owner = np.repeat(np.arange(batch.num_rows), len(bands) // batch.num_rows)
+            owner = np.repeat(np.arange(len(one)), len(bands) // len(one))
             first, inverse = np.unique(bands, return_index=True, return_inverse=True)[1:]
             head = owner[first][inverse]
             leads = np.zeros(len(bands), bool)

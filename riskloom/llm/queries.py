@@ -30,7 +30,8 @@ def op3(spark, folder):
 
 @query("op4_paragraph_dedup")
 def op4(spark, folder):
-    return paragraphs.repeated_paragraphs(table(spark, folder, "documents"))
+    """Every line that has a shingle is compared, short ones too."""
+    return paragraphs.repeated_paragraphs(table(spark, folder, "documents"), least_words=5)
 
 
 @query("op5_licence_scan")

@@ -3,6 +3,7 @@ import itertools
 import pytest
 
 from riskloom.llm import paragraphs
+from riskloom.llm.queries import op4
 
 from .frames import SCHEMA, awkward, frame, prose
 
@@ -164,3 +165,13 @@ def test_overlapping_runs_keep_one_place_of_every_passage(spark):
     for where in shared:
         piece = next(iter(where.values()))
         assert sum(" ".join(t.split()).count(piece) for t in rest.values()) == 1
+
+
+def test_the_query_compares_short_lines(spark, tmp_path):
+    a, b, c = prose(80, 29), prose(81, 5), prose(82, 9)
+    texts = [(n, prose(100 + n, 12) + "\n" + t) for n, t in enumerate([a, a.upper(), a + " end", b, b, c, "of " + c, prose(83, 4), prose(83, 4)])]
+    texts += [(20 + n, t) for n, t in enumerate(near(prose(84, 28), 8))] + [(40, prose(85, 6) + "\n" + prose(85, 6))]
+    frame(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    got = op4(spark, str(tmp_path)).collect()
+    assert classes(got) == brute(texts, least=5)
+    assert {r.doc_id for r in got} >= set(range(7)) and not {r.doc_id for r in got} & {7, 8, 40}
