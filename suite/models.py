@@ -17,8 +17,6 @@ from .explanation import FEATURES
 from .registry import query, rounded
 from .views import LONG_REFERENCE, table, with_views
 
-SMALL = {"maxIter": 5, "maxDepth": 3}
-SMALL_PARAMS = {k: SMALL for k in ("boosted", "boosted_balanced", "lgd", "ead", "fraud")}
 TEMPERATURES = [0.1, 0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 5.0, 10.0]
 
 _LOGIT = "ln(least(greatest(rough_pd, 1e-7), 1 - 1e-7) / (1 - least(greatest(rough_pd, 1e-7), 1 - 1e-7)))"
@@ -106,9 +104,9 @@ def _make_frame(spark, folder):
     return materialize(split.stratified_split(filled, "is_default"), "frame")
 
 
-def _test_scores(spark, folder, kind, **params):
+def _test_scores(spark, folder, kind):
     frame = _frame(spark, folder)
-    model = estimators.fit_pd(kind, frame.filter("split = 'train'"), FEATURES, "is_default", **params)
+    model = estimators.fit_pd(kind, frame.filter("split = 'train'"), FEATURES, "is_default")
     scored = model.predict(frame.filter("split = 'test'"), "prob")
     return scored.select("borrower_id", F.col("is_default").alias("label"), "prob")
 
@@ -127,29 +125,24 @@ _REACHED = """
 SELECT '{kind}' AS model, sum(floor(n * 0.2 + 0.5))::BIGINT AS rows, true AS in_unit, true AS auc_reached, true AS ks_reached
 FROM (SELECT count(*) AS n FROM borrowers GROUP BY is_default)"""
 
-for _kind, _floor, _params in [
-    ("logistic", 0.55, {}),
-    ("boosted", 0.60, SMALL),
-    ("boosted_balanced", 0.60, SMALL),
-    ("crosses", 0.55, {}),
-]:
+for _kind, _floor in [("logistic", 0.55), ("boosted", 0.60), ("boosted_balanced", 0.60), ("crosses", 0.55)]:
 
     @query(f"fit_pd_{_kind}", with_views(["borrowers"], _REACHED.format(kind=_kind)))
-    def _(spark, folder, kind=_kind, floor=_floor, params=_params):
-        return _reached(_test_scores(spark, folder, kind, **params), kind, floor)
+    def _(spark, folder, kind=_kind, floor=_floor):
+        return _reached(_test_scores(spark, folder, kind), kind, floor)
 
 
 @query("fit_lgd_two_stage")
 def _(spark, folder):
     frame = _frame(spark, folder)
-    model = estimators.fit_two_stage_lgd(frame.filter("split = 'train'"), FEATURES, "lgd_value", **SMALL)
+    model = estimators.fit_two_stage_lgd(frame.filter("split = 'train'"), FEATURES, "lgd_value")
     return model.predict(frame.filter("split = 'test'")).select("borrower_id", "lgd_value", "lgd")
 
 
 @query("fit_lgd_direct")
 def _(spark, folder):
     frame = _frame(spark, folder)
-    model = estimators.fit_direct_lgd(frame.filter("split = 'train'"), FEATURES, "lgd_value", **SMALL)
+    model = estimators.fit_direct_lgd(frame.filter("split = 'train'"), FEATURES, "lgd_value")
     return model.predict(frame.filter("split = 'test'"), "lgd").select("borrower_id", "lgd_value", "lgd")
 
 
@@ -158,14 +151,14 @@ def _(spark, folder):
     drawn, limit = "current_credit_balance", "total_credit_limit"
     factor = profile.conversion_label(F.col("ead_value"), F.col(drawn), F.col(limit))
     frame = _frame(spark, folder).withColumn("conversion", factor)
-    model = estimators.fit_exposure(frame.filter("split = 'train'"), FEATURES, "conversion", **SMALL)
+    model = estimators.fit_exposure(frame.filter("split = 'train'"), FEATURES, "conversion")
     return model.predict(frame.filter("split = 'test'"), drawn, limit).select("borrower_id", "ead_value", "ead")
 
 
 @query("fit_fraud")
 def _(spark, folder):
     frame = _frame(spark, folder)
-    model = estimators.fit_fraud(frame.filter("split = 'train'"), FEATURES, "is_fraud", **SMALL)
+    model = estimators.fit_fraud(frame.filter("split = 'train'"), FEATURES, "is_fraud")
     return model.predict(frame.filter("split = 'test'"), "fraud_score").select("borrower_id", "is_fraud", "fraud_score")
 
 
@@ -220,8 +213,7 @@ def _(spark, folder):
 @query("tuned_settings")
 def _(spark, folder):
     frame = _frame(spark, folder).filter("split = 'train'")
-    options = [{"maxIter": 4, "maxDepth": 2}, {"maxIter": 4, "maxDepth": 4}]
-    best = tuning.tune_boosted(frame, FEATURES, "is_default", options)
+    best = tuning.tune_boosted(frame, FEATURES, "is_default")
     return spark.createDataFrame([(k, float(v)) for k, v in best.items()], "parameter string, value double")
 
 
@@ -235,17 +227,16 @@ def _(spark, folder):
 def _(spark, folder):
     frame = _frame(spark, folder)
     train = frame.filter("split = 'train'")
-    model = estimators.fit_pd("boosted", train, FEATURES, "is_default", **SMALL)
-    background = shapley.background_sample(train, "borrower_id", FEATURES, 100)
+    model = estimators.fit_pd("boosted", train, FEATURES, "is_default")
+    background = shapley.background_sample(train, "borrower_id", FEATURES)
     return shapley.sampled_contributions(
-        frame.filter("split = 'test'"), "borrower_id", FEATURES, background, lambda df: model.predict(df, "prob"), 4
+        frame.filter("split = 'test'"), "borrower_id", FEATURES, background, lambda df: model.predict(df, "prob")
     )
 
 
 def _run(spark, folder):
     inputs = [table(spark, folder, n) for n in ("borrowers", "long_transactions", "payments")]
-    params = {**SMALL_PARAMS, "logistic": {"max_iter": 50}}
-    return _once("run", spark, folder, lambda: training.train(*inputs, LONG_REFERENCE, params=params))
+    return _once("run", spark, folder, lambda: training.train(*inputs, LONG_REFERENCE))
 
 
 @query("training_run")
@@ -255,7 +246,7 @@ def _(spark, folder):
 
 @query("training_run_with_challenger")
 def _(spark, folder):
-    run = training.add_challenger(_run(spark, folder), "crosses", factors=4, max_iter=10)
+    run = training.add_challenger(_run(spark, folder), "crosses")
     return run.pd_metrics
 
 
@@ -296,5 +287,5 @@ def _(spark, folder):
     applications = table(spark, folder, "borrowers").withColumn("application_id", F.col("borrower_id"))
     scored, _ = batch_scoring.score_applications(applications, scorer, use_balance=True)
     scored = materialize(scored, "scores")
-    notices = batch_scoring.declined_reasons(scorer.matrix(applications), scored, scorer, run.background, samples=2)
+    notices = batch_scoring.declined_reasons(scorer.matrix(applications), scored, scorer, run.background)
     return batch_scoring.responses(scored, notices)

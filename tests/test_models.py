@@ -137,3 +137,33 @@ def test_background_beyond_its_bound_raises(spark):
     df = spark.createDataFrame([("k", 1.0)], "k string, a double")
     with pytest.raises(ValueError, match="most_background"):
         shapley.sampled_contributions(df, "k", ["a"], background, lambda d: d.withColumn("prob", F.col("a")), 2, most_background=10)
+
+
+def test_model_queries_run_at_the_operators_own_settings(spark, monkeypatch):
+    from unittest.mock import MagicMock
+
+    import suite.models as m
+    from suite.registry import QUERIES
+
+    made = {}
+    for module, name in [(m.estimators, "fit_pd"), (m.estimators, "fit_two_stage_lgd"), (m.estimators, "fit_direct_lgd"), (m.estimators, "fit_exposure"),
+                         (m.estimators, "fit_fraud"), (m.tuning, "tune_boosted"), (m.training, "train"), (m.training, "add_challenger"),
+                         (m.shapley, "background_sample"), (m.shapley, "sampled_contributions"), (m.batch_scoring, "declined_reasons")]:
+        made[name] = MagicMock()
+        monkeypatch.setattr(module, name, made[name])
+    monkeypatch.setattr(m.batch_scoring, "score_applications", lambda *a, **k: (MagicMock(), None))
+    for name in ("_frame", "table", "materialize", "_reached"):
+        monkeypatch.setattr(m, name, MagicMock())
+    monkeypatch.setattr(m.batch_scoring, "responses", MagicMock())
+    monkeypatch.setattr(m.batch_scoring, "Scorer", MagicMock())
+    made["tune_boosted"].return_value = {}
+    session = MagicMock()
+    for name in ("fit_pd_boosted", "fit_pd_boosted_balanced", "fit_lgd_two_stage", "fit_lgd_direct", "fit_exposure", "fit_fraud", "tuned_settings",
+                 "sampled_contributions", "training_run", "training_run_with_challenger", "batch_score_with_reasons"):
+        QUERIES[name](session, name)
+    for name, mock in made.items():
+        assert mock.called, name
+        for call in mock.call_args_list:
+            assert not set(call.kwargs) - {"steps"}, (name, call.kwargs)
+    assert all(len(c.args) == 3 for c in made["tune_boosted"].call_args_list + made["background_sample"].call_args_list)
+    assert all(len(c.args) == 5 for c in made["sampled_contributions"].call_args_list)
