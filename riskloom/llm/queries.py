@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from riskloom.llm import chat, decontaminate, language, licences, mixing, paragraphs, search, simhash, training_order, warc
+from riskloom.llm import (
+    bpe, chat, decontaminate, language, licences, mixing, paragraphs, search, simhash, training_order, warc,
+)
 from riskloom.session import shared_folder
 from suite.registry import query
 
@@ -157,3 +160,9 @@ def op10(spark, folder):
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
     formatted = chat.format_conversations(turns.withColumn("parts", chat.text_parts(F.col("text"))))
     return chat.digests(chat.read_back(formatted))
+
+
+@query("op13_bpe_round_trip")
+def op13(spark, folder):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return bpe.digests(bpe.decode(bpe.encode(table(spark, folder, "documents"), path), path))
