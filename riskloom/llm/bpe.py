@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,9 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$
 MAX_NODES = 1 << 20  # a larger trie is begun anew, which changes no result
 MAX_PAIRS = 1 << 20
 ROWS = 1024  # rows of an outgoing batch
+PART = 1 << 21  # characters whose words are held at once
+# Between two ASCII letters a space always begins a word.
+BORDER = regex.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
 
 
 def byte_letters() -> list[str]:
@@ -52,10 +56,14 @@ class Vocabulary:
             known = all(c in byte for c in token)
             self.bytes[i] = bytes(byte[c] for c in token) if known else token.encode()
         self.longest = max(map(len, self.ids))
-        self.merges = {}
+        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.parts: dict[int, tuple[int, int, int]] = {}  # of a token: the two merged into it, and the rank
         for rank, pair in enumerate(model["merges"]):
             left, right = (bytes(byte[c] for c in part) for part in (pair.split(" ") if isinstance(pair, str) else pair))
-            self.merges[self.ids[left], self.ids[right]] = (rank, self.ids[left + right])
+            left, right, whole = self.ids[left], self.ids[right], self.ids[left + right]
+            if any(part in self.parts and self.parts[part][2] > rank for part in (left, right)) or whole in self.parts:
+                raise ValueError("a merge stands before those of its parts, or makes a token again")
+            self.merges[left, right], self.parts[whole] = (rank, whole), (left, right, rank)
         longest_first = "|".join(map(regex.escape, sorted(added, key=len, reverse=True)))
         self.special = regex.compile(f"({longest_first})") if added else None
 
@@ -79,44 +87,78 @@ class Trie:
     is worked out once, and a word's encoding is read backwards along its path.
     """
 
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, vocabulary: Vocabulary, apart: dict[int, bool] | None = None):
         self.vocabulary = vocabulary
         self.child: dict[int, int] = {}
         self.last: list[int] = [-1]
-        self.apart: dict[int, bool] = {}
+        self.apart = {} if apart is None else apart  # pairs of tokens, which no trie changes
+        self.alone: dict[int, bool] = {}
+
+    def _stay_apart(self, left: int, right: int) -> bool:
+        """Whether two tokens, each its own encoding, stay as they are beside each other.
 
-    def _stay_apart(self, left: int | None, right: int) -> bool:
-        """Whether the tokens stay as they are beside each other; without a left one, whether the right one does."""
-        key = -1 - right if left is None else left << 32 | right
+        Seen backwards in time, each side of the border was its token, then that token's part at
+        the border, down to bytes. Two parts that stood there together merge if their
+        rank comes before the merge that took either away; at equal ranks the leftmost goes first.
+        """
+        key = left << 32 | right
         known = self.apart.get(key)
-        if known is None:
-            held = self.vocabulary
-            word = held.bytes[right] if left is None else held.bytes[left] + held.bytes[right]
-            known = held.plain(word) == ([right] if left is None else [left, right])
-            if len(self.apart) >= MAX_PAIRS:
-                self.apart.clear()
-            self.apart[key] = known
+        if known is not None:
+            return known
+        merges, parts, never = self.vocabulary.merges, self.vocabulary.parts, len(self.vocabulary.merges)
+        a, b, a_until, b_until, known = left, right, never, never, True
+        while True:
+            merge = merges.get((a, b))
+            if merge is not None and merge[0] < a_until and merge[0] <= b_until:
+                known = False
+                break
+            a_made, b_made = parts.get(a), parts.get(b)
+            if b_made is not None and (a_made is None or b_made[2] >= a_made[2]):
+                b, b_until = b_made[0], b_made[2]
+            elif a_made is not None:
+                a, a_until = a_made[1], a_made[2]
+            else:
+                break
+        if len(self.apart) >= MAX_PAIRS:
+            self.apart.clear()
+        self.apart[key] = known
         return known
 
     def _last_token(self, word: bytes, end: int, lasts: list[int]) -> int:
         ids = self.vocabulary.ids
         for start in range(max(0, end - self.vocabulary.longest), end):
             token = ids.get(word[start:end])
-            if token is not None and self._stay_apart(lasts[start - 1] if start else None, token):
+            if token is not None and (self._stay_apart(lasts[start - 1], token) if start else self._stands(token)):
                 return token
         raise ValueError("the vocabulary lacks a byte")
 
+    def _stands(self, token: int) -> bool:
+        """Whether the token is the encoding of its own bytes: its parts are, and make nothing else."""
+        known = self.alone.get(token)
+        if known is None:
+            held = self.vocabulary
+            known = self.alone[token] = held.plain(held.bytes[token]) == [token]
+        return known
+
     def encode(self, words: list[bytes]) -> Iterator[tuple[bytes, list[int]]]:
         """Encodings of ``words``, inserted in order of their bytes: a depth-first walk of the trie."""
         child, last, size = self.child, self.last, self.vocabulary.bytes
+        before, nodes, lasts = b"", [0], []
         for word in sorted(words):
-            node, lasts = 0, []
-            for end, byte in enumerate(word, 1):
-                edge = node << 8 | byte
+            common = 0
+            for a, b in zip(before, word):  # noqa: B905
+                if a != b:
+                    break
+                common += 1
+            del nodes[common + 1 :], lasts[common:]
+            before, node = word, nodes[-1]
+            for end in range(common + 1, len(word) + 1):
+                edge = node << 8 | word[end - 1]
                 node = child.get(edge)
                 if node is None:
                     node = child[edge] = len(last)
                     last.append(self._last_token(word, end, lasts))
+                nodes.append(node)
                 lasts.append(last[node])
             ids, end = [], len(word)
             while end:
@@ -135,10 +177,11 @@ class Encoder:
         self.published = pre_tokenizers.ByteLevel(add_prefix_space=False)
         self.letters = {letter: b for b, letter in enumerate(byte_letters())}
         self.alike: set[str] = set()
+        self.apart: dict[int, bool] = {}
         self._restart()
 
     def _restart(self) -> None:
-        self.trie, self.packed = Trie(self.vocabulary), {}
+        self.trie, self.packed = Trie(self.vocabulary, self.apart), {}
 
     def _is_alike(self, char: str) -> bool:
         """Whether both Unicode tables, of ``regex`` and of ``tokenizers``, see one class in the character."""
@@ -146,7 +189,7 @@ class Encoder:
         letter, number, space = (bool(c.match(char)) for c in self.classes)
         return joins == [letter, number, not (letter or number or space)]
 
-    def _pieces(self, text: str) -> list[bytes]:
+    def _pieces(self, text: str) -> list[str]:
         """The words of a text without special strings.
 
         The two libraries know different versions of Unicode. Where a text has a character they
@@ -158,31 +201,56 @@ class Encoder:
             self.alike |= same
             if same != strange:
                 cut = self.published.pre_tokenize_str(text)
-                return [bytes(self.letters[c] for c in word) for word, _ in cut]
-        return [w.encode() for w in self.pattern.findall(text)]
-
-    def words(self, text: str) -> list[bytes | int]:
-        """Words as bytes, special strings as their ids."""
-        if self.vocabulary.special is None or not self.vocabulary.special.search(text):
-            return self._pieces(text)
-        out: list[bytes | int] = []
-        for part in self.vocabulary.special.split(text):
+                return [bytes(self.letters[c] for c in word).decode() for word, _ in cut]
+        return self.pattern.findall(text)
+
+    def _parts(self, text: str) -> Iterator[str | int]:
+        """Special strings as their ids, other text in parts of bounded size where it has words to cut between."""
+        held = [text] if self.vocabulary.special is None else self.vocabulary.special.split(text)
+        for part in held:
             special = self.vocabulary.specials.get(part)
-            out.extend(self._pieces(part) if special is None else [special])
-        return out
+            if special is not None:
+                yield special
+                continue
+            at = 0
+            while len(part) - at > PART:
+                found = BORDER.search(part, at + PART)
+                if found is None:
+                    break
+                yield part[at : found.start()]
+                at = found.start()
+            yield part[at:]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text; all new words enter the trie together."""
-        if len(self.trie.last) > self.max_nodes:
-            self._restart()
-        cut = [self.words(t) for t in texts]
-        packed = self.packed
-        new = {w for words in cut for w in words if w not in packed}
-        for word, ids in self.trie.encode([w for w in new if isinstance(w, bytes)]):
-            packed[word] = np.array(ids, "<i4").tobytes()
-        for special in (w for w in new if not isinstance(w, bytes)):
-            packed[special] = np.array([special], "<i4").tobytes()
-        return [b"".join(map(packed.__getitem__, words)) for words in cut]
+        """Little-endian 32-bit ids of each text; the new words of some ``PART`` characters enter the trie together."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        waiting: list[tuple[int, list[str]]] = []
+        held = 0
+
+        def flush() -> None:
+            if len(self.trie.last) > self.max_nodes or len(self.packed) > self.max_nodes:
+                self._restart()
+            packed = self.packed
+            new = set().union(*(words for _, words in waiting)).difference(packed)
+            for word, ids in self.trie.encode([w.encode() for w in new]):
+                packed[word.decode()] = array("i", ids).tobytes()
+            for at, words in waiting:
+                out[at].append(b"".join(map(packed.__getitem__, words)))
+            waiting.clear()
+
+        for at, text in enumerate(texts):
+            for part in self._parts(text):
+                if isinstance(part, int):
+                    flush()
+                    out[at].append(array("i", [part]).tobytes())
+                    continue
+                waiting.append((at, self._pieces(part)))
+                held += len(part)
+                if held > PART:
+                    flush()
+                    held = 0
+        flush()
+        return [b"".join(parts) for parts in out]
 
     def decode(self, ids: list[int]) -> str:
         """The text of the ids, special ones included; bytes that are no UTF-8 become U+FFFD."""
@@ -252,7 +320,7 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
 
 def digests(decoded: DataFrame) -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of ``decode``'s rows."""
-    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    listed = F.btrim(F.to_json("ids"), F.lit("[]"))  # far cheaper than a cast of every id
     return decoded.select(
         "doc_id", "n_tokens", F.sha2(listed.cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))

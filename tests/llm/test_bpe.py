@@ -66,6 +66,7 @@ def test_trie_gives_what_merging_by_definition_gives(own):
 
 def test_small_tries_and_pair_tables_change_nothing(own, library, monkeypatch):
     monkeypatch.setattr(bpe, "MAX_PAIRS", 5)
+    monkeypatch.setattr(bpe, "PART", 40)
     small = bpe.Encoder(own.vocabulary, max_nodes=20)
     for text in [prose(7, 200), prose(8, 200), *TEXTS]:
         assert ids(small, text) == library.encode(text, add_special_tokens=False).ids
