@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from riskloom.llm import (
-    bpe, chat, decontaminate, language, licences, mixing, paragraphs, search, simhash, training_order, warc,
+    bpe, chat, decontaminate, language, licences, mixing, paragraphs, runs, search, simhash, training_order, warc,
 )
 from riskloom.session import shared_folder
 from suite.registry import query
@@ -162,6 +162,12 @@ def op10(spark, folder):
     return chat.digests(chat.read_back(formatted))
 
 
+@query("op11_periodic_runs")
+def op11(spark, folder):
+    planted = runs.with_planted_periods(table(spark, folder, "documents"))
+    return runs.digests(runs.periodic_runs(planted))
+
+
 @query("op13_bpe_round_trip")
 def op13(spark, folder):
     path = public_tokenizers.path("byte_bpe_50k.json")
