@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from riskloom.llm import (
-    bpe, chat, decontaminate, language, licences, mixing, paragraphs, runs, search, simhash, training_order, warc,
+    bpe, chat, collocations, decontaminate, language, licences, mixing, paragraphs, runs, search, simhash, training_order, warc,
 )
 from riskloom.session import shared_folder
 from suite.registry import query
@@ -168,6 +168,43 @@ def op11(spark, folder):
     return runs.digests(runs.periodic_runs(planted))
 
 
+OP12 = r"""
+WITH t AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM t),
+g AS (
+  SELECT lang, k, unnest(list_transform(generate_series(1, len(words) - k + 1),
+                         lambda i: array_to_string(words[i:i + k - 1], ' '))) AS phrase
+  FROM p, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(words) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+n AS (SELECT lang, sum(len(words))::BIGINT AS n FROM p GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS words FROM f WHERE k > 1),
+h AS (
+  SELECT lang, array_to_string(words[i:i + m - 1], ' ') AS phrase, max(a) AS most
+  FROM c, (SELECT unnest([2, 3, 4]) AS m), (SELECT unnest([1, 2, 3, 4]) AS i)
+  WHERE m < k AND i + m - 1 <= k GROUP BY ALL),
+o AS (SELECT c.* FROM c LEFT JOIN h USING (lang, phrase) WHERE most IS NULL OR 100 * most < 100 * a),
+u AS (
+  SELECT o.lang, o.phrase, a, n, cut, x.f AS l, y.f AS r,
+         ((1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM o JOIN n USING (lang), (SELECT unnest([1, 2, 3, 4]) AS cut), f x, f y
+  WHERE cut < o.k AND x.lang = o.lang AND y.lang = o.lang AND x.phrase = array_to_string(words[1:cut], ' ')
+    AND y.phrase = array_to_string(words[cut + 1:o.k], ' ')),
+s AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+SELECT lang, row_number() OVER w AS rank, phrase, a, l, r, n, score FROM s
+WINDOW w AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)
+QUALIFY row_number() OVER w <= 2000
+"""
+
+
+@query("op12_collocations", OP12)
+def op12(spark, folder):
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 @query("op13_bpe_round_trip")
 def op13(spark, folder):
     path = public_tokenizers.path("byte_bpe_50k.json")
