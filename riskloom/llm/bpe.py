@@ -17,7 +17,8 @@ from tokenizers import pre_tokenizers
 # Fixed value: the words of this family of vocabularies, in the form that never looks back.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 MAX_NODES = 1 << 20  # a larger trie is begun anew, which changes no result
-MAX_PAIRS = 1 << 20
+MAX_WORDS = 1 << 19
+MAX_PAIRS = 1 << 19
 ROWS = 1024  # rows of an outgoing batch
 PART = 1 << 21  # characters whose words are held at once
 # Between two ASCII letters a space always begins a word.
@@ -55,6 +56,7 @@ class Vocabulary:
         for token, i in added.items():
             known = all(c in byte for c in token)
             self.bytes[i] = bytes(byte[c] for c in token) if known else token.encode()
+        self.sizes = {i: len(b) for b, i in self.ids.items()}
         self.longest = max(map(len, self.ids))
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
         self.parts: dict[int, tuple[int, int, int]] = {}  # of a token: the two merged into it, and the rank
@@ -124,11 +126,15 @@ class Trie:
         self.apart[key] = known
         return known
 
+    def _fits(self, start: int, token: int, lasts: list[int]) -> bool:
+        return self._stay_apart(lasts[start - 1], token) if start else self._stands(token)
+
     def _last_token(self, word: bytes, end: int, lasts: list[int]) -> int:
+        """The one suffix that fits, short ones tried first."""
         ids = self.vocabulary.ids
-        for start in range(max(0, end - self.vocabulary.longest), end):
+        for start in range(end - 1, max(0, end - self.vocabulary.longest) - 1, -1):
             token = ids.get(word[start:end])
-            if token is not None and (self._stay_apart(lasts[start - 1], token) if start else self._stands(token)):
+            if token is not None and self._fits(start, token, lasts):
                 return token
         raise ValueError("the vocabulary lacks a byte")
 
@@ -142,7 +148,7 @@ class Trie:
 
     def encode(self, words: list[bytes]) -> Iterator[tuple[bytes, list[int]]]:
         """Encodings of ``words``, inserted in order of their bytes: a depth-first walk of the trie."""
-        child, last, size = self.child, self.last, self.vocabulary.bytes
+        child, last, size, known, apart = self.child, self.last, self.vocabulary.sizes, self.vocabulary.ids, self.apart
         before, nodes, lasts = b"", [0], []
         for word in sorted(words):
             common = 0
@@ -157,13 +163,18 @@ class Trie:
                 node = child.get(edge)
                 if node is None:
                     node = child[edge] = len(last)
-                    last.append(self._last_token(word, end, lasts))
+                    # Mostly the last token before, with the new byte.
+                    start = end - 1 - size[lasts[-1]] if lasts else 0
+                    token = known.get(word[start:end])
+                    if token is None or not (start and apart.get(lasts[start - 1] << 32 | token) or self._fits(start, token, lasts)):
+                        token = self._last_token(word, end, lasts)
+                    last.append(token)
                 nodes.append(node)
                 lasts.append(last[node])
             ids, end = [], len(word)
             while end:
                 ids.append(lasts[end - 1])
-                end -= len(size[ids[-1]])
+                end -= size[ids[-1]]
             yield word, ids[::-1]
 
 
@@ -228,7 +239,7 @@ class Encoder:
         held = 0
 
         def flush() -> None:
-            if len(self.trie.last) > self.max_nodes or len(self.packed) > self.max_nodes:
+            if len(self.trie.last) > self.max_nodes or len(self.packed) > MAX_WORDS:
                 self._restart()
             packed = self.packed
             new = set().union(*(words for _, words in waiting)).difference(packed)
@@ -252,20 +263,39 @@ class Encoder:
         flush()
         return [b"".join(parts) for parts in out]
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of the ids, special ones included; bytes that are no UTF-8 become U+FFFD."""
-        return b"".join(map(self.vocabulary.bytes.__getitem__, ids)).decode("utf-8", "replace")
+
+class Decoder:
+    """Texts of token ids, special ones included; bytes that are no UTF-8 become U+FFFD."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        known = vocabulary.bytes
+        self.table = pa.array([known.get(i) for i in range(max(known) + 1)], pa.binary())
+
+    def decode(self, ids: pa.ListArray) -> pa.Array:
+        """One string per list, none where the list is null. The tokens' bytes lie in order, so only ends are looked up."""
+        tokens = self.table.take(ids.flatten())
+        if tokens.null_count:
+            raise ValueError("an id is not in the vocabulary")
+        lengths = np.array([0 if n is None else n for n in ids.value_lengths().to_pylist()], np.int64)
+        ends = np.cumsum([0, *lengths])
+        starts = np.frombuffer(tokens.buffers()[1], "<i4")[tokens.offset :][ends]
+        bitmap = None if not ids.null_count else pa.array(ids.is_valid()).buffers()[1]
+        whole = pa.Array.from_buffers(pa.binary(), len(ids), [bitmap, pa.py_buffer(starts.tobytes()), tokens.buffers()[2]])
+        try:
+            return whole.cast(pa.string())
+        except pa.ArrowInvalid:
+            return pa.array([None if b is None else b.decode("utf-8", "replace") for b in whole.to_pylist()], pa.string())
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_MADE: dict[tuple, Encoder | Decoder] = {}
 
 
-def encoder(content: bytes) -> Encoder:
-    """One encoder per Python worker and vocabulary."""
-    name = hashlib.sha1(content).hexdigest()
-    if name not in _ENCODERS:
-        _ENCODERS[name] = Encoder(Vocabulary(content))
-    return _ENCODERS[name]
+def _made(kind: type, content: bytes) -> Encoder | Decoder:
+    """One encoder or decoder per Python worker and vocabulary."""
+    name = (kind, hashlib.sha1(content).hexdigest())
+    if name not in _MADE:
+        _MADE[name] = kind(Vocabulary(content))
+    return _MADE[name]
 
 
 def _sent(docs: DataFrame, vocabulary: str):
@@ -286,7 +316,7 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
     sent = _sent(docs, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(sent.value)
+        own = _made(Encoder, sent.value)
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
@@ -306,13 +336,12 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     sent = _sent(encoded, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(sent.value)
+        own = _made(Decoder, sent.value)
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
-                texts = [None if ids is None else own.decode(ids) for ids in batch.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())],
-                                                 ["doc_id", "n_tokens", "ids", "text"])
+                texts = own.decode(batch.column(2))
+                yield pa.RecordBatch.from_arrays([*batch.columns, texts], ["doc_id", "n_tokens", "ids", "text"])
 
     kinds = "doc_id long, n_tokens long, ids array<int>, text string"
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, kinds)

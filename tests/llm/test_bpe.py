@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -29,6 +30,11 @@ def ids(own, text):
     return [int.from_bytes(packed[i : i + 4], "little") for i in range(0, len(packed), 4)]
 
 
+def decoded(own, *lists):
+    texts = bpe.Decoder(own.vocabulary).decode(pa.array(lists, pa.list_(pa.int32()))).to_pylist()
+    return texts[0] if len(texts) == 1 else texts
+
+
 TEXTS = [
     "", " ", "a", "Hello world", "it's we'll 12 34,5 'S", "x\ny\n\nz  ", "tab\tx  y\r\n z", "é ü 字字 😀 👩‍👩‍👧", "a\x85b\x1cc",
     "<|endoftext|>", "a <|endoftext|> b<|endoftext|><|endoftext|>", "<|endoftext", "aaaaaaaaaaaaaaaaaaaaaaaaaaa", "-" * 300,
@@ -41,7 +47,7 @@ TEXTS = [
 def test_ids_and_text_are_the_librarys(own, library, text):
     want = library.encode(text, add_special_tokens=False).ids
     assert ids(own, text) == want
-    assert own.decode(want) == library.decode(want, skip_special_tokens=False) == text
+    assert decoded(own, want) == library.decode(want, skip_special_tokens=False) == text
 
 
 def test_random_texts(own, library):
@@ -74,7 +80,16 @@ def test_small_tries_and_pair_tables_change_nothing(own, library, monkeypatch):
 
 def test_bytes_that_are_no_text(own, library):
     broken = [own.vocabulary.ids[bytes([b])] for b in (0xE5, 0xAD, 0x41, 0xFF, 0xF0, 0x9F, 0x98)]
-    assert own.decode(broken) == library.decode(broken, skip_special_tokens=False)
+    assert decoded(own, broken) == library.decode(broken, skip_special_tokens=False)
+
+
+def test_lists_of_ids(own):
+    a, b = ids(own, "a 字 <|endoftext|>"), ids(own, "b")
+    assert decoded(own, a, [], None, b, None) == ["a 字 <|endoftext|>", "", None, "b", None]
+    held = pa.array([b, a, None, b], pa.list_(pa.int32())).slice(1, 2)
+    assert bpe.Decoder(own.vocabulary).decode(held).to_pylist() == ["a 字 <|endoftext|>", None]
+    with pytest.raises(ValueError, match="not in the vocabulary"):
+        decoded(own, [None])
 
 
 def test_rows(spark, library):
