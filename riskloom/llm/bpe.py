@@ -16,9 +16,9 @@ from tokenizers import pre_tokenizers
 
 # Fixed value: the words of this family of vocabularies, in the form that never looks back.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
-MAX_NODES = 1 << 20  # a larger trie is begun anew, which changes no result
-MAX_WORDS = 1 << 19
-MAX_PAIRS = 1 << 19
+MAX_NODES = 1 << 18  # a larger trie is begun anew, which changes no result
+MAX_WORDS = 1 << 17
+MAX_PAIRS = 1 << 18
 ROWS = 1024  # rows of an outgoing batch
 PART = 1 << 21  # characters whose words are held at once
 # Between two ASCII letters a space always begins a word.
@@ -188,11 +188,8 @@ class Encoder:
         self.published = pre_tokenizers.ByteLevel(add_prefix_space=False)
         self.letters = {letter: b for b, letter in enumerate(byte_letters())}
         self.alike: set[str] = set()
-        self.apart: dict[int, bool] = {}
-        self._restart()
-
-    def _restart(self) -> None:
-        self.trie, self.packed = Trie(self.vocabulary, self.apart), {}
+        self.trie = Trie(vocabulary)
+        self.packed: dict[str, bytes] = {}
 
     def _is_alike(self, char: str) -> bool:
         """Whether both Unicode tables, of ``regex`` and of ``tokenizers``, see one class in the character."""
@@ -239,8 +236,10 @@ class Encoder:
         held = 0
 
         def flush() -> None:
-            if len(self.trie.last) > self.max_nodes or len(self.packed) > MAX_WORDS:
-                self._restart()
+            if len(self.trie.last) > self.max_nodes:
+                self.trie = Trie(self.vocabulary, self.trie.apart)
+            if len(self.packed) > MAX_WORDS:
+                self.packed = {}
             packed = self.packed
             new = set().union(*(words for _, words in waiting)).difference(packed)
             for word, ids in self.trie.encode([w.encode() for w in new]):
@@ -310,8 +309,8 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
     ``vocabulary`` is the path of a ``tokenizers`` file with byte-level BPE; no special tokens are added,
     special strings inside a text are their ids, as that library has it by default. Null text counts
     as empty, has no ids and an empty array. Rows without doc_id and repeated rows stay rows, other
-    columns are not read. No rows, no result rows. A worker holds the trie and the words of
-    ``MAX_NODES`` prefixes or so, and of one batch of texts.
+    columns are not read. No rows, no result rows. A worker holds some
+    ``MAX_NODES`` prefixes, ``MAX_WORDS`` words and one batch of texts.
     """
     sent = _sent(docs, vocabulary)
 
