@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,34 +18,35 @@ from riskloom.session import materialize
 
 NO_LANGUAGE = "und"
 LONGEST = 5
-CHUNK_WORDS = 1 << 20  # words a task holds as numbers at once
-SHARD_GRAMS = 1 << 18  # n-grams of a shard on average, at most, before equal ones are combined
+CHUNK_WORDS = 1 << 18  # words a task holds as numbers at once
+SHARD_GRAMS = 1 << 18  # words or n-grams of a shard on average, at most, before equal ones are combined
 TOP_SALTS = 64
+ID = "<u4"
 # A-Z become small, the marks that end a piece become line feeds, tabs become spaces.
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\x0d\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
-CHUNKS = ("chunk long, seq binary, langs array<string>, words array<string>, counts array<long>, "
-          "named array<string>, sizes array<long>")
+WORDS = "lang string, word string, f long, shard long, rank long, chunk long, spots binary, ranks binary"
+CHUNKS = "chunk long, seq binary, n_words long, owners binary, words binary, counts binary, langs array<string>, sizes array<long>"
 
 
 class _Numbers(dict):
     """Numbers of the words of one language within a chunk, given at the first meeting."""
 
-    def __init__(self, lang: str, langs: list[str], words: list[bytes]):
+    def __init__(self, lang: int, owners: list[int], words: list[bytes]):
         super().__init__({b"": -1, b"\n": 0})
-        self.lang, self.langs, self.words = lang, langs, words
+        self.lang, self.owners, self.words = lang, owners, words
 
     def __missing__(self, word: bytes) -> int:
-        self.langs.append(self.lang)
+        self.owners.append(self.lang)
         self.words.append(word)
         self[word] = len(self.words)
         return self[word]
 
 
 class _Chunk:
-    """Texts as numbers: 0 ends a piece, word number n is ``words[n - 1]`` of language ``langs[n - 1]``."""
+    """Texts as numbers: 0 ends a piece, word number n is ``words[n - 1]`` of language ``owners[n - 1]``."""
 
     def __init__(self):
-        self.langs: list[str] = []
+        self.owners: list[int] = []
         self.words: list[bytes] = []
         self.known: dict[str, _Numbers] = {}
         self.parts: list[np.ndarray] = []
@@ -52,8 +54,9 @@ class _Chunk:
 
     def add(self, lang: str, text: str) -> None:
         tokens = text.encode().translate(FOLD).replace(b"\n", b" \n ").split(b" ")
-        numbers = self.known.setdefault(lang, _Numbers(lang, self.langs, self.words))
-        found = np.fromiter(map(numbers.__getitem__, tokens), np.int64, len(tokens))
+        if lang not in self.known:
+            self.known[lang] = _Numbers(len(self.known), self.owners, self.words)
+        found = np.fromiter(map(self.known[lang].__getitem__, tokens), np.int64, len(tokens))
         found = found[found >= 0]
         self.parts += [found, np.zeros(1, np.int64)]
         self.held += len(found)
@@ -61,16 +64,16 @@ class _Chunk:
     def row(self, number: int) -> dict:
         seq = np.concatenate(self.parts)
         counts = np.bincount(seq, minlength=len(self.words) + 1)[1:]
-        names = sorted(self.known)
-        where = {lang: at for at, lang in enumerate(names)}
-        owner = np.fromiter((where[lang] for lang in self.langs), np.int64, len(self.langs))
-        sizes = np.bincount(owner, counts, len(names)).astype(np.int64)
-        return {"chunk": number, "seq": seq.astype("<u4").tobytes(), "langs": self.langs,
-                "words": [w.decode() for w in self.words], "counts": counts, "named": names, "sizes": sizes}
+        owners = np.array(self.owners, np.int64)
+        sizes = [int(counts[owners == at].sum()) for at in range(len(self.known))]
+        return {"chunk": number, "seq": seq.astype("<u4").tobytes(), "n_words": len(counts),
+                "owners": owners.astype("<u4").tobytes(), "words": b"\n".join(self.words),
+                "counts": counts.astype("<u4").tobytes(), "langs": list(self.known), "sizes": sizes}
 
 
 def _batch(rows: list[dict], schema: str) -> pa.RecordBatch:
-    kinds = {"long": pa.int64(), "binary": pa.binary(), "array<string>": pa.list_(pa.string()), "array<long>": pa.list_(pa.int64())}
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(),
+             "array<string>": pa.list_(pa.string()), "array<long>": pa.list_(pa.int64())}
     fields = [pa.field(*[f(v) for f, v in zip((str, kinds.get), part.split(" "), strict=True)]) for part in schema.split(", ")]
     return pa.RecordBatch.from_pylist(rows, pa.schema(fields))
 
@@ -93,25 +96,77 @@ def numbered_chunks(docs: DataFrame, chunk_words: int = CHUNK_WORDS) -> DataFram
     return materialize(given.mapInArrow(run, CHUNKS), "chunks")
 
 
-def vocabulary(chunks: DataFrame, least: int) -> DataFrame:
-    """``(lang, word, f, id)`` of the words met ``least`` times or more; ids count from 1 without gaps.
+def _shard_bits(amount: int | None, per_shard: int, most: int = 32) -> int:
+    return min(most, max(0, ((amount or 0) // per_shard).bit_length()))
 
-    Only the row counts of the tasks that wrote the words come to the driver.
+
+def count_words(chunks: DataFrame, least: int, shard_grams: int = SHARD_GRAMS) -> DataFrame:
+    """Words met ``least`` times or more: ``(lang, word, f, shard, rank)``, and ``(chunk, spots, shard, ranks)``.
+
+    Each chunk sends its words by shards of their hash; a shard's words are counted in one group. A word comes
+    once per chunk, so shards are alike however common it is. The second kind of row, with ``word`` null, tells a
+    chunk which of its words were frequent; a frequent word is named by its shard and its rank there.
     """
-    listed = chunks.select(F.inline(F.arrays_zip("langs", "words", "counts")))
-    totals = listed.groupBy(F.col("langs").alias("lang"), F.col("words").alias("word")).agg(F.sum("counts").alias("f"))
-    spotted = materialize(
-        totals.where(F.col("f") >= least).withColumn("spot", F.monotonically_increasing_id()), "frequent-words")
-    task = F.shiftright("spot", 33)
-    sizes = sorted(spotted.groupBy(task.alias("task")).count().collect())
-    before, rows = 0, []
-    for found, count in sizes:
-        rows.append((found, before))
-        before += count
-    starts = spotted.sparkSession.createDataFrame(rows, "task long, before long")
-    inside = F.col("spot").bitwiseAND(F.lit((1 << 33) - 1))
-    placed = spotted.withColumn("task", task).join(F.broadcast(starts), "task")  # as many rows as tasks
-    return materialize(placed.select("lang", "word", "f", (F.col("before") + inside + 1).alias("id")), "vocabulary")
+    bits = _shard_bits(chunks.agg(F.sum("n_words")).first()[0], shard_grams)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                words = row["words"].split(b"\n") if row["n_words"] else []
+                counts, owners = np.frombuffer(row["counts"], "<u4"), np.frombuffer(row["owners"], "<u4")
+                first = [zlib.crc32(lang.encode()) for lang in row["langs"]]
+                hashed = (zlib.crc32(w, first[o]) for w, o in zip(words, owners.tolist(), strict=True))
+                shards = np.fromiter(hashed, np.int64, len(words)) & ((1 << bits) - 1)
+                order = np.lexsort((owners, shards))
+                place = shards[order] * len(first) + owners[order]
+                starts = np.flatnonzero(np.append(True, place[1:] != place[:-1])) if len(order) else []
+                made = []
+                for a, b in zip(starts, [*starts[1:], len(order)] if len(order) else [], strict=True):
+                    spots = order[a:b]
+                    made.append({
+                        "shard": int(shards[spots[0]]), "chunk": row["chunk"], "lang": row["langs"][owners[spots[0]]],
+                        "spots": spots.astype("<u4").tobytes(), "words": b"\n".join([words[i] for i in spots.tolist()]),
+                        "counts": counts[spots].tobytes()})
+                yield _batch(made, "shard long, chunk long, lang string, spots binary, words binary, counts binary")
+
+    def combine(table: pa.Table) -> pa.Table:
+        shard, rows = table.column("shard")[0].as_py(), table.select(["chunk", "lang", "spots", "words", "counts"]).to_pylist()
+        known: dict[tuple[str, bytes], int] = {}
+        numbers, counts = [], []
+        for row in rows:
+            lang, words = row["lang"], row["words"].split(b"\n")
+            numbers.append(np.fromiter((known.setdefault((lang, w), len(known)) for w in words), np.int64, len(words)))
+            counts.append(np.frombuffer(row["counts"], "<u4").astype(np.int64))
+        totals = np.zeros(len(known), np.int64)
+        np.add.at(totals, np.concatenate(numbers), np.concatenate(counts))
+        # Ranks by language and word, so that a repeated task names the words alike.
+        found = sorted(key for key, number in known.items() if totals[number] >= least)
+        rank = np.full(len(known), -1, np.int64)
+        rank[[known[key] for key in found]] = np.arange(len(found))
+        out = [{"lang": lang, "word": word.decode(), "f": int(totals[known[lang, word]]), "shard": shard, "rank": at}
+               for at, (lang, word) in enumerate(found)]
+        for row, number in zip(rows, numbers, strict=True):
+            ranks = rank[number]
+            spots = np.frombuffer(row["spots"], "<u4")[ranks >= 0]
+            if len(spots):
+                out.append({"chunk": row["chunk"], "shard": shard, "spots": spots.tobytes(),
+                            "ranks": ranks[ranks >= 0].astype("<u4").tobytes()})
+        return pa.Table.from_batches([_batch(out, WORDS)])
+
+    sent = chunks.select("chunk", "n_words", "owners", "words", "counts", "langs").mapInArrow(
+        emit, "shard long, chunk long, lang string, spots binary, words binary, counts binary")
+    return materialize(sent.groupBy("shard").applyInArrow(combine, WORDS), "words")
+
+
+def vocabulary(counted: DataFrame) -> tuple[DataFrame, int]:
+    """``(lang, word, f, id)`` of the frequent words, and the bits of an id: those of the shard and of the longest rank.
+
+    Ids begin at 1, as 0 ends a piece.
+    """
+    most = counted.agg(F.max("rank")).first()[0]
+    rank_bits = int((most or 0) + 1).bit_length()
+    word_id = F.shiftleft("shard", rank_bits) + F.col("rank") + 1
+    return counted.where("word is not null").select("lang", "word", "f", word_id.alias("id")), rank_bits
 
 
 def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -145,32 +200,29 @@ def _grams(seq: np.ndarray, packing: Packing) -> tuple[np.ndarray, tuple]:
     return places, sort_count(packing.keys(words))
 
 
-def _from_ids(chunks: DataFrame, known: DataFrame) -> DataFrame:
-    """``(chunk, seq)``: stretches of two frequent words and more, as ids, a zero after each.
+def _from_words(chunks: DataFrame, counted: DataFrame, rank_bits: int) -> DataFrame:
+    """``(chunk, seq, n)``: stretches of two frequent words and more, as ids, a zero after each.
 
     A chunk gets the ids of its own words only, so no task holds the whole vocabulary.
     """
-    listed = chunks.select("chunk", F.posexplode(F.arrays_zip("langs", "words")).alias("spot", "own"))
-    listed = listed.select("chunk", "spot", F.col("own.langs").alias("lang"), F.col("own.words").alias("word"))
-    ids = listed.join(known.select("lang", "word", "id"), ["lang", "word"]).groupBy("chunk").agg(
-        F.collect_list(F.struct("spot", "id")).alias("ids"))
+    ids = counted.where("chunk is not null").groupBy("chunk").agg(F.collect_list(F.struct("shard", "spots", "ranks")).alias("held"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, seq, size, ids in zip(*batch.columns, strict=True):
-                numbers = np.frombuffer(seq.as_py(), "<u4")
-                held = np.zeros(size.as_py() + 1, np.int64)
-                spots, found = ids.values.flatten()
-                held[spots.to_numpy() + 1] = found.to_numpy()
-                words = held[numbers]
+            for chunk, seq, n_words, held in zip(*batch.columns, strict=True):
+                known = np.zeros(n_words.as_py() + 1, np.int64)
+                for row in held.as_py():
+                    ranks = np.frombuffer(row["ranks"], "<u4").astype(np.int64)
+                    known[np.frombuffer(row["spots"], "<u4") + 1] = (row["shard"] << rank_bits) + ranks + 1
+                words = known[np.frombuffer(seq.as_py(), "<u4")]
                 yield _state(chunk, _stretches(words, words > 0, 0, 2))
 
-    given = chunks.select("chunk", "seq", F.size("words").alias("size")).join(ids, "chunk")
-    return given.select("chunk", "seq", "size", "ids").mapInArrow(run, "chunk long, seq binary, n long")
+    given = chunks.select("chunk", "seq", "n_words").join(ids, "chunk")
+    return given.select("chunk", "seq", "n_words", "held").mapInArrow(run, "chunk long, seq binary, n long")
 
 
 def _state(chunk: pa.Scalar, seq: np.ndarray) -> pa.RecordBatch:
-    columns = [pa.array([chunk.as_py()], pa.int64()), pa.array([seq.astype("<u8").tobytes()], pa.binary()),
+    columns = [pa.array([chunk.as_py()], pa.int64()), pa.array([seq.astype(ID).tobytes()], pa.binary()),
                pa.array([len(seq)], pa.int64())]
     return pa.RecordBatch.from_arrays(columns, ["chunk", "seq", "n"])
 
@@ -185,7 +237,7 @@ def _count_level(state: DataFrame, packing: Packing, shard_bits: int, least: int
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, seq in zip(*batch.columns, strict=True):
-                _, (keys, counts, _) = _grams(np.frombuffer(seq.as_py(), "<u8"), packing)
+                _, (keys, counts, _) = _grams(np.frombuffer(seq.as_py(), ID), packing)
                 filters = cut_in_shards(packing, keys, counts, shard_bits)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([f.shard for f in filters], pa.int64()),
@@ -224,7 +276,7 @@ def _next_state(state: DataFrame, level: DataFrame, packing: Packing, shard_bits
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, body, held in zip(*batch.columns, strict=True):
-                seq = np.frombuffer(body.as_py(), "<u8")
+                seq = np.frombuffer(body.as_py(), ID)
                 places, (keys, _, number) = _grams(seq, packing)
                 enough, shards = np.zeros(len(keys), bool), packing.shard(keys, shard_bits)
                 for row in held.as_py():
@@ -238,20 +290,22 @@ def _next_state(state: DataFrame, level: DataFrame, packing: Packing, shard_bits
     return given.mapInArrow(run, "chunk long, seq binary, n long")
 
 
-def frequent_phrases(chunks: DataFrame, known: DataFrame, least: int, longest: int = LONGEST,
+def frequent_phrases(chunks: DataFrame, counted: DataFrame, least: int, longest: int = LONGEST,
                      shard_grams: int = SHARD_GRAMS) -> DataFrame:
     """``(words, f)``: every n-gram of 1 to ``longest`` word ids that occurs ``least`` times or more, with its exact count.
 
     An n-gram can only be frequent if both n-grams one word shorter in it are; so each level counts only
     the windows of stretches that the level before left.
     """
-    bits = max(1, int(known.agg(F.max("id")).first()[0] or 1).bit_length())
+    known, rank_bits = vocabulary(counted)
+    bits = int(known.agg(F.max("id")).first()[0] or 1).bit_length()
+    if bits > 32:
+        raise ValueError("more than four billion frequent words")
     found = known.select(F.array("id").alias("words"), "f")
-    state = materialize(_from_ids(chunks, known), "stretches")
+    state = materialize(_from_words(chunks, counted, rank_bits), "stretches")
     for length in range(2, longest + 1):
-        windows = state.agg(F.sum("n")).first()[0] or 0
         packing = Packing(length, bits)
-        shard_bits = min(packing.width, max(0, (windows // shard_grams).bit_length()))
+        shard_bits = _shard_bits(state.agg(F.sum("n")).first()[0], shard_grams, packing.width)
         level = materialize(_count_level(state, packing, shard_bits, least), "level")
         found = found.unionByName(level.where("words is not null").select("words", "f"))
         if length < longest:
@@ -288,9 +342,10 @@ def collocations(docs: DataFrame, least: int = 100, top: int = 2000, longest: in
     No rows, or no phrase that is frequent enough, give no rows.
     """
     chunks = numbered_chunks(docs, chunk_words)
-    known = vocabulary(chunks, least)
-    counted = materialize(frequent_phrases(chunks, known, least, longest, shard_grams), "phrases")
-    sizes = chunks.select(F.inline(F.arrays_zip("named", "sizes"))).groupBy(F.col("named").alias("lang")).agg(F.sum("sizes").alias("n"))
+    words = count_words(chunks, least, shard_grams)
+    known, _ = vocabulary(words)
+    counted = materialize(frequent_phrases(chunks, words, least, longest, shard_grams), "phrases")
+    sizes = chunks.select(F.inline(F.arrays_zip("langs", "sizes"))).groupBy(F.col("langs").alias("lang")).agg(F.sum("sizes").alias("n"))
 
     several = counted.where(F.size("words") > 1)
     longer = several.where(F.size("words") > 2).select("f", F.explode(_parts("words", 2)).alias("words"))
