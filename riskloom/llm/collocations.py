@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,13 +22,23 @@ LONGEST = 5
 CHUNK_WORDS = 1 << 18  # words a task holds as numbers at once
 SHARD_GRAMS = 1 << 18  # words or n-grams of a shard on average, at most, before equal ones are combined
 TOP_SALTS = 64
-ID = "<u4"
 # A-Z become small, the marks that end a piece become line feeds, tabs become spaces.
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\x0d\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
 WORDS = "lang string, word string, f long, shard long, rank long, chunk long, spots binary, ranks binary"
 CHUNKS = "chunk long, seq binary, n_words long, owners binary, words binary, counts binary, langs array<string>, sizes array<long>"
 
 
+def _pack(values: np.ndarray) -> bytes:
+    """Non-negative numbers in as few bytes as the largest needs, compressed."""
+    most = int(values.max()) if len(values) else 0
+    size = 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4 if most < 1 << 32 else 8
+    return bytes([size]) + zstandard.compress(values.astype(f"<u{size}").tobytes(), 1)
+
+
+def _unpack(content: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(content[1:]), f"<u{content[0]}").astype(np.int64)
+
+
 class _Numbers(dict):
     """Numbers of the words of one language within a chunk, given at the first meeting."""
 
@@ -66,9 +77,8 @@ class _Chunk:
         counts = np.bincount(seq, minlength=len(self.words) + 1)[1:]
         owners = np.array(self.owners, np.int64)
         sizes = [int(counts[owners == at].sum()) for at in range(len(self.known))]
-        return {"chunk": number, "seq": seq.astype("<u4").tobytes(), "n_words": len(counts),
-                "owners": owners.astype("<u4").tobytes(), "words": b"\n".join(self.words),
-                "counts": counts.astype("<u4").tobytes(), "langs": list(self.known), "sizes": sizes}
+        return {"chunk": number, "seq": _pack(seq), "n_words": len(counts), "owners": _pack(owners),
+                "words": zstandard.compress(b"\n".join(self.words), 1), "counts": _pack(counts), "langs": list(self.known), "sizes": sizes}
 
 
 def _batch(rows: list[dict], schema: str) -> pa.RecordBatch:
@@ -112,8 +122,8 @@ def count_words(chunks: DataFrame, least: int, shard_grams: int = SHARD_GRAMS) -
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                words = row["words"].split(b"\n") if row["n_words"] else []
-                counts, owners = np.frombuffer(row["counts"], "<u4"), np.frombuffer(row["owners"], "<u4")
+                words = zstandard.decompress(row["words"]).split(b"\n") if row["n_words"] else []
+                counts, owners = _unpack(row["counts"]), _unpack(row["owners"])
                 first = [zlib.crc32(lang.encode()) for lang in row["langs"]]
                 hashed = (zlib.crc32(w, first[o]) for w, o in zip(words, owners.tolist(), strict=True))
                 shards = np.fromiter(hashed, np.int64, len(words)) & ((1 << bits) - 1)
@@ -122,11 +132,11 @@ def count_words(chunks: DataFrame, least: int, shard_grams: int = SHARD_GRAMS) -
                 starts = np.flatnonzero(np.append(True, place[1:] != place[:-1])) if len(order) else []
                 made = []
                 for a, b in zip(starts, [*starts[1:], len(order)] if len(order) else [], strict=True):
-                    spots = order[a:b]
+                    spots = np.array(sorted(order[a:b].tolist(), key=words.__getitem__))  # alike words side by side
                     made.append({
                         "shard": int(shards[spots[0]]), "chunk": row["chunk"], "lang": row["langs"][owners[spots[0]]],
-                        "spots": spots.astype("<u4").tobytes(), "words": b"\n".join([words[i] for i in spots.tolist()]),
-                        "counts": counts[spots].tobytes()})
+                        "spots": _pack(spots), "counts": _pack(counts[spots]),
+                        "words": zstandard.compress(b"\n".join([words[i] for i in spots.tolist()]), 1)})
                 yield _batch(made, "shard long, chunk long, lang string, spots binary, words binary, counts binary")
 
     def combine(table: pa.Table) -> pa.Table:
@@ -134,9 +144,9 @@ def count_words(chunks: DataFrame, least: int, shard_grams: int = SHARD_GRAMS) -
         known: dict[tuple[str, bytes], int] = {}
         numbers, counts = [], []
         for row in rows:
-            lang, words = row["lang"], row["words"].split(b"\n")
+            lang, words = row["lang"], zstandard.decompress(row["words"]).split(b"\n")
             numbers.append(np.fromiter((known.setdefault((lang, w), len(known)) for w in words), np.int64, len(words)))
-            counts.append(np.frombuffer(row["counts"], "<u4").astype(np.int64))
+            counts.append(_unpack(row["counts"]))
         totals = np.zeros(len(known), np.int64)
         np.add.at(totals, np.concatenate(numbers), np.concatenate(counts))
         # Ranks by language and word, so that a repeated task names the words alike.
@@ -147,10 +157,9 @@ def count_words(chunks: DataFrame, least: int, shard_grams: int = SHARD_GRAMS) -
                for at, (lang, word) in enumerate(found)]
         for row, number in zip(rows, numbers, strict=True):
             ranks = rank[number]
-            spots = np.frombuffer(row["spots"], "<u4")[ranks >= 0]
+            spots = _unpack(row["spots"])[ranks >= 0]
             if len(spots):
-                out.append({"chunk": row["chunk"], "shard": shard, "spots": spots.tobytes(),
-                            "ranks": ranks[ranks >= 0].astype("<u4").tobytes()})
+                out.append({"chunk": row["chunk"], "shard": shard, "spots": _pack(spots), "ranks": _pack(ranks[ranks >= 0])})
         return pa.Table.from_batches([_batch(out, WORDS)])
 
     sent = chunks.select("chunk", "n_words", "owners", "words", "counts", "langs").mapInArrow(
@@ -212,9 +221,8 @@ def _from_words(chunks: DataFrame, counted: DataFrame, rank_bits: int) -> DataFr
             for chunk, seq, n_words, held in zip(*batch.columns, strict=True):
                 known = np.zeros(n_words.as_py() + 1, np.int64)
                 for row in held.as_py():
-                    ranks = np.frombuffer(row["ranks"], "<u4").astype(np.int64)
-                    known[np.frombuffer(row["spots"], "<u4") + 1] = (row["shard"] << rank_bits) + ranks + 1
-                words = known[np.frombuffer(seq.as_py(), "<u4")]
+                    known[_unpack(row["spots"]) + 1] = (row["shard"] << rank_bits) + _unpack(row["ranks"]) + 1
+                words = known[_unpack(seq.as_py())]
                 yield _state(chunk, _stretches(words, words > 0, 0, 2))
 
     given = chunks.select("chunk", "seq", "n_words").join(ids, "chunk")
@@ -222,7 +230,7 @@ def _from_words(chunks: DataFrame, counted: DataFrame, rank_bits: int) -> DataFr
 
 
 def _state(chunk: pa.Scalar, seq: np.ndarray) -> pa.RecordBatch:
-    columns = [pa.array([chunk.as_py()], pa.int64()), pa.array([seq.astype(ID).tobytes()], pa.binary()),
+    columns = [pa.array([chunk.as_py()], pa.int64()), pa.array([_pack(seq)], pa.binary()),
                pa.array([len(seq)], pa.int64())]
     return pa.RecordBatch.from_arrays(columns, ["chunk", "seq", "n"])
 
@@ -237,7 +245,7 @@ def _count_level(state: DataFrame, packing: Packing, shard_bits: int, least: int
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, seq in zip(*batch.columns, strict=True):
-                _, (keys, counts, _) = _grams(np.frombuffer(seq.as_py(), ID), packing)
+                _, (keys, counts, _) = _grams(_unpack(seq.as_py()), packing)
                 filters = cut_in_shards(packing, keys, counts, shard_bits)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([f.shard for f in filters], pa.int64()),
@@ -276,7 +284,7 @@ def _next_state(state: DataFrame, level: DataFrame, packing: Packing, shard_bits
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, body, held in zip(*batch.columns, strict=True):
-                seq = np.frombuffer(body.as_py(), ID)
+                seq = _unpack(body.as_py())
                 places, (keys, _, number) = _grams(seq, packing)
                 enough, shards = np.zeros(len(keys), bool), packing.shard(keys, shard_bits)
                 for row in held.as_py():
@@ -299,8 +307,6 @@ def frequent_phrases(chunks: DataFrame, counted: DataFrame, least: int, longest:
     """
     known, rank_bits = vocabulary(counted)
     bits = int(known.agg(F.max("id")).first()[0] or 1).bit_length()
-    if bits > 32:
-        raise ValueError("more than four billion frequent words")
     found = known.select(F.array("id").alias("words"), "f")
     state = materialize(_from_words(chunks, counted, rank_bits), "stretches")
     for length in range(2, longest + 1):
