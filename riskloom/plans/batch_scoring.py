@@ -5,11 +5,13 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
+from pyspark.ml.classification import GBTClassificationModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..models import ensemble
 from ..models.estimators import Classifier, ExposureModel, Regressor, TwoStageLGD
+from ..models.leaf_paths import tree_contributions
 from ..models.shapley import sampled_contributions
 from ..operators import explain, quality
 from ..operators.decision import score_frame
@@ -88,13 +90,19 @@ def declined_reasons(
     samples: int = 8,
     model: str | None = None,
 ) -> DataFrame:
-    """Notices for declined rows only, from sampled contributions of one model of the ensemble."""
+    """Notices for declined rows only, from the contributions of one model of the ensemble.
+
+    Those of a boosted model are exact, from its leaves; for any other model they are sampled.
+    """
     columns = scorer.features.columns
     explained_model = scorer.pd_models[model or max(scorer.weights, key=scorer.weights.get)]
     declined = matrix.join(explain.declined_only(scored).select(key), key, "left_semi")
-    long = sampled_contributions(
-        declined, key, columns, background, lambda df: explained_model.predict(df, "prob"), samples
-    )
+    if isinstance(explained_model.model.stages[-1], GBTClassificationModel):
+        long = tree_contributions(declined, key, columns, background, explained_model.model)
+    else:
+        long = sampled_contributions(
+            declined, key, columns, background, lambda df: explained_model.predict(df, "prob"), samples
+        )
     return explain.notice(explain.adverse_reasons(explain.from_long(long, key)), key)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from ..models.estimators import (
     fit_two_stage_lgd,
 )
 from ..models.shapley import background_sample
+from ..models.side_by_side import side_by_side, training_table
 from ..models.tuning import tune_boosted, with_temperature
 from ..operators import evaluate, quality
 from ..operators.assemble import raw_features, require_labels
@@ -97,9 +99,12 @@ def train(
     params: dict[str, dict] | None = None,
     search: list[dict] | None = None,
     steps: int = WEIGHT_STEPS,
+    parallelism: int | None = None,
 ) -> TrainingRun:
     """Validate, build features, split, fit, weigh and evaluate.
 
+    The models don't depend on each other and are fitted side by side, ``parallelism`` at once (default: one per core).
+
     Raw features are written once and re-read by every later step. Vocabularies, state means
     and medians are learned from the training part alone, so the test part stays unseen.
     """
@@ -116,16 +121,23 @@ def train(
     part = {name: matrix.filter(F.col("split") == name) for name in ("train", "validation", "test")}
 
     if search is not None:
-        params["boosted"] = {**params.get("boosted", {}), **tune_boosted(part["train"], columns, "is_default", search, key)}
-    pd_models = {k: fit_pd(k, part["train"], columns, "is_default", **params.get(k, {})) for k in kinds}
+        params["boosted"] = {**params.get("boosted", {}), **tune_boosted(part["train"], columns, "is_default", search, key, parallelism)}
+    factor = conversion_label(F.col("ead_value"), F.col(CARRIED[0]), F.col(CARRIED[1]))
+    table = training_table(part["train"].withColumn("_conversion", factor).drop("split"))
+    fits = {
+        **{f"pd_{k}": partial(fit_pd, k, table, columns, "is_default", **params.get(k, {})) for k in kinds},
+        "lgd": partial(fit_two_stage_lgd, table, columns, "lgd_value", **params.get("lgd", {})),
+        "ead": partial(fit_exposure, table, columns, "_conversion", **params.get("ead", {})),
+        "fraud": partial(fit_fraud, table, columns, "is_fraud", **params.get("fraud", {})),
+    }
+    # The longest fits begin first.
+    fitted = side_by_side(raw.sparkSession, {name: fits[name] for name in sorted(fits, key=lambda n: n != "fraud")}, parallelism)
+    table.unpersist()
+    pd_models = {k: fitted[f"pd_{k}"] for k in kinds}
+    lgd, ead, fraud = fitted["lgd"], fitted["ead"], fitted["fraud"]
     validated = materialize(predictions(part["validation"], pd_models).select("is_default", *kinds), "validation")
     weights = ensemble.search_weights(validated, list(kinds), "is_default", steps=steps)
 
-    lgd = fit_two_stage_lgd(part["train"], columns, "lgd_value", **params.get("lgd", {}))
-    factor = conversion_label(F.col("ead_value"), F.col(CARRIED[0]), F.col(CARRIED[1]))
-    ead = fit_exposure(part["train"].withColumn("_conversion", factor), columns, "_conversion", **params.get("ead", {}))
-    fraud = fit_fraud(part["train"], columns, "is_fraud", **params.get("fraud", {}))
-
     tested = predictions(part["test"], pd_models).withColumn("ensemble", ensemble.combine(weights))
     tested = ead.predict(lgd.predict(tested, "lgd"), CARRIED[0], CARRIED[1], "ead")
     tested = materialize(tested.select(*TARGET_COLUMNS, *kinds, "ensemble", "lgd", "ead"), "test-scores")

@@ -24,6 +24,8 @@ def build_session(master: str | None = None, app: str = "riskloom", **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Fits that run side by side share the cores instead of queueing.
+        "spark.scheduler.mode": "FAIR",
         # Recording a Python stack per column expression doubles the time to build wide plans.
         "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,

@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskloom.models import ensemble, estimators, shapley, tuning
+from riskloom.models import ensemble, estimators, leaf_paths, shapley, tuning
+from riskloom.models.side_by_side import side_by_side, training_table
 from riskloom.operators import evaluate, profile, split
 from riskloom.plans import batch_scoring, training
 from riskloom.session import materialize, shared_folder
@@ -223,11 +224,70 @@ def _(spark, folder):
     return ensemble.weights_table(spark, ensemble.search_weights(scored, MODELS, "is_default"))
 
 
+def _boosted(spark, folder, columns):
+    """The boosted default model of the training part, fitted once per session."""
+
+    def make():
+        part = training_table(_frame(spark, folder).filter("split = 'train'").select("is_default", *columns))
+        return side_by_side(spark, {"boosted": lambda: estimators.fit_pd("boosted", part, columns, "is_default")})["boosted"]
+
+    return _once(f"boosted {' '.join(columns)}", spark, folder, make)
+
+
+_EXPLAINED = f"SELECT borrower_id, true AS {{}} FROM ({_SPLIT}) s WHERE split = 'test'"
+
+
+@query("exact_contributions", with_views(["borrowers"], _EXPLAINED.format("additive")))
+def _(spark, folder):
+    """Of every borrower of the test part: the contributions add up to the margin less the background's mean margin."""
+    frame, model = _frame(spark, folder), _boosted(spark, folder, FEATURES).model
+    test = frame.filter("split = 'test'")
+    background = materialize(shapley.background_sample(frame.filter("split = 'train'"), "borrower_id", FEATURES), "background")
+    found = leaf_paths.tree_contributions(test, "borrower_id", FEATURES, background, model)
+    sums = found.groupBy("borrower_id").agg(F.sum("contribution").alias("total"), F.count("feature").alias("features"))
+    mean = leaf_paths.margins(background, model).agg(F.avg("margin").alias("mean"))
+    margin = leaf_paths.margins(test.select("borrower_id", *FEATURES), model).join(F.broadcast(mean), F.lit(True))
+    near = F.abs(F.col("margin") - F.col("mean") - F.col("total")) < 1e-9
+    return margin.join(sums, "borrower_id").select(
+        "borrower_id", (near & (F.col("features") == len(FEATURES))).alias("additive"))
+
+
+FOUR = FEATURES[:4]
+
+
+@query("exact_contributions_by_coalitions", with_views(["borrowers"], _EXPLAINED.format("equal")))
+def _(spark, folder):
+    """A model of four features: contributions from leaves equal those from the worth of all 16 coalitions."""
+    frame, model = _frame(spark, folder), _boosted(spark, folder, FOUR).model
+    test = frame.filter("split = 'test'").select("borrower_id", *FOUR)
+    background = materialize(shapley.background_sample(frame.filter("split = 'train'"), "borrower_id", FOUR, 40), "background")
+    found = leaf_paths.tree_contributions(test, "borrower_id", FOUR, background, model)
+    others = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in FOUR]) for r in background.collect()])
+    asked = test.withColumn("other", F.explode(others)).withColumn("coalition", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    member = [F.col("coalition").bitwiseAND(F.lit(1 << at)) != 0 for at in range(4)]
+    mixed = asked.select("borrower_id", "coalition", *[
+        F.when(inside, F.col(c)).otherwise(F.col("other")[c]).alias(c) for inside, c in zip(member, FOUR, strict=True)])
+    worth = leaf_paths.margins(mixed, model).groupBy("borrower_id", "coalition").agg(F.avg("margin").alias("worth"))
+    shares = {0: 1 / 4, 1: 1 / 12, 2: 1 / 12, 3: 1 / 4}
+    terms = []
+    for at, c in enumerate(FOUR):
+        factor = F.lit(0.0)
+        for coalition in range(16):
+            inside = coalition >> at & 1
+            others_in = coalition.bit_count() - inside
+            factor = F.when(F.col("coalition") == coalition, F.lit(shares[others_in] * (1 if inside else -1))).otherwise(factor)
+        terms.append(F.struct(F.lit(c).alias("feature"), (factor * F.col("worth")).alias("part")))
+    wanted = worth.select("borrower_id", F.inline(F.array(*terms))).groupBy("borrower_id", "feature").agg(F.sum("part").alias("wanted"))
+    both = found.join(wanted, ["borrower_id", "feature"])
+    near = (F.count("feature") == 4) & (F.max(F.abs(F.col("contribution") - F.col("wanted"))) < 1e-9)
+    return both.groupBy("borrower_id").agg(near.alias("equal"))
+
+
 @query("sampled_contributions")
 def _(spark, folder):
     frame = _frame(spark, folder)
     train = frame.filter("split = 'train'")
-    model = estimators.fit_pd("boosted", train, FEATURES, "is_default")
+    model = _boosted(spark, folder, FEATURES)
     background = shapley.background_sample(train, "borrower_id", FEATURES)
     return shapley.sampled_contributions(
         frame.filter("split = 'test'"), "borrower_id", FEATURES, background, lambda df: model.predict(df, "prob")

@@ -116,6 +116,9 @@ def test_training_and_batch_scoring(spark, tmp_path):
     applications = inputs[0].withColumn("application_id", F.col("borrower_id"))
     scored, rejected = batch_scoring.score_applications(applications, scorer)
     assert scored.count() + rejected.count() == applications.count()
+    few = scored.orderBy("application_id").limit(3).withColumn("decision", F.lit("declined"))
+    notices = rows(batch_scoring.declined_reasons(scorer.matrix(applications), few, scorer, run.background, model="boosted_balanced"))
+    assert len(notices) == 3 and any(n["adverse_action_reasons"] for n in notices)
     replies = batch_scoring.responses(scored)
     assert rows(batch_scoring.batch_summary(replies))[0]["total_processed"] == scored.count()
     decisions = {r["decision"] for r in rows(scored)}
@@ -152,8 +155,9 @@ def test_model_queries_run_at_the_operators_own_settings(spark, monkeypatch):
         made[name] = MagicMock()
         monkeypatch.setattr(module, name, made[name])
     monkeypatch.setattr(m.batch_scoring, "score_applications", lambda *a, **k: (MagicMock(), None))
-    for name in ("_frame", "table", "materialize", "_reached"):
+    for name in ("_frame", "table", "materialize", "_reached", "training_table"):
         monkeypatch.setattr(m, name, MagicMock())
+    monkeypatch.setattr(m, "side_by_side", lambda spark, fits: {name: fit() for name, fit in fits.items()})
     monkeypatch.setattr(m.batch_scoring, "responses", MagicMock())
     monkeypatch.setattr(m.batch_scoring, "Scorer", MagicMock())
     made["tune_boosted"].return_value = {}
