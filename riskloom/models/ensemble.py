@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import clip
 from ..operators.evaluate import rank_metrics
 
 GRID_STEPS = 10
+BUCKETS = 4096
+ODDS = 14.0  # log odds of the outermost buckets, beyond those of the probabilities told apart
+ROUNDING = 1e-9
 
 
 def normalised(weights: dict[str, float]) -> dict[str, float]:
@@ -48,24 +52,68 @@ def _around(best: dict[str, float], span: float, steps: int) -> list[dict[str, f
     return near
 
 
+def _fanned(df: DataFrame, candidates: list[dict[str, float]], label: str) -> DataFrame:
+    combined = F.array(
+        *[F.struct(F.lit(i).alias("candidate"), combine(w).alias("prob")) for i, w in enumerate(candidates)]
+    )
+    return df.select(F.col(label).alias("label"), F.inline(combined))
+
+
 def weight_metrics(df: DataFrame, candidates: list[dict[str, float]], label: str = "label") -> DataFrame:
     """AUC of every candidate in one job: (candidate, auc_roc).
 
     A row fans out to one probability per candidate, a number fixed by the grid; equal
     probabilities are combined before they are shuffled.
     """
-    combined = F.array(
-        *[F.struct(F.lit(i).alias("candidate"), combine(w).alias("prob")) for i, w in enumerate(candidates)]
-    )
-    fanned = df.select(F.col(label).alias("label"), F.inline(combined))
+    fanned = _fanned(df, candidates, label)
     return rank_metrics(fanned, ["candidate"], groups=len(candidates)).select("candidate", "auc_roc")
 
 
+def _bucket(prob: Column) -> Column:
+    """Number of a bucket, rising with the probability: even steps of its log odds, where models differ."""
+    p = clip(prob, 1e-6, 1 - 1e-6)
+    return F.when(F.isnan(prob), F.lit(BUCKETS)).otherwise(
+        F.floor((F.ln(p / (1 - p)) + F.lit(ODDS)) * F.lit(BUCKETS / (2 * ODDS))).cast("int"))
+
+
+def auc_bounds(df: DataFrame, candidates: list[dict[str, float]], label: str = "label") -> DataFrame:
+    """(candidate, lower, upper): bounds of the AUC of every candidate, from counts per bucket.
+
+    Pairs of a positive and a negative row in different buckets are decided, the others may fall either way.
+    Shuffled are at most ``BUCKETS`` counts per candidate and task, however many rows there are.
+    """
+    counted = (
+        _fanned(df, candidates, label)
+        .filter(F.col("prob").isNotNull())
+        .select("candidate", (F.col("label") == 1).alias("y"), _bucket(F.col("prob")).alias("bucket"))
+        .groupBy("candidate", "bucket")
+        .agg(F.count_if("y").alias("pos"), F.count(F.lit(1)).alias("rows"))
+        .withColumn("neg", F.col("rows") - F.col("pos"))
+    )
+    above = Window.partitionBy("candidate").orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    placed = counted.withColumn("over", F.coalesce(F.sum("pos").over(above), F.lit(0)))
+    pairs = F.sum("pos").cast("double") * F.sum("neg")
+    won, open_ = F.sum(F.col("neg").cast("double") * F.col("over")), F.sum(F.col("neg").cast("double") * F.col("pos"))
+    return placed.groupBy("candidate").agg(
+        F.try_divide(won, pairs).alias("lower"), F.try_divide(won + open_, pairs).alias("upper"))
+
+
+def promising(df: DataFrame, candidates: list[dict[str, float]], label: str = "label") -> list[int]:
+    """Numbers of the candidates that can be the best: their upper bound reaches the best lower one."""
+    bounds = {r["candidate"]: r for r in auc_bounds(df, candidates, label).collect() if r["lower"] is not None}
+    best = max((r["lower"] for r in bounds.values()), default=0.0)
+    return sorted(i for i, r in bounds.items() if r["upper"] >= best - ROUNDING)
+
+
 def _best(df: DataFrame, candidates: list[dict[str, float]], label: str) -> dict[str, float]:
-    rows = weight_metrics(df, candidates, label).collect()
-    scored = {r["candidate"]: r["auc_roc"] for r in rows if r["auc_roc"] is not None}
-    if not scored:
+    """The candidate with the best AUC, the first of equals; only those that bounds leave open are ranked exactly."""
+    left = promising(df, candidates, label)
+    if not left:
         return normalised({m: 1.0 for m in candidates[0]})
+    if len(left) == 1:
+        return candidates[left[0]]
+    rows = weight_metrics(df, [candidates[i] for i in left], label).collect()
+    scored = {left[r["candidate"]]: r["auc_roc"] for r in rows if r["auc_roc"] is not None}
     return candidates[max(scored, key=lambda i: (scored[i], -i))]
 
 

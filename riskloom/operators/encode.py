@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import attach, order_statistics, value_steps
@@ -51,6 +51,38 @@ def state_means(df: DataFrame, label: str, state: str = "state") -> DataFrame:
     )
 
 
+def out_of_fold_means(df: DataFrame, label: str, fold: str = "fold", state: str = "state") -> DataFrame:
+    """(state, fold, state_mean): mean label of the state's rows outside the fold, null where it has none there.
+
+    Sums of a fold are taken off those of the state, so labels are summed once, whatever the number of folds.
+    Null states have no mean; a null label counts in no mean.
+    """
+    y = F.col(label).cast("double")
+    own = (
+        df.filter(F.col(state).isNotNull() & F.col(fold).isNotNull())
+        .groupBy(state, fold)
+        .agg(F.coalesce(F.sum(y), F.lit(0.0)).alias("own"), F.count(y).alias("rows"))
+    )
+    whole = Window.partitionBy(state)
+    others = F.try_divide(F.sum("own").over(whole) - F.col("own"), F.sum("rows").over(whole) - F.col("rows"))
+    return own.select(state, fold, others.alias("state_mean"))
+
+
+def encode_state_out_of_fold(
+    df: DataFrame, label: str, fold: str = "fold", fallback: float = STATE_PRIOR, state: str = "state", key: str = "borrower_id"
+) -> DataFrame:
+    """``state_encoded`` of training rows from the labels of the other folds alone, so no row sees its own label.
+
+    The fallback stands where a state occurs in one fold only or is null. Rows to score take ``encode_state``.
+    """
+    means = out_of_fold_means(df, label, fold, state)
+    return (
+        attach(df, means, [state, fold], spread_on=key, how="left")
+        .withColumn("state_encoded", F.coalesce(F.col("state_mean"), F.lit(float(fallback))))
+        .drop("state_mean", state)
+    )
+
+
 def feature_medians(df: DataFrame, columns: list[str], approximate: bool = False) -> DataFrame:
     """Median per feature as (feature, median) rows.
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskloom.operators import assemble, encode, profile, registry
+from riskloom.operators import assemble, encode, profile, registry, split
 from riskloom.operators.payments import PAYMENT_FEATURES
 from riskloom.operators.transactions import TRANSACTION_FEATURES
 from riskloom.session import materialize
 
+from .evaluation import _RANKED
 from .features import CREDIT_SQL, PROFILE_SQL, RATIO_SQL, _payment_sql, _transaction_sql
 from .registry import FINER, query, rounded
 from .views import LONG_REFERENCE, table, with_views
@@ -130,6 +131,21 @@ def _(spark, folder):
     return rounded(encode.encode_state(borrowers.select("borrower_id", "state"), means))
 
 
+@query(
+    "state_encoding_out_of_fold",
+    with_views(
+        ["borrowers"],
+        f"""WITH f AS (SELECT borrower_id, state, is_default, (r - 1) % 3 AS fold FROM ({_RANKED.format(by='is_default')}) z)
+SELECT a.borrower_id, round(coalesce(avg(b.is_default), 0.08), 6) AS state_encoded
+FROM f a LEFT JOIN f b ON a.state = b.state AND a.fold <> b.fold GROUP BY a.borrower_id""",
+    ),
+)
+def _(spark, folder):
+    """Each borrower's state mean comes from the other two of three stratified folds."""
+    borrowers = split.fold_column(table(spark, folder, "borrowers").select("borrower_id", "state", "is_default"), "is_default")
+    return rounded(encode.encode_state_out_of_fold(borrowers, "is_default").select("borrower_id", "state_encoded"))
+
+
 @query(
     "delinquency_flag",
     with_views(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskloom.models import ensemble
-from riskloom.session import shared_folder
+from riskloom.session import materialize, shared_folder
 from riskloom.sources import sinks, standardize, store, tables
 
 from .evaluation import _OWN_EAD, MODELS, SCORE_SQL, scored_applications
@@ -262,22 +262,47 @@ def _(spark, folder):
     return rounded(table(spark, folder, "scored").select("borrower_id", ensemble.combine(weights).alias("ensemble_pd")), 9)
 
 
-_GRID = ensemble.weight_grid(MODELS, 5)
+_GRID = ensemble.weight_grid(MODELS)
 _GRID_VALUES = ", ".join(f"({i}, {w['pd']}, {w['challenger_pd']}, {w['rough_pd']})" for i, w in enumerate(_GRID))
 
 
-@query(
-    "ensemble_weight_grid",
-    with_views(
-        ["scored"],
-        f"""WITH grid AS (SELECT * FROM (VALUES {_GRID_VALUES}) t(candidate, a, b, c)),
+_GRID_AUC = f"""WITH grid AS (SELECT * FROM (VALUES {_GRID_VALUES}) t(candidate, a, b, c)),
 p AS (SELECT candidate, is_default AS label, a::DOUBLE * pd + b::DOUBLE * challenger_pd + c::DOUBLE * rough_pd AS prob
   FROM scored CROSS JOIN grid),
 d AS (SELECT candidate, prob, sum(label) AS pos, count(*) - sum(label) AS neg FROM p GROUP BY ALL),
 s AS (SELECT *, sum(pos) OVER u AS pc, sum(pos) OVER t AS pa, sum(neg) OVER t AS na FROM d
-  WINDOW u AS (PARTITION BY candidate ORDER BY prob ROWS UNBOUNDED PRECEDING), t AS (PARTITION BY candidate))
-SELECT candidate, round(sum(neg * (pa - pc + pos / 2)) / max(pa * na), 5) AS auc_roc FROM s GROUP BY candidate""",
-    ),
+  WINDOW u AS (PARTITION BY candidate ORDER BY prob ROWS UNBOUNDED PRECEDING), t AS (PARTITION BY candidate)),
+m AS (SELECT candidate, sum(neg * (pa - pc + pos / 2)) / max(pa * na) AS auc_roc FROM s GROUP BY candidate)"""
+
+
+@query(
+    "ensemble_weight_grid",
+    with_views(["scored"], f"{_GRID_AUC} SELECT candidate, round(auc_roc, 5) AS auc_roc FROM m"),
 )
 def _(spark, folder):
     return rounded(ensemble.weight_metrics(table(spark, folder, "scored"), _GRID, "is_default"), 5)
+
+
+@query(
+    "ensemble_weight_bounds",
+    with_views(["scored"], f"{_GRID_AUC} SELECT candidate, round(auc_roc, 5) AS auc_roc, true AS within FROM m"),
+)
+def _(spark, folder):
+    """The bounds from bucket counts enclose the exact AUC of every candidate."""
+    scored = materialize(table(spark, folder, "scored").select("is_default", *MODELS), "scores")
+    exact = ensemble.weight_metrics(scored, _GRID, "is_default").join(ensemble.auc_bounds(scored, _GRID, "is_default"), "candidate")
+    within = (F.col("lower") <= F.col("auc_roc") + 1e-12) & (F.col("auc_roc") <= F.col("upper") + 1e-12)
+    return rounded(exact.select("candidate", "auc_roc", within.alias("within")), 5)
+
+
+_WINNER = f"""{_GRID_AUC},
+w AS (SELECT a::DOUBLE AS pd, b::DOUBLE AS challenger_pd, c::DOUBLE AS rough_pd FROM m JOIN grid USING (candidate)
+  ORDER BY auc_roc DESC, candidate LIMIT 1)
+SELECT model, round(weight, 6) AS weight FROM (UNPIVOT w ON pd, challenger_pd, rough_pd INTO NAME model VALUE weight)"""
+
+
+@query("ensemble_weight_winner", with_views(["scored"], _WINNER))
+def _(spark, folder):
+    """The best of all weights of the grid, found by bounds first."""
+    scored = materialize(table(spark, folder, "scored").select("is_default", *MODELS), "scores")
+    return rounded(ensemble.weights_table(spark, ensemble.search_weights(scored, MODELS, "is_default", refine=0)))
