@@ -1,6 +1,6 @@
 """Model fitting, calibration, search and the end-to-end jobs.
 
-Fits are checked by row counts only; what can be stated as SQL (calibration, fallbacks) is.
+Fits are checked by floors of their metrics, contributions by their sums and by all coalitions; the rest is plain SQL.
 """
 
 from __future__ import annotations
@@ -107,7 +107,8 @@ def _make_frame(spark, folder):
 
 def _test_scores(spark, folder, kind):
     frame = _frame(spark, folder)
-    model = estimators.fit_pd(kind, frame.filter("split = 'train'"), FEATURES, "is_default")
+    train = frame.filter("split = 'train'")
+    model = _boosted(spark, folder, FEATURES) if kind == "boosted" else estimators.fit_pd(kind, train, FEATURES, "is_default")
     scored = model.predict(frame.filter("split = 'test'"), "prob")
     return scored.select("borrower_id", F.col("is_default").alias("label"), "prob")
 
@@ -257,30 +258,30 @@ FOUR = FEATURES[:4]
 
 @query("exact_contributions_by_coalitions", with_views(["borrowers"], _EXPLAINED.format("equal")))
 def _(spark, folder):
-    """A model of four features: contributions from leaves equal those from the worth of all 16 coalitions."""
-    frame, model = _frame(spark, folder), _boosted(spark, folder, FOUR).model
+    """Where rows differ in four features only, their contributions equal those from the worth of all 16 coalitions."""
+    frame, model = _frame(spark, folder), _boosted(spark, folder, FEATURES).model
+    background = shapley.background_sample(frame.filter("split = 'train'"), "borrower_id", FEATURES, 40).collect()
+    same = [F.lit(background[0][c]).alias(c) for c in FEATURES[4:]]
     test = frame.filter("split = 'test'").select("borrower_id", *FOUR)
-    background = materialize(shapley.background_sample(frame.filter("split = 'train'"), "borrower_id", FOUR, 40), "background")
-    found = leaf_paths.tree_contributions(test, "borrower_id", FOUR, background, model)
-    others = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in FOUR]) for r in background.collect()])
+    drawn = spark.createDataFrame([tuple(r[c] for c in FOUR) for r in background], ", ".join(f"{c} double" for c in FOUR))
+    found = leaf_paths.tree_contributions(
+        test.select("borrower_id", *FOUR, *same), "borrower_id", FEATURES, drawn.select(*FOUR, *same), model)
+
+    others = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in FOUR]) for r in background])
     asked = test.withColumn("other", F.explode(others)).withColumn("coalition", F.explode(F.sequence(F.lit(0), F.lit(15))))
     member = [F.col("coalition").bitwiseAND(F.lit(1 << at)) != 0 for at in range(4)]
-    mixed = asked.select("borrower_id", "coalition", *[
+    mixed = asked.select("borrower_id", "coalition", *same, *[
         F.when(inside, F.col(c)).otherwise(F.col("other")[c]).alias(c) for inside, c in zip(member, FOUR, strict=True)])
     worth = leaf_paths.margins(mixed, model).groupBy("borrower_id", "coalition").agg(F.avg("margin").alias("worth"))
-    shares = {0: 1 / 4, 1: 1 / 12, 2: 1 / 12, 3: 1 / 4}
-    terms = []
+    shares, terms = [1 / 4, 1 / 12, 1 / 12, 1 / 4], []
     for at, c in enumerate(FOUR):
-        factor = F.lit(0.0)
-        for coalition in range(16):
-            inside = coalition >> at & 1
-            others_in = coalition.bit_count() - inside
-            factor = F.when(F.col("coalition") == coalition, F.lit(shares[others_in] * (1 if inside else -1))).otherwise(factor)
+        signed = [shares[s.bit_count() - (s >> at & 1)] * (1 if s >> at & 1 else -1) for s in range(16)]
+        factor = F.get(F.array(*map(F.lit, signed)), F.col("coalition"))
         terms.append(F.struct(F.lit(c).alias("feature"), (factor * F.col("worth")).alias("part")))
     wanted = worth.select("borrower_id", F.inline(F.array(*terms))).groupBy("borrower_id", "feature").agg(F.sum("part").alias("wanted"))
-    both = found.join(wanted, ["borrower_id", "feature"])
-    near = (F.count("feature") == 4) & (F.max(F.abs(F.col("contribution") - F.col("wanted"))) < 1e-9)
-    return both.groupBy("borrower_id").agg(near.alias("equal"))
+    both = found.join(wanted, ["borrower_id", "feature"], "left")
+    near = F.max(F.abs(F.col("contribution") - F.coalesce("wanted", F.lit(0.0)))) < 1e-9
+    return both.groupBy("borrower_id").agg((near & (F.count("feature") == len(FEATURES))).alias("equal"))
 
 
 @query("sampled_contributions")
