@@ -18,6 +18,7 @@ from riskloom.llm.tables import free_name
 from riskloom.session import materialize
 
 COLUMNS = 2048  # shingles compared at once
+GRAMS = 1 << 14  # shingles hashed at once
 
 
 def tune(similarity: float = 0.8, recall: float = 0.995, rows: int = 3) -> int:
@@ -38,20 +39,54 @@ def _multipliers(count: int) -> tuple[np.ndarray, np.ndarray]:
     return drawn[0] * np.uint64(2) + np.uint64(1), drawn[1]
 
 
-def band_hashes(grams: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """One hash per band of the MinHash signature."""
+def band_hashes(grams: np.ndarray, sizes: np.ndarray, bands: int, rows: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the MinHash bands of many shingle sets at once, and where those of each set begin and the last ends.
+
+    ``grams`` holds the shingles of one set after the other, ``sizes`` of each, repeats included. A set of so few
+    distinct shingles that only an equal one reaches ``similarity`` has the hash of all of them as its one band.
+    """
+    n = len(sizes)
+    owner = np.repeat(np.arange(n), sizes)
+    order = np.lexsort((grams, owner))
+    grams, owner = grams[order], owner[order]
+    new = np.ones(len(grams), bool)
+    new[1:] = (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])
+    grams, owner = grams[new], owner[new]
+    counts = np.bincount(owner, minlength=n)
+    starts = np.cumsum(counts) - counts
+    few = counts < similarity * (counts + 1) - 1e-4  # one shingle more or less is too much
+    ends = np.cumsum(np.concatenate(([0], np.where(few, 1, bands))))
+    out = np.zeros(ends[-1], np.uint64)
+
+    def mixed_in(value: np.ndarray, more: np.ndarray) -> np.ndarray:
+        value = (value ^ more) * np.uint64(0x9E3779B97F4A7C15)
+        return value ^ (value >> np.uint64(29))
+
+    whole = np.zeros(n, np.uint64)
+    for at in range(int(counts[few].max(initial=0))):
+        has = few & (counts > at)
+        whole[has] = mixed_in(whole[has], grams[starts[has] + at])
+    out[ends[:-1][few]] = whole[few]
+
     times, plus = _multipliers(bands * rows)
-    smallest = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(grams), 4096):
-        mixed = grams[at : at + 4096, None] * times + plus
-        mixed ^= mixed >> np.uint64(32)
-        smallest = np.minimum(smallest, mixed.min(axis=0))
-    table = smallest.reshape(bands, rows)
-    value = np.arange(1, bands + 1, dtype=np.uint64)
-    for column in table.T:
-        value = (value ^ column) * np.uint64(0x9E3779B97F4A7C15)
-        value ^= value >> np.uint64(29)
-    return value.astype(np.int64)
+    large, grams = np.flatnonzero(~few), grams[np.repeat(~few, counts)]
+    stops, done = np.cumsum(counts[large]), 0
+    while done < len(large):
+        first = stops[done] - counts[large[done]]
+        upto = max(done + 1, int(np.searchsorted(stops, first + GRAMS, "right")))
+        begins = stops[done:upto] - counts[large[done:upto]] - first
+        smallest = np.full((upto - done, bands * rows), np.iinfo(np.uint64).max, np.uint64)
+        for at in range(first, stops[upto - 1], GRAMS):  # more than once for a long set, which comes alone
+            part = grams[at : min(at + GRAMS, stops[upto - 1]), None] * times + plus
+            part ^= part >> np.uint64(32)
+            smallest = np.minimum(smallest, np.minimum.reduceat(part, begins, axis=0))
+        table = smallest.reshape(-1, bands, rows)
+        value = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), table.shape[:2])
+        for at in range(rows):
+            value = mixed_in(value, table[:, :, at])
+        out[ends[large[done:upto]][:, None] + np.arange(bands)] = value
+        done = upto
+    return out.view(np.int64), ends
 
 
 PASSAGE_WORDS = 25
@@ -94,10 +129,13 @@ class _Words:
     def key(self, low: int, high: int) -> bytes:
         return xxhash.xxh3_128_digest(self.line[self.heads[low] : self.stops[high - 1]])
 
-    def shingles(self, low: int, high: int) -> np.ndarray:
+    def repeated_shingles(self, low: int, high: int) -> np.ndarray:
         if high - low < self.width:
             return np.array([xxhash.xxh64_intdigest(self.line[self.heads[low] : self.stops[high - 1]])], np.uint64)
-        return np.unique(self.grams[low : high - self.width + 1])
+        return self.grams[low : high - self.width + 1]
+
+    def shingles(self, low: int, high: int) -> np.ndarray:
+        return np.unique(self.repeated_shingles(low, high))
 
     def passages(self, span: int) -> tuple[np.ndarray, np.ndarray]:
         """First words and keys of the passages in order, every place of a key.
@@ -118,12 +156,16 @@ class _Words:
 
 
 def signed_paragraphs(
-    docs: DataFrame, least_words: int, width: int, bands: int, rows: int, span: int
+    docs: DataFrame, least_words: int, width: int, bands: int, rows: int, span: int, similarity: float = 0.8
 ) -> DataFrame:
     """Long enough lines of every text with key and bands, and its passages with ``passage`` set."""
 
-    def lines_of(found: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), KINDS)], NAMES)
+    def lines_of(found: list, sets: list) -> pa.RecordBatch:
+        values, ends = band_hashes(np.concatenate(sets), np.array([len(g) for g in sets]), bands, rows, similarity)
+        *columns, own = zip(*found)
+        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values)).take(pa.array(own, pa.int64()))
+        named = [pa.array(c, t) for c, t in zip(columns, KINDS)]
+        return pa.RecordBatch.from_arrays([*named, lists, pa.nulls(len(own), pa.int64())], NAMES)
 
     def passages_of(found: list) -> pa.RecordBatch:
         doc_id, start, end, passage = (np.concatenate(c) for c in zip(*found))
@@ -134,27 +176,29 @@ def signed_paragraphs(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lines, passages, held, made = [], [], 0, {}
+            lines, passages, held, made, sets, grams = [], [], 0, {}, [], 0
             for doc_id, text in zip(*batch.columns, strict=True):
                 words = _Words(text.as_py() or "", width)
                 for number, start, end, low, high in words.paragraphs(least_words):
                     key = words.key(low, high)
-                    if key not in made:  # common lines are hashed once per batch
-                        made[key] = band_hashes(words.shingles(low, high), bands, rows)
-                    lines.append((doc_id.as_py(), number, start, end, high - low, key, made[key], None))
+                    if key not in made:  # common lines are hashed once among those sent together
+                        made[key] = len(sets)
+                        sets.append(words.repeated_shingles(low, high))
+                        grams += len(sets[-1])
+                    lines.append((doc_id.as_py(), number, start, end, high - low, key, made[key]))
                 begin, keys = words.passages(span)
                 if len(keys):
                     passages.append((np.full(len(keys), doc_id.as_py(), np.int64), words.starts[begin],
                                      words.ends[begin + PASSAGE_WORDS - 1], keys))
                     held += len(keys)
-                if len(lines) >= 8192:
-                    yield lines_of(lines)
-                    lines = []
+                if len(lines) >= 16384 or grams >= 1 << 20:
+                    yield lines_of(lines, sets)
+                    lines, made, sets, grams = [], {}, [], 0
                 if held >= 65536:
                     yield passages_of(passages)
                     passages, held = [], 0
             if lines:
-                yield lines_of(lines)
+                yield lines_of(lines, sets)
             if passages:
                 yield passages_of(passages)
 
@@ -219,7 +263,7 @@ def collisions(signed: DataFrame) -> DataFrame:
             one = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_index=True)[1]  # equal keys need no link
             keys, lists = (c.take(pa.array(one)) for c in batch.columns)
             bands = np.asarray(lists.flatten())
-            owner = np.repeat(np.arange(len(one)), len(bands) // len(one))
+            owner = np.repeat(np.arange(len(one)), np.asarray(lists.value_lengths()))
             first, inverse = np.unique(bands, return_index=True, return_inverse=True)[1:]
             head = owner[first][inverse]
             leads = np.zeros(len(bands), bool)
@@ -344,7 +388,7 @@ def repeated_paragraphs(
     """
     bands = tune(similarity, recall, rows)
     named = docs.where("doc_id is not null")
-    cut = materialize(signed_paragraphs(named, least_words, width, bands, rows, passage_span), "paragraphs")
+    cut = materialize(signed_paragraphs(named, least_words, width, bands, rows, passage_span, similarity), "paragraphs")
     signed = cut.where("passage is null").drop("passage")
     coarse = components(collisions(signed))
     sizes = coarse.groupBy("component").count()
@@ -354,8 +398,7 @@ def repeated_paragraphs(
             F.ceil(F.col("count") / tile).cast("int").alias("tiles")),
         "groups",
     )
-    places = signed.join(grouped, "key").groupBy("key").agg(
-        F.min(F.struct("doc_id", "paragraph")).alias("at"), F.first("group").alias("group"), F.first("tiles").alias("tiles"))
+    places = signed.groupBy("key").agg(F.min(F.struct("doc_id", "paragraph")).alias("at")).join(grouped, "key")
     candidates = places.select("key", "group", "tiles", "at.doc_id", "at.paragraph")
     classes = components(verified_links(named, candidates, similarity, width, tile))
     classes = materialize(classes.select(F.col("node").alias("key"), "component"), "classes")

@@ -1,5 +1,6 @@
 import itertools
 
+import numpy as np
 import pytest
 
 from riskloom.llm import paragraphs
@@ -122,7 +123,8 @@ def test_bands_give_the_recall_they_are_tuned_for():
     for n in range(200):
         words = prose(n, 104).split()
         other = words[:44] + [f"q{n}"] + words[45:]  # one word in 100 shingles: similarity about 0.9
-        a, b = (paragraphs.band_hashes(paragraphs.shingles([w.encode() for w in x]), 8, 3) for x in (words, other))
+        sets = [paragraphs.shingles([w.encode() for w in x]) for x in (words, other)]
+        a, b = paragraphs.band_hashes(np.concatenate(sets), np.array([len(x) for x in sets]), 8, 3, 0.8)[0].reshape(2, 8)
         hits += bool(set(a.tolist()) & set(b.tolist()))
     assert hits >= 198
 
@@ -175,3 +177,22 @@ def test_the_query_compares_short_lines(spark, tmp_path):
     got = op4(spark, str(tmp_path)).collect()
     assert classes(got) == brute(texts, least=5)
     assert {r.doc_id for r in got} >= set(range(7)) and not {r.doc_id for r in got} & {7, 8, 40}
+
+
+def test_bands_of_many_sets_are_those_of_each(monkeypatch):
+    draw = np.random.default_rng(2)
+    sets = [draw.integers(0, 40, draw.integers(1, 30)).astype(np.uint64) for _ in range(300)]
+    sets += [np.arange(500, dtype=np.uint64), np.array([3, 3, 3], np.uint64), np.array([3], np.uint64)]
+    sizes = np.array([len(x) for x in sets])
+    values, ends = paragraphs.band_hashes(np.concatenate(sets), sizes, 8, 3, 0.8)
+    monkeypatch.setattr(paragraphs, "GRAMS", 16)
+    small, same = paragraphs.band_hashes(np.concatenate(sets), sizes, 8, 3, 0.8)
+    assert (values == small).all() and (ends == same).all()
+    own = [tuple(values[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    for one, bands in zip(sets, own, strict=True):
+        alone = paragraphs.band_hashes(np.unique(one), np.array([len(np.unique(one))]), 8, 3, 0.8)[0]
+        assert bands == tuple(alone.tolist()) and len(bands) == (1 if len(set(one.tolist())) < 4 else 8)
+    for i in range(len(sets)):
+        for j in range(i):
+            if len(own[i]) == 1 or len(own[j]) == 1:  # one band decides: exactly equal sets meet
+                assert (set(own[i]) & set(own[j]) != set()) == (set(sets[i].tolist()) == set(sets[j].tolist()))
