@@ -20,7 +20,7 @@ from riskloom.session import materialize
 NO_LANGUAGE = "und"
 LONGEST = 5
 CHUNK_WORDS = 1 << 18  # words a task holds as numbers at once
-SHARD_GRAMS = 1 << 18  # words or n-grams of a shard on average, at most, before equal ones are combined
+SHARD_GRAMS = 1 << 20  # words or n-grams of a shard on average, at most, before equal ones are combined
 TOP_SALTS = 64
 # A-Z become small, the marks that end a piece become line feeds, tabs become spaces.
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\x0d\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
