@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from dataclasses import dataclass
 
@@ -20,6 +21,7 @@ from ..operators.profile import borrower_features, with_utilization
 from .training import read_manifest
 
 MODEL_VERSION = "1.0.0"
+REASONS = "adverse_action_reasons"
 
 
 @dataclass
@@ -107,10 +109,15 @@ def declined_reasons(
 
 
 def responses(scored: DataFrame, notices: DataFrame | None = None, key: str = "application_id") -> DataFrame:
-    """Reply rows: the decision, its reasons where declined, batch id, version and time."""
+    """Reply rows: the decision, its reasons where declined, batch id, version and time.
+
+    Reasons come from ``notices`` or, where the rows were explained before scoring, from the rows themselves.
+    """
     out = scored if notices is None else scored.join(notices, key, "left")
-    if notices is None:
-        out = out.withColumn("adverse_action_reasons", F.lit(None).cast("array<struct<code:string,reason:string>>"))
+    if REASONS not in out.columns:
+        out = out.withColumn(REASONS, F.lit(None).cast("array<struct<code:string,reason:string>>"))
+    else:
+        out = out.withColumn(REASONS, F.when(F.col("decision") == "declined", F.col(REASONS)))
     return out.select(
         key,
         "credit_score",
@@ -122,12 +129,38 @@ def responses(scored: DataFrame, notices: DataFrame | None = None, key: str = "a
         "fraud_score",
         "fraud_flag",
         "decision",
-        "adverse_action_reasons",
+        REASONS,
         F.lit(str(uuid.uuid4())).alias("batch_id"),
         F.lit(MODEL_VERSION).alias("model_version"),
         F.current_timestamp().alias("scored_at"),
     )
 
 
+def decider(scorer: Scorer, background: DataFrame | None = None, key: str = "application_id", samples: int = 8):
+    """The batch function of a service: valid applications to replies, with reasons where a background is given.
+
+    An application that stands twice in a batch is explained once and answered twice.
+    """
+
+    def decide(applications: DataFrame) -> DataFrame:
+        matrix = scorer.matrix(applications, key)
+        scored = scorer.score(matrix, [key])
+        if background is None:
+            return responses(scored, key=key)
+        once = matrix.dropDuplicates([key])
+        return responses(scored, declined_reasons(once, scored, scorer, background, key, samples), key)
+
+    return decide
+
+
+def answer_batch(replies: DataFrame, path: str) -> DataFrame:
+    """Write the replies; returns batch id, number processed and the milliseconds it took."""
+    started = time.perf_counter()
+    replies.write.mode("overwrite").parquet(path)
+    spent = round((time.perf_counter() - started) * 1000, 2)
+    written = replies.sparkSession.read.parquet(path)
+    return batch_summary(written).withColumn("processing_time_ms", F.lit(spent))
+
+
 def batch_summary(replies: DataFrame) -> DataFrame:
     return replies.groupBy("batch_id").agg(F.count(F.lit(1)).alias("total_processed"))

@@ -36,6 +36,35 @@ def shadow_stream(applications: DataFrame, champion_pd: str, challenger_pd: str,
     return shadow.shadow_log(applications, champion_pd, challenger_pd, **options)
 
 
+def shadow_pairs(
+    champion: DataFrame,
+    challenger: DataFrame,
+    key: str = "application_id",
+    at: str = "scored_at",
+    within: str = "10 minutes",
+    lateness: str = "10 minutes",
+) -> DataFrame:
+    """Scores of two services that answer on streams of their own, joined by key and time.
+
+    A challenger's answer counts if it comes at most ``within`` after the champion's; the first one does. Champion
+    rows without one come out with null challenger columns once the watermark has passed their time. State holds
+    rows for ``within`` and ``lateness`` only. Apart from key and time the two sides must not share column names.
+    """
+    first = _watermarked(champion, at, lateness).dropDuplicatesWithinWatermark([key])
+    second = _watermarked(challenger.withColumnsRenamed({key: "_key", at: "answered_at"}), "answered_at", lateness)
+    second = second.dropDuplicatesWithinWatermark(["_key"])
+    same = F.col(key) == F.col("_key")
+    soon = F.col("answered_at").between(F.col(at), F.col(at) + F.expr(f"INTERVAL {within}"))
+    return first.join(second, same & soon, "left_outer").drop("_key")
+
+
+def shadow_misses(pairs: DataFrame, challenger_pd: str, key: str = "application_id") -> DataFrame:
+    """Pairs without a usable challenger and why: ``no answer`` in time, or ``failed``."""
+    usable = F.col(challenger_pd).isNotNull() & ~F.isnan(challenger_pd)
+    reason = F.when(F.col("answered_at").isNull(), "no answer").otherwise("failed")
+    return pairs.where(~usable).select(key, reason.alias("reason"))
+
+
 def _watermarked(df: DataFrame, timestamp: str, lateness: str) -> DataFrame:
     """Watermarks need an instant, so a zoneless timestamp is read in the session's zone (UTC)."""
     return df.withColumn(timestamp, F.col(timestamp).cast("timestamp")).withWatermark(timestamp, lateness)

@@ -50,11 +50,14 @@ reasons AS (SELECT borrower_id, code, description, feature, abs(c) AS impact,
   FROM placed JOIN codes USING (feature) WHERE direction = 'increases_risk' QUALIFY slot <= 4)"""
 
 
-def _explained(spark, folder):
-    borrowers = table(spark, folder, "borrowers")
-    filled = profile.borrower_features(borrowers).select(
+def _filled(borrowers):
+    return profile.borrower_features(borrowers).select(
         "borrower_id", *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in FEATURES]
     )
+
+
+def _explained(spark, folder):
+    filled = _filled(table(spark, folder, "borrowers"))
     return explain.linear_contributions(filled, COEFFICIENTS, fit_scaling(filled, FEATURES))
 
 
