@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+from .tables import free_name
+
 PIECE = 1 << 19  # code points searched at once
 FILTER_BITS = 22
 HITS = "array<struct<item_id:bigint,edits:int,start:int,end:int>>"
@@ -93,7 +97,7 @@ def aligned(item: np.ndarray, window: np.ndarray, low: int, high: int, budget: i
 
 @dataclass(frozen=True)
 class Items:
-    """Normal forms of benchmark items and the index of their q-grams."""
+    """Normal forms of benchmark items that share one gram length, and the index of their q-grams."""
 
     ids: list
     codes: list[np.ndarray]
@@ -108,35 +112,29 @@ class Items:
     width: int
 
     @classmethod
-    def build(cls, rows: list[tuple], q: int, rate: float) -> Items:
-        """Items of fewer than ``q`` code points have no q-gram and are left out.
+    def build(cls, ids: list, codes: list[np.ndarray], q: int, rate: float) -> Items:
+        """An item of m code points may differ by ``rate * m`` edits.
 
-        An item of m code points has a budget of ``rate * m`` edits, less where the lemma would then
-        ask for no shared q-gram: a match with e edits keeps at least m + 1 - q - q * e of them.
+        A match with e edits keeps at least m + 1 - q - q * e of its q-grams, so ``q`` must be at most
+        m // (1 + e) for every item.
         """
-        ids, codes = [], []
-        for item_id, text in rows:
-            form = normal_form(text or "")[0]
-            if len(form) >= q:
-                ids.append(item_id)
-                codes.append(form)
         sizes = np.array([len(c) for c in codes], np.int64)
-        budget = np.minimum((sizes * rate).astype(np.int64), (sizes - q) // q)
+        budget = _budget(sizes, rate)
         hashes = [gram_hashes(c, q) for c in codes]
-        every = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        every = np.concatenate(hashes)
         item = np.repeat(np.arange(len(codes)), [len(h) for h in hashes])
-        at = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.zeros(0, np.int64)
+        at = np.concatenate([np.arange(len(h)) for h in hashes])
         order = np.argsort(every, kind="stable")
         grams, first = np.unique(every[order], return_index=True)
         seen = np.zeros(1 << FILTER_BITS, bool)
         seen[(grams >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-        width = 1 << int(max(4, np.ceil(np.log2(budget.max() + 1)))) if len(codes) else 16
+        width = 1 << int(max(4, np.ceil(np.log2(budget.max() + 1))))
         return cls(ids, codes, budget, sizes + 1 - q - q * budget, q, grams, np.append(first, len(every)),
                    item[order], at[order], seen, width)
 
     def reach(self) -> int:
         """Code points by which pieces of a long text overlap."""
-        return max((len(c) + int(b) for c, b in zip(self.codes, self.budget, strict=True)), default=0) + 2 * self.width
+        return max(len(c) + int(b) for c, b in zip(self.codes, self.budget, strict=True)) + 2 * self.width
 
     def bands(self, codes: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """Text, item and band of every region that shares enough q-grams.
@@ -176,97 +174,186 @@ class Items:
             text, item = divmod(owner, len(self.codes))
             yield text, item, band * self.width - longest
 
-    def verified(self, codes: np.ndarray, item: int, low: int) -> tuple[int, int, int] | None:
-        """Edits, start and end of the best match of ``item`` in the band that begins at ``low``."""
+    def places(self, codes: np.ndarray, item: int, low: int) -> list[tuple[int, int, int]]:
+        """Edits, start and end of matches of ``item`` in the band that begins at ``low``.
+
+        The best match first; what lies left and right of it is searched again, so every match of the
+        band is found or overlaps one that is.
+        """
         own, budget = self.codes[item], int(self.budget[item])
-        left = max(0, low - budget)
-        right = min(len(codes), low + self.width + 2 * budget + len(own))
-        window = codes[left:right]
-        exact = window.tobytes().find(own.tobytes())
-        if exact >= 0 and exact % 4 == 0:
-            return 0, left + exact // 4, left + exact // 4 + len(own)
+        todo = [(max(0, low - budget), min(len(codes), low + self.width + 2 * budget + len(own)))]
+        found = []
+        while todo:
+            left, right = todo.pop()
+            if right - left < len(own) - budget:
+                continue
+            best = self._best(codes[left:right], own, low - left, budget)
+            if best:
+                edits, start, end = best[0], left + best[1], left + best[2]
+                found.append((edits, start, end))
+                todo += [(left, start), (end, right)]
+        return found
+
+    def _best(self, window: np.ndarray, own: np.ndarray, low: int, budget: int) -> tuple[int, int, int] | None:
+        text, sought, exact = window.tobytes(), own.tobytes(), -1
+        while (exact := text.find(sought, exact + 1)) >= 0:
+            if exact % 4 == 0:
+                return 0, exact // 4, exact // 4 + len(own)
+        if not budget:
+            return None
         # Within a match the diagonal moves by the budget at most, so the band is that much wider.
-        end = aligned(own, window, low - budget - left, low + self.width + 2 * budget - left, budget)
+        end = aligned(own, window, low - budget, low + self.width + 2 * budget, budget)
         if end is None or end[0] > budget:
             return None
         back = aligned(own[::-1], window[: end[1]][::-1], -budget, budget, budget, anchored=True)
-        return end[0], left + end[1] - back[1], left + end[1]
-
-    def search(self, texts: list[str]) -> list[dict[int, tuple[int, int, int]]]:
-        """Best match per item of every text: fewest edits, then the first."""
-        results: list[dict[int, tuple[int, int, int]]] = [{} for _ in texts]
-        if not self.codes:
-            return results
-        group, held = [], 0
-        for n, text in enumerate(texts):
-            codes, place = normal_form(text)
-            for at in range(0, max(1, len(codes)), PIECE):
-                piece = codes[at : at + PIECE + self.reach()]
-                group.append((n, at, piece, place))
-                held += len(piece)
-                if held >= PIECE:
-                    self._search(group, results)
-                    group, held = [], 0
-        self._search(group, results)
-        return results
-
-    def _search(self, group: list, results: list) -> None:
+        return end[0], end[1] - back[1], end[1]
+
+
+def _budget(sizes: np.ndarray, rate: float) -> np.ndarray:
+    return (sizes * rate).astype(np.int64)
+
+
+@dataclass(frozen=True)
+class Block:
+    """A part of the benchmark: its items by gram length, most often a single one."""
+
+    parts: list[Items]
+
+    @classmethod
+    def build(cls, rows: list[tuple], q: int, rate: float, least: int = 1) -> Block:
+        """Every item gets the longest grams, up to ``q``, at which its whole budget can still be met.
+
+        Items of fewer than ``least`` code points are left out. Short items that allow no edit are a single gram.
+        """
+        if not 0 <= rate < 0.5:
+            raise ValueError("the rate of edits must be at least 0 and below a half")
+        forms = [(i, normal_form(text or "")[0]) for i, text in rows]
+        forms = [(i, c) for i, c in forms if len(c) >= max(1, least)]
+        sizes = np.array([len(c) for _, c in forms], np.int64)
+        grams = np.minimum(q, sizes // (1 + _budget(sizes, rate)))
+        parts = []
+        for length in np.unique(grams).tolist():
+            chosen = [f for f, g in zip(forms, grams.tolist(), strict=True) if g == length]
+            parts.append(Items.build([i for i, _ in chosen], [c for _, c in chosen], length, rate))
+        return cls(parts)
+
+    def search(self, texts: list[str]) -> list[list[tuple[int, int, int, int]]]:
+        """Item id, edits, start and end of every place of every item, per text.
+
+        Places of one item that overlap are one, with the fewest edits among them.
+        """
+        found: list[dict] = [{} for _ in texts]
+        if self.parts:
+            reach = max(p.reach() for p in self.parts)
+            group, held = [], 0
+            for n, text in enumerate(texts):
+                codes, place = normal_form(text)
+                for at in range(0, max(1, len(codes)), PIECE):
+                    piece = codes[at : at + PIECE + reach]
+                    group.append((n, at, piece, place))
+                    held += len(piece)
+                    if held >= PIECE:
+                        self._search(group, found)
+                        group, held = [], 0
+            self._search(group, found)
+        return [self._rows(places) for places in found]
+
+    def _search(self, group: list, found: list[dict]) -> None:
         if not group:
             return
         sizes = np.array([len(g[2]) for g in group])
         starts = np.cumsum(sizes) - sizes
-        for text, item, low in self.bands(np.concatenate([g[2] for g in group]), starts):
-            n, at, piece, place = group[text]
-            found = self.verified(piece, item, low)
-            if found:
-                start, end = int(place[at + found[1]]), int(place[at + found[2] - 1]) + 1
-                one = (found[0], start, end)
-                results[n][item] = min(results[n].get(item, one), one)
-
-
-def _blocks(benchmark: DataFrame, q: int, rate: float, block_chars: int) -> Iterator[Items]:
-    """The benchmark in blocks of about ``block_chars`` characters, each small enough to send to every task."""
+        codes = np.concatenate([g[2] for g in group])
+        for part, items in enumerate(self.parts):
+            for text, item, low in items.bands(codes, starts):
+                n, at, piece, place = group[text]
+                for edits, start, end in items.places(piece, item, low):
+                    one = (int(place[at + start]), int(place[at + end - 1]) + 1, edits)
+                    found[n].setdefault((part, item), set()).add(one)
+
+    def _rows(self, places: dict) -> list[tuple[int, int, int, int]]:
+        rows = []
+        for (part, item), spans in places.items():
+            merged: list[list[int]] = []
+            for start, end, edits in sorted(spans):
+                if merged and start < merged[-1][1]:
+                    merged[-1][1:] = [max(end, merged[-1][1]), min(edits, merged[-1][2])]
+                else:
+                    merged.append([start, end, edits])
+            own = self.parts[part].ids[item]
+            rows += [(own, edits, start, end) for start, end, edits in merged]
+        return sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, *r[1:]))
+
+
+def _blocks(benchmark: DataFrame, block_chars: int) -> list[DataFrame]:
+    """The benchmark in parts of about ``block_chars`` characters, each small enough to send to every task."""
     rows = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_chars))
-    for block in range(blocks):
-        part = rows.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(blocks)) == block) if blocks > 1 else rows
-        yield Items.build([tuple(r) for r in part.orderBy("item_id", "text").collect()], q, rate)
+    if blocks == 1:
+        return [rows]
+    block = F.pmod(F.xxhash64("text", "item_id"), F.lit(blocks))
+    return [rows.where(block == n) for n in range(blocks)]
 
 
 def _searcher(sent):
     @F.pandas_udf(HITS)
     def search(texts: pd.Series) -> pd.Series:
-        own = sent.value
-        rows = [
-            [{"item_id": own.ids[k], "edits": e, "start": a, "end": b} for k, (e, a, b) in sorted(found.items())]
-            for found in own.search([t or "" for t in texts])
-        ]
-        return pd.Series(rows, index=texts.index, dtype=object)
+        names = ("item_id", "edits", "start", "end")
+        found = sent.value.search([t or "" for t in texts])
+        return pd.Series([[dict(zip(names, r, strict=True)) for r in rows] for rows in found], index=texts.index, dtype=object)
 
     return search
 
 
 def with_leaks(
-    docs: DataFrame, benchmark: DataFrame, column: str, q: int = 10, rate: float = 0.08, block_chars: int = 1 << 21
+    docs: DataFrame,
+    benchmark: DataFrame,
+    column: str,
+    q: int = 10,
+    rate: float = 0.08,
+    block_chars: int = 1 << 21,
+    least: int = 3,
 ) -> DataFrame:
     """``docs`` with an array ``column`` of benchmark items found: item_id, edits, start, end.
 
     ``start`` and ``end`` are code points of the text. An item is found where its normal form (lower
     case, letters and digits, one space between words) is within ``rate`` edits per character of
-    a stretch of the text's. Whole texts are searched, long ones in overlapping pieces. Nothing is
-    shuffled: the benchmark is sent to the tasks in blocks of about ``block_chars`` characters, one
-    pass over the documents per block. Null or empty texts hold nothing, null items are ignored, as
-    are items shorter than ``q``; an empty benchmark finds nothing. Repeated rows are each searched;
-    repeated items each found.
+    a stretch of the text's. Every such stretch overlaps a returned place; places of one item that overlap are
+    returned as one, with the fewest edits. Grams are ``q`` code points long, shorter for items that could not
+    meet the rate with them. Items of fewer than ``least`` code points are ignored: they stand in any text.
+
+    Whole texts are searched, long ones in overlapping pieces. The benchmark is sent to the tasks in blocks of
+    about ``block_chars`` characters. With one block nothing is shuffled. With more, each block has a pass
+    of its own whose findings are written before the next is sent, and findings are joined to the documents by
+    a digest of the text; memory does not grow with the number of blocks.
+
+    Null or empty texts hold nothing, null items are ignored; an empty benchmark finds nothing. Repeated rows are
+    each searched; repeated items each found. A doc_id may stand over several texts.
     """
-    result = F.array().cast(HITS)
-    for items in _blocks(benchmark, q, rate, block_chars):
-        result = F.concat(result, _searcher(docs.sparkSession.sparkContext.broadcast(items))(F.col("text")))
-    return docs.withColumn(column, result)
+    context = docs.sparkSession.sparkContext
+    blocks = _blocks(benchmark, block_chars)
+
+    def sent(block: DataFrame):
+        rows = [tuple(r) for r in block.orderBy("item_id", "text").collect()]
+        return context.broadcast(Block.build(rows, q, rate, least))
+
+    if len(blocks) == 1:
+        return docs.withColumn(column, _searcher(sent(blocks[0]))(F.col("text")))
+    key, hits = free_name(docs, "text_digest"), free_name(docs, "hits")
+    digest = F.sha2(F.col("text"), 256)
+    parts = []
+    for block in blocks:
+        held = sent(block)
+        found = docs.select(digest.alias(key), _searcher(held)(F.col("text")).alias(hits)).where(F.size(hits) > 0)
+        parts.append(materialize(found.groupBy(key).agg(F.first(hits).alias(hits)), "leaks"))
+        held.unpersist()
+    every = reduce(DataFrame.unionByName, parts).groupBy(key).agg(F.flatten(F.collect_list(hits)).alias(hits))
+    joined = docs.withColumn(key, digest).join(every, key, "left")
+    return joined.withColumn(column, F.coalesce(F.array_sort(hits), F.array().cast(HITS))).drop(key, hits)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
-    """``(doc_id, item_id, edits, start, end)``, a row for each item found in each document."""
+    """``(doc_id, item_id, edits, start, end)``, a row for each place of each item in each document."""
     found = with_leaks(docs.select("doc_id", "text"), benchmark, "leaks", **settings)
     return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")

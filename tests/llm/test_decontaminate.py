@@ -66,12 +66,13 @@ def test_case_marks_and_spaces_do_not_hide_a_leak_and_spans_are_places(spark):
 
 def test_leaks_across_pieces_of_a_long_text(monkeypatch):
     item = prose(4, 25)
-    own = dec.Items.build([(1, item)], 10, 0.08)
+    own = dec.Block.build([(1, item)], 10, 0.08)
     monkeypatch.setattr(dec, "PIECE", 500)
     for at in (0, 70, 97, 140):
         words = prose(5, 200).split()
         text = " ".join(words[:at] + [item] + words[at:])
-        assert own.search([text, "", prose(6, 50)])[0][0][0] == 0
+        (place,), *others = own.search([text, "", prose(6, 50)])
+        assert place[:2] == (1, 0) and normal(text[place[2] : place[3]]) == normal(item) and others == [[], []]
 
 
 def test_awkward_rows(spark):
@@ -95,6 +96,60 @@ def test_benchmark_in_blocks_gives_the_same(spark):
     assert a == b and len(a) == 12
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_short_items_keep_their_budget_and_every_place_is_found(seed):
+    """Items of 3 to 60 code points: what is returned holds the item, what is left when it is cut does not."""
+    drawn = random.Random(seed)
+
+    def letters(n):
+        return "".join(drawn.choice("abcdefghijklmnop") for _ in range(n))
+
+    items = [(m, letters(m)) for m in range(3, 61)]
+    block = dec.Block.build(items, 10, 0.08)
+    assert sorted(i for p in block.parts for i in p.ids) == list(range(3, 61))
+    texts = []
+    for m, item in items:
+        allowed = int(m * 0.08)
+        parts = [spoiled(item, k, seed * 1000 + m * 10 + n) for n, k in enumerate((0, allowed, allowed + 1, allowed))]
+        texts.append(letters(30).join(["", *parts, ""]))
+    for (m, item), text, found in zip(items, texts, block.search(texts), strict=True):
+        own = [r for r in found if r[0] == m]
+        assert len(own) >= 3 and own == sorted(own)
+        rest = text
+        for _, e, start, end in own:
+            assert e == edits(item, text[start:end]) <= int(m * 0.08)
+            rest = rest[:start] + "\u4e00" * (end - start) + rest[end:]
+        assert edits(item, rest) > int(m * 0.08)
+        places = sorted(r[2:] for r in own)
+        assert all(a[1] <= b[0] for a, b in zip(places, places[1:]))
+
+
+def test_an_item_three_times_in_one_text_and_one_id_over_two_texts(spark):
+    item = prose(11, 15)
+    text = prose(21, 8).join([item, item.upper(), spoiled(item, 2, 5)])
+    benchmark = spark.createDataFrame([(7, item)], "item_id long, text string")
+    rows = dec.leaks(frame(spark, [(1, text), (1, prose(22, 30)), (1, item)]), benchmark).collect()
+    assert sorted(r.start == 0 for r in rows) == [False, False, True, True] and {r.doc_id for r in rows} == {1}
+    (found,) = dec.Block.build([(7, item)], 10, 0.08).search([text])
+    assert len(found) == 3
+    for _, _, start, end in found:
+        text = text[:start] + "\u4e00" * (end - start) + text[end:]
+    assert edits(normal(item), normal(text)) > int(len(normal(item)) * 0.08)
+
+
+def test_blocks_are_searched_one_after_another(spark):
+    items = [(n, prose(n, 20)) for n in range(16)]
+    benchmark = spark.createDataFrame([*items, items[3]], "item_id long, text string")
+    texts = [(n, prose(70 + n, 9) + " " + items[n][1] + " and " + items[(n + 5) % 16][1]) for n in range(16)]
+    docs = frame(spark, [*texts, texts[0], (None, texts[1][1]), (99, None), (98, "")])
+    docs = docs.withColumn("hits", docs.doc_id).withColumn("text_digest", docs.doc_id)
+    one, many = (dec.with_leaks(docs, benchmark, "leaks", block_chars=c) for c in (1 << 20, 300))
+    plan = many._jdf.queryExecution().optimizedPlan().toString()
+    assert "PythonUDF" not in plan and "ArrowEvalPython" not in plan
+    found = [sorted(str(r) for r in df.collect()) for df in (one, many)]
+    assert found[0] == found[1] and len(found[0]) == 20 and one.columns == many.columns
+
+
 @pytest.mark.parametrize("q", [1, 2, 3, 7, 10])
 def test_gram_hash_is_of_the_gram_alone(q):
     codes = np.array([ord(c) for c in "abcabcabcdabcdabcdefabc"], np.uint32)
