@@ -1,4 +1,4 @@
-"""Licence of every file: TF-IDF cosine of its sentences to templates, then the nearest ancestor's."""
+"""Licence of every file: TF-IDF cosine of its sentences and paragraphs to templates, then the nearest ancestor's."""
 
 from __future__ import annotations
 
@@ -30,17 +30,90 @@ NOTICES = {
     "MPL-2.0": ["Subject to the terms of the Mozilla Public License, version 2.0"],
     "Unlicense": ["This is free and unencumbered software released into the public domain"],
 }
+# Titles and naming paragraphs of licence texts, and the headers they ask for in source files.
+HEADERS = {
+    "Apache-2.0": [
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with '
+        "the License. You may obtain a copy of the License at",
+    ],
+    "BSD-2-Clause": [
+        "BSD 2-Clause License",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+        "following conditions are met:",
+    ],
+    "BSD-3-Clause": [
+        "BSD 3-Clause License",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+        "derived from this software without specific prior written permission.",
+    ],
+    "CC-BY-4.0": ["Attribution 4.0 International", "Creative Commons Attribution 4.0 International Public License"],
+    "CC-BY-NC-4.0": [
+        "Attribution-NonCommercial 4.0 International",
+        "Creative Commons Attribution-NonCommercial 4.0 International Public License",
+    ],
+    "CC-BY-SA-4.0": [
+        "Attribution-ShareAlike 4.0 International",
+        "Creative Commons Attribution-ShareAlike 4.0 International Public License",
+    ],
+    "CC0-1.0": [
+        "CC0 1.0 Universal",
+        "To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related "
+        "or neighboring rights to this work.",
+    ],
+    "GPL-2.0": [
+        "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public "
+        "License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later "
+        "version.",
+    ],
+    "GPL-3.0": [
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
+        "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later "
+        "version.",
+    ],
+    "ISC": [
+        "ISC License",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+        "provided that the above copyright notice and this permission notice appear in all copies.",
+    ],
+    "LGPL-3.0": [
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public "
+        "License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later "
+        "version.",
+    ],
+    "MIT": [
+        "The MIT License (MIT)",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+        'documentation files (the "Software"), to deal in the Software without restriction, including without limitation the '
+        "rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
+        "persons to whom the Software is furnished to do so, subject to the following conditions:",
+    ],
+    "MPL-2.0": [
+        "Mozilla Public License Version 2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+        "distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    ],
+    "Unlicense": [
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or "
+        "as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ],
+}
+# Licences whose text holds that of another and a clause more.
+EXTENDS = {"BSD-3-Clause": "BSD-2-Clause"}
 TOKEN = "[^a-z0-9]+"
 LICENCE_NAMES = "(?i)^(licen[cs]e|copying|notice)([.-].*)?$"
-# A sentence without one of these words shares no naming word with any notice above.
-CUE = "(?i)licen[cs]|copying|public domain|spdx|cc0|creative commons|cc by|released under"
+SENTENCES = "\\n|(?<=[.!?;])\\s+"
+PARAGRAPHS = "\\n[^a-zA-Z0-9\\n]*\\n"  # comment marks alone make an empty line
 
 
 def templates() -> list[tuple[str, dict[str, int]]]:
-    """Term counts of every notice, and of the one-line identifier of every licence."""
+    """Term counts of every notice, title and header, and of the one-line identifier of every licence."""
     made = []
-    for name, notices in sorted(NOTICES.items()):
-        for text in [*notices, f"SPDX-License-Identifier: {name}"]:
+    for name in sorted(NOTICES):
+        for text in [*NOTICES[name], *HEADERS[name], f"SPDX-License-Identifier: {name}"]:
             counts: dict[str, int] = {}
             for term in re.split(TOKEN, text.lower()):
                 if term:
@@ -49,6 +122,24 @@ def templates() -> list[tuple[str, dict[str, int]]]:
     return made
 
 
+def naming_terms(idf: dict[str, float], threshold: float) -> list[str]:
+    """Terms of which a text must hold one to reach the threshold with any template.
+
+    Shared terms carry at least ``threshold`` squared of a template's squared length. So of each
+    template the heaviest terms count, until those left carry less than that.
+    """
+    needed = set()
+    for _, counts in templates():
+        squares = sorted(((n * idf[t]) ** 2, t) for t, n in counts.items())
+        left = sum(w for w, _ in squares)
+        least = left * threshold**2 * (1 - 1e-9)
+        while squares and left >= least:
+            weight, term = squares.pop()
+            needed.add(term)
+            left -= weight
+    return sorted(needed)
+
+
 def _tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), TOKEN), lambda t: t != "")
 
@@ -99,22 +190,48 @@ def _best_match(sentence: Column, idf: dict[str, float], unseen: float) -> Colum
 
 
 def scan(files: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """``files(path, text, ...)`` with ``own_licence`` and ``similarity`` (null without a notice).
+    """``files(path, text, ...)`` with ``own_licence`` and ``similarity`` (null without a licence).
+
+    Every line, sentence and paragraph of the whole text is compared to every template: notices, titles and naming
+    paragraphs of the licences, headers. The best at or above ``threshold`` is the file's; a licence that
+    extends the best one wins where its own clause is found too. One shared word names no licence. Units that hold none
+    of the words without which no template can be reached (``naming_terms``) are passed over.
 
-    Every sentence or line of the whole text that names a licence is compared to every template; the
-    best at or above ``threshold`` is the file's. Row by row, nothing is shuffled but the counts of
-    the templates' terms. Null and empty texts have no licence. Columns of the result that ``files``
-    already has are replaced.
+    Row by row, nothing is shuffled but the counts of the templates' terms. Null and empty texts have no
+    licence. Columns of the result that ``files`` already has are replaced.
     """
     terms = sorted({t for _, counts in templates() for t in counts})
     idf, unseen = inverse_frequencies(files, "text", terms)
-    sentences = F.filter(F.split("text", "\\n|(?<=[.!?;])\\s+"), lambda s: s.rlike(CUE))
-    best = F.array_max(F.transform(sentences, lambda s: _best_match(s, idf, unseen)))
-    kept = F.when(best["similarity"] >= threshold, best)
-    return files.withColumn("own_licence", kept).withColumns(
+    naming = "(?<![a-z0-9])(?:" + "|".join(naming_terms(idf, threshold)) + ")(?![a-z0-9])"
+    units = F.array_distinct(F.concat(F.split("text", SENTENCES), F.split("text", PARAGRAPHS)))
+    known = F.array(*map(F.lit, terms))
+    units = F.filter(units, lambda u: F.lower(u).rlike(naming))
+    units = F.filter(units, lambda u: F.size(F.array_intersect(_tokens(u), known)) > 1)
+    matches = F.filter(
+        F.transform(units, lambda u: _best_match(u, idf, unseen)), lambda m: m["similarity"] >= threshold)
+
+    def settled(found: Column) -> Column:
+        best = F.array_max(found)
+        name = best["licence"]
+        for longer, shorter in EXTENDS.items():
+            more = (name == shorter) & F.array_contains(found["licence"], longer)
+            name = F.when(more, longer).otherwise(name)
+        return F.struct(best["similarity"].alias("similarity"), name.alias("licence"))
+
+    own = F.element_at(F.transform(F.array(matches), settled), 1)
+    return files.withColumn("own_licence", own).withColumns(
         {"similarity": F.col("own_licence.similarity"), "own_licence": F.col("own_licence.licence")})
 
 
+def licence_of_files(files: DataFrame, keep: list[str], threshold: float = 0.7) -> DataFrame:
+    """``keep`` columns, ``own_licence``, ``similarity``, ``licence`` and ``inherited_from`` of every file.
+
+    Texts are read once; what the scan found is written, without texts, before it is inherited.
+    """
+    scanned = scan(files, threshold).select(*dict.fromkeys([*keep, "path", "own_licence", "similarity"]))
+    return inherit(materialize(scanned, "scanned-files"))
+
+
 def inherit(scanned: DataFrame) -> DataFrame:
     """``scanned`` with ``licence`` and ``inherited_from``.
 

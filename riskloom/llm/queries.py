@@ -50,7 +50,7 @@ def op5(spark, folder):
         .when(F.col("doc_id") % 100 == 0, F.format_string("/%d/%d/LICENSE", ten, hundred))
         .otherwise(F.format_string("/%d/%d/%s/%d.txt", ten, hundred, F.coalesce("source", F.lit("none")), "doc_id"))
     )
-    found = licences.inherit(licences.scan(docs.withColumn("path", path)))
+    found = licences.licence_of_files(docs.withColumn("path", path), ["doc_id", "path"])
     return found.select("doc_id", "path", "own_licence", "similarity", "licence", "inherited_from")
 
 
