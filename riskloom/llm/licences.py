@@ -106,7 +106,7 @@ EXTENDS = {"BSD-3-Clause": "BSD-2-Clause"}
 TOKEN = "[^a-z0-9]+"
 LICENCE_NAMES = "(?i)^(licen[cs]e|copying|notice)([.-].*)?$"
 SENTENCES = "\\n|(?<=[.!?;])\\s+"
-PARAGRAPHS = "\\n[^a-zA-Z0-9\\n]*\\n"  # comment marks alone make an empty line
+PARAGRAPHS = "\\n[^a-z0-9\\n]*\\n"  # comment marks alone make an empty line
 
 
 def templates() -> list[tuple[str, dict[str, int]]]:
@@ -140,6 +140,15 @@ def naming_terms(idf: dict[str, float], threshold: float) -> list[str]:
     return sorted(needed)
 
 
+def _any_of(terms: list[str]) -> str:
+    """A pattern for any of the terms as a whole token; grouped by first letter, so that few branches are tried."""
+    by_first: dict[str, list[str]] = {}
+    for term in terms:
+        by_first.setdefault(term[0], []).append(term[1:])
+    groups = [first + "(?:" + "|".join(rests) + ")" for first, rests in by_first.items()]
+    return "(?<![a-z0-9])(?:" + "|".join(groups) + ")(?![a-z0-9])"
+
+
 def _tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), TOKEN), lambda t: t != "")
 
@@ -157,10 +166,10 @@ def _times(own: Column):
     return lambda total, k: total + k["weight"] * F.coalesce(own[k["term"]], F.lit(0.0))
 
 
-def _best_match(sentence: Column, idf: dict[str, float], unseen: float) -> Column:
+def _best_match(sentence: Column, idf: dict[str, float], unseen: float, threshold: float) -> Column:
     """Struct of the highest cosine to a template and its licence; equal ones go to the last name.
 
-    A sentence's words that no template has all weigh as much as a word in no file, so they take
+    Null where even a template of the sentence's known words alone could not reach the threshold. A sentence's words that no template has all weigh as much as a word in no file, so they take
     from the cosine what prose around a notice should take.
     """
     terms = F.array(*map(F.lit, idf))
@@ -174,14 +183,15 @@ def _best_match(sentence: Column, idf: dict[str, float], unseen: float) -> Colum
 
         def compared(known: Column) -> Column:
             square = F.aggregate(known, F.lit(0.0), lambda s, k: s + k["weight"] * k["weight"])
-            length = F.sqrt(square + F.size(F.array_except(words, terms)) * (unseen * unseen))
+            whole = square + F.size(F.array_except(words, terms)) * (unseen * unseen)
+            length = F.sqrt(whole)
             cosines = []
             for name, counts in templates():
                 own = {t: n * idf[t] for t, n in counts.items()}
                 size = sqrt(sum(v * v for v in own.values()))
                 dot = F.aggregate(known, F.lit(0.0), _times(F.create_map(*[F.lit(x) for pair in own.items() for x in pair])))
                 cosines.append(F.struct((dot / (length * size)).alias("similarity"), F.lit(name).alias("licence")))
-            return F.array_max(F.array(*cosines))
+            return F.when(square >= whole * (threshold**2 * (1 - 1e-9)), F.array_max(F.array(*cosines)))
 
         # A one-element transform binds what is used many times, so that it is computed once.
         return F.element_at(F.transform(F.array(known), compared), 1)
@@ -194,21 +204,21 @@ def scan(files: DataFrame, threshold: float = 0.7) -> DataFrame:
 
     Every line, sentence and paragraph of the whole text is compared to every template: notices, titles and naming
     paragraphs of the licences, headers. The best at or above ``threshold`` is the file's; a licence that
-    extends the best one wins where its own clause is found too. One shared word names no licence. Units that hold none
-    of the words without which no template can be reached (``naming_terms``) are passed over.
+    extends the best one wins where its own clause is found too. One shared word names no licence. Texts and units that
+    hold none of the words without which no template can be reached (``naming_terms``) are passed over.
 
     Row by row, nothing is shuffled but the counts of the templates' terms. Null and empty texts have no
     licence. Columns of the result that ``files`` already has are replaced.
     """
     terms = sorted({t for _, counts in templates() for t in counts})
     idf, unseen = inverse_frequencies(files, "text", terms)
-    naming = "(?<![a-z0-9])(?:" + "|".join(naming_terms(idf, threshold)) + ")(?![a-z0-9])"
-    units = F.array_distinct(F.concat(F.split("text", SENTENCES), F.split("text", PARAGRAPHS)))
+    naming, low = _any_of(naming_terms(idf, threshold)), F.lower("text")
+    units = F.array_distinct(F.concat(F.split(low, SENTENCES), F.split(low, PARAGRAPHS)))
     known = F.array(*map(F.lit, terms))
-    units = F.filter(units, lambda u: F.lower(u).rlike(naming))
+    units = F.filter(F.when(low.rlike(naming), units), lambda u: u.rlike(naming))
     units = F.filter(units, lambda u: F.size(F.array_intersect(_tokens(u), known)) > 1)
     matches = F.filter(
-        F.transform(units, lambda u: _best_match(u, idf, unseen)), lambda m: m["similarity"] >= threshold)
+        F.transform(units, lambda u: _best_match(u, idf, unseen, threshold)), lambda m: m["similarity"] >= threshold)
 
     def settled(found: Column) -> Column:
         best = F.array_max(found)
