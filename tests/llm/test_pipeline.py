@@ -92,6 +92,12 @@ def test_rows_without_id_and_repeated_ids(spark, folder):
     assert len({i for i, _ in got if i}) == len([i for i, _ in got if i])
 
 
+def test_documents_stay_where_no_language_can_be_learned(spark, folder):
+    docs = frame(spark, [(1, "some words", None, "s"), (2, "12 34", None, "s"), (3, None, None, "s"), (4, "", None, "s"), (5, "\u5b57", None, None)])
+    kept = corpus_pipeline.language_id(spark, docs, folder)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 5]
+
+
 @pytest.mark.parametrize("rows", [[], [(None, None)]])
 def test_empty_documents(spark, tmp_path, rows):
     path = str(tmp_path)
