@@ -16,9 +16,14 @@ from suite.registry import query
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without any letter: no language can be told for them."""
-    found = free_name(docs, "found")
-    named = language.with_language(docs, language.learn(docs), found)
+    """Drops documents without any letter: no language can be told for them.
+
+    Where no row has a language to learn from, nothing can be predicted and every text with a letter stays.
+    """
+    model, found = language.learn(docs), free_name(docs, "found")
+    if not model.languages:
+        return docs.where(F.col("text").rlike(language.LETTER))
+    named = language.with_language(docs, model, found)
     return named.where(F.col(f"{found}.lang_pred") != language.NONE).select(docs.columns)
 
 
