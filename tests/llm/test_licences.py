@@ -70,7 +70,7 @@ OPENING = """                    GNU {0}GENERAL PUBLIC LICENSE
  Everyone is permitted to copy and distribute verbatim copies
  of this license document, but changing it is not allowed.
 """
-# Texts as they stand in licence files and at the top of source files.
+# Excerpts in the layout of licence files and source headers; the GNU ones are made from one pattern.
 REAL = [
     ("MIT", """MIT License
 
