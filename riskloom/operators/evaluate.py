@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import attach, clip, rate_or_zero, value_steps
+from ..session import materialize
 
 LOG_MARGIN = 2.220446049250313e-16
 DECILES = 10
@@ -167,7 +168,7 @@ def decile_table(
 
     Edges come from the running counts, so equal probabilities stay in one bin.
     """
-    steps = curve_steps(df, by, label, prob, groups)
+    steps = materialize(curve_steps(df, by, label, prob, groups), "decile-steps")
     whole = F.max("rows_all").alias("_n")
     fewer = F.least(F.lit(bins), F.col("rows_all"))
     cuts = []
@@ -234,7 +235,12 @@ def models_long(df: DataFrame, models: list[str], label: str, keep: list[str] |
 def evaluate_pd(
     df: DataFrame, by: list[str], label: str = "label", prob: str = "prob", groups: int | None = None
 ) -> DataFrame:
-    """One row per group: AUC, Gini, KS, log loss, Brier, best threshold and the confusion cells.
+    """One row per group: AUC, Gini, KS, log loss, Brier, best threshold and the confusion cells."""
+    return metrics_of_steps(curve_steps(df, by, label, prob, groups), by, prob)
+
+
+def metrics_of_steps(steps: DataFrame, by: list[str], prob: str = "prob") -> DataFrame:
+    """All metrics of ``evaluate_pd`` from running counts per distinct probability.
 
     The best threshold and the cells at it come from the same steps as the rank metrics.
     """
@@ -249,21 +255,17 @@ def evaluate_pd(
     point = F.struct(
         gain.cast("decimal(38,0)").alias("gain"), F.col(prob).alias("threshold"), tp.alias("tp"), fp.alias("fp")
     )
-    found = (
-        curve_steps(df, by, label, prob, groups)
-        .groupBy(*by)
-        .agg(
-            F.sum(neg * (F.col("pos_all") - F.col("pos_cum") + F.col("pos") / 2)).alias("_area"),
-            F.max(F.abs(gap)).alias("ks_statistic"),
-            (F.sum(-(F.col("pos") * F.ln(p) + neg * F.ln(1 - p))) / F.sum("rows")).alias("log_loss"),
-            (
-                F.sum(F.col("pos") * (F.col(prob) - 1) * (F.col(prob) - 1) + neg * F.col(prob) * F.col(prob))
-                / F.sum("rows")
-            ).alias("brier_score"),
-            F.max(point).alias("_best"),
-            F.max("pos_all").alias("positives"),
-            F.max(neg_all).alias("negatives"),
-        )
+    found = steps.groupBy(*by).agg(
+        F.sum(neg * (F.col("pos_all") - F.col("pos_cum") + F.col("pos") / 2)).alias("_area"),
+        F.max(F.abs(gap)).alias("ks_statistic"),
+        (F.sum(-(F.col("pos") * F.ln(p) + neg * F.ln(1 - p))) / F.sum("rows")).alias("log_loss"),
+        (
+            F.sum(F.col("pos") * (F.col(prob) - 1) * (F.col(prob) - 1) + neg * F.col(prob) * F.col(prob))
+            / F.sum("rows")
+        ).alias("brier_score"),
+        F.max(point).alias("_best"),
+        F.max("pos_all").alias("positives"),
+        F.max(neg_all).alias("negatives"),
     )
     auc = F.try_divide(F.col("_area"), F.col("positives").cast("double") * F.col("negatives"))
     crossed = F.col("_best.gain") > 0

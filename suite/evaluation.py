@@ -285,21 +285,20 @@ def _(spark, folder):
     return rounded(evaluate.decile_table(long_scores(spark, folder), ["model"], groups=len(MODELS)))
 
 
-@query(
-    "evaluate_models",
-    with_views(
-        ["scored"],
-        f"""{STEPS_SQL}, {_CELLS},
+def metrics_sql(long: str) -> str:
+    """All metrics per ``model`` of ``long``, SQL for rows of model, label and prob."""
+    return f"""{STEPS_SQL.replace(_LONG, long)}, {_CELLS},
 ranks AS (SELECT model, sum(neg * (p - pc + pos / 2)) / max(p * n) AS auc, max(abs(pc / p - nc / n)) AS ks
   FROM steps GROUP BY model),
 losses AS (SELECT model, avg(CASE WHEN label = 1 THEN -ln(prob) ELSE -ln(1 - prob) END) AS ll,
-  avg((prob - label) * (prob - label)) AS brier FROM long GROUP BY model)
-SELECT model, round(auc, 6) AS auc_roc, round(2 * auc - 1, 6) AS gini, round(ks, 6) AS ks_statistic,
+  avg((prob - label) * (prob - label)) AS brier FROM long GROUP BY model),
+metrics AS (SELECT model, round(auc, 6) AS auc_roc, round(2 * auc - 1, 6) AS gini, round(ks, 6) AS ks_statistic,
   round(ll, 6) AS log_loss, round(brier, 6) AS brier_score, cut AS optimal_threshold, tn, fp, fn, tp,
   auc >= 0.70 AS passed
-FROM ranks JOIN losses USING (model) JOIN best USING (model) JOIN cells USING (model)""",
-    ),
-)
+FROM ranks JOIN losses USING (model) JOIN best USING (model) JOIN cells USING (model))"""
+
+
+@query("evaluate_models", with_views(["scored"], f"{metrics_sql(_LONG)} SELECT * FROM metrics"))
 def _(spark, folder):
     metrics = evaluate.evaluate_pd(long_scores(spark, folder), ["model"], groups=len(MODELS))
     return rounded(evaluate.performance_gate(metrics))

@@ -6,11 +6,12 @@ import math
 
 from pyspark.sql import functions as F
 
-from riskloom.operators import drift, evaluate, fairness, monitor, shadow
+from riskloom.operators import drift, evaluate, fairness, monitor, rank_history, shadow
 from riskloom.operators.profile import CREDIT_FEATURES, PROFILE_FEATURES, RATIO_FEATURES, borrower_features
 from riskloom.plans import drift_report
+from riskloom.session import shared_folder
 
-from .evaluation import MODELS
+from .evaluation import MODELS, metrics_sql
 from .features import CREDIT_SQL, PROFILE_SQL, RATIO_SQL
 from .registry import query, rounded
 from .views import table, with_views
@@ -294,15 +295,41 @@ def _performance(spark, folder):
     return monitor.performance_history(scored, "batch")
 
 
+_BATCHES = f"SELECT {_BATCH} AS model, is_default AS label, pd AS prob FROM scored"
+
+
 @query(
     "performance_history",
     with_views(
-        ["scored"],
-        _PERF + " SELECT batch, round(auc, 6) AS auc_roc, round(ks, 6) AS ks_statistic FROM h",
+        ["scored"], metrics_sql(_BATCHES) + " SELECT model AS batch, * EXCLUDE (model, passed) FROM metrics"
     ),
 )
 def _(spark, folder):
-    return rounded(_performance(spark, folder).select("batch", "auc_roc", "ks_statistic"))
+    return rounded(_performance(spark, folder))
+
+
+_UNIONS = {"first_half": ["0", "1"], "second_half": ["2", "3"], "all": ["0", "1", "2", "3"], "newest": ["3"]}
+_UNITED = " UNION ALL ".join(
+    f"SELECT '{name}' AS model, is_default AS label, pd AS prob FROM scored WHERE {_BATCH} IN ({', '.join(parts)})"
+    for name, parts in _UNIONS.items()
+)
+
+
+@query(
+    "performance_of_united_batches",
+    with_views(
+        ["scored"], metrics_sql(_UNITED) + ' SELECT model AS "union", * EXCLUDE (model, passed) FROM metrics'
+    ),
+)
+def _(spark, folder):
+    """Batches are added one by one, one of them twice; unions are measured without their rows."""
+    path = shared_folder(spark, "rank-history")
+    scored = table(spark, folder, "scored").select(
+        (F.col("borrower_id") % 4).cast("int").alias("batch"), F.col("is_default").alias("label"), F.col("pd").alias("prob")
+    )
+    for batch in ("0", "1", "2", "3", "1"):
+        rank_history.add_batch(scored.where(F.col("batch") == int(batch)), path, batch)
+    return rounded(rank_history.united_metrics(spark, path, _UNIONS))
 
 
 @query(
