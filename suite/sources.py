@@ -65,9 +65,50 @@ def _(spark, folder):
     return rounded(standardize.standardize_give_me_credit(raw).select(*_GMC_COLUMNS))
 
 
-@query("standardize_drawn_attributes")
+def _u(name: str) -> str:
+    """A draw of the standardised layouts, of ``record`` with seed 42."""
+    return f"(('0x' || substr(md5(record || ':42:{name}'), 1, 8))::BIGINT / 4294967296)"
+
+
+def _between(name: str, low: float, high: float) -> str:
+    return f"({low}::DOUBLE + {_u(name)} * {high - low}::DOUBLE)"
+
+
+def _choice(name: str, shares: dict[str, float]) -> str:
+    names, reached, cases = list(shares), 0.0, []
+    for n in names[:-1]:
+        reached += shares[n]
+        cases.append(f"WHEN {_u(name)} < {reached}::DOUBLE THEN '{n}'")
+    return f"CASE {' '.join(cases)} ELSE '{names[-1]}' END"
+
+
+def _state(count: int) -> str:
+    return f"{standardize.STATES[:count]}[floor({_between('state', 0, count)})::INT + 1]"
+
+
+_EXPOSURE = f"""round(least(greatest(current_credit_balance + {_u('conversion')} ** 4
+  * greatest(total_credit_limit - current_credit_balance, 0), current_credit_balance), total_credit_limit), 2)"""
+_DRAWN = f"""floor({_between('account', 6, 180)})::INT AS account_age_months,
+  round({_between('complete', 0.6, 1.0)}, 2) AS profile_completeness_score,
+  {_choice('device', standardize.DEVICE_SHARES)} AS device_type, ({_u('fraud')} < 0.015::DOUBLE)::INT AS is_fraud,
+  CASE WHEN is_default = 1 THEN round({_u('loss')} ** 2, 4) ELSE 0 END AS lgd_value, {_EXPOSURE} AS ead_value"""
+
+
+@query(
+    "standardize_drawn_attributes",
+    f"""WITH g AS ({_GMC}), own AS ({_GMC_SQL.replace('SELECT printf', 'SELECT record, printf', 1)}),
+mapped AS (SELECT *, round(least(greatest(-5 * ln(1 - {_u('job')}), 0), 40), 1) AS employment_length_years,
+  {_choice('employment', standardize.EMPLOYMENT_SHARES)} AS employment_type,
+  {_choice('home', standardize.HOME_SHARES)} AS home_ownership,
+  CASE WHEN number_of_delinquencies > 0 THEN floor({_between('since', 1, 60)}) END AS months_since_last_delinquency,
+  {_choice('purpose', standardize.PURPOSE_SHARES)} AS loan_purpose, {_state(20)} AS state,
+  round(annual_income * {_between('limit', 0.3, 1.5)}, 2) AS total_credit_limit,
+  round(annual_income * {_between('loan', 0.1, 0.5)}, 2) AS requested_loan_amount FROM own),
+used AS (SELECT *, round(total_credit_limit * {_u('use')} ** 2.5, 2) AS current_credit_balance FROM mapped)
+SELECT * EXCLUDE (record), {_DRAWN} FROM used""",
+)
 def _(spark, folder):
-    return standardize.standardize_give_me_credit(_raw_gmc(spark, folder))
+    return rounded(standardize.standardize_give_me_credit(_raw_gmc(spark, folder)))
 
 
 _CLUB_SQL = """
@@ -89,8 +130,7 @@ SELECT printf('lc-%06d', k) AS borrower_id, coalesce(nullif(regexp_extract(job,
   (status <> 'Fully Paid')::INT AS is_default FROM raw"""
 
 
-@query("standardize_lending_club", _CLUB_SQL)
-def _(spark, folder):
+def _raw_club(spark, folder, *more):
     k = F.col("c_custkey")
     years = F.concat((k % 9).cast("string"), F.lit(" years"))
     job = F.when(k % 9 == 1, "< 1 year").when(k % 9 == 2, "10+ years").when(k % 9 == 3, "n/a").otherwise(years)
@@ -104,7 +144,7 @@ def _(spark, folder):
     status = F.array(
         *[F.lit(x) for x in ("Charged Off", "Late (31-120 days)", "Default", "Fully Paid", "Fully Paid")]
     )
-    raw = table(spark, folder, "customer").select(
+    return table(spark, folder, "customer").select(
         k.alias("id"),
         F.when(k % 9 != 0, job).alias("emp_length"),
         F.get(homes, (k % 4).cast("int")).alias("home_ownership"),
@@ -112,9 +152,14 @@ def _(spark, folder):
         F.when(k % 10 != 0, (k % 40).cast("double")).alias("dti"),
         F.get(uses, (k % 6).cast("int")).alias("purpose"),
         F.get(status, (k % 5).cast("int")).alias("loan_status"),
+        *more,
     )
+
+
+@query("standardize_lending_club", _CLUB_SQL)
+def _(spark, folder):
     return rounded(
-        standardize.standardize_lending_club(raw).select(
+        standardize.standardize_lending_club(_raw_club(spark, folder)).select(
             "borrower_id",
             "employment_length_years",
             "home_ownership",
@@ -126,6 +171,36 @@ def _(spark, folder):
     )
 
 
+# More fields of the second layout, in words that both engines read alike.
+_CLUB_FIELDS = {
+    "annual_inc": "CASE WHEN {k} % 8 <> 0 THEN CAST(20000 + {k} * 31 % 70000 AS DOUBLE) END",
+    "open_acc": "CASE WHEN {k} % 21 <> 0 THEN CAST({k} % 30 AS INT) END",
+    "total_rev_hi_lim": "CASE WHEN {k} % 12 <> 0 THEN CAST(1000 + {k} * 7 % 60000 AS DOUBLE) END",
+    "revol_bal": "CASE WHEN {k} % 14 <> 0 THEN CAST({k} * 11 % 40000 AS DOUBLE) END",
+    "mths_since_last_delinq": "CASE WHEN {k} % 2 = 0 THEN CAST({k} % 80 AS DOUBLE) END",
+    "delinq_2yrs": "CASE WHEN {k} % 15 <> 0 THEN CAST({k} % 4 AS INT) END",
+    "loan_amnt": "CASE WHEN {k} % 16 <> 0 THEN CAST(1000 + {k} * 13 % 34000 AS DOUBLE) END",
+}
+_FIELDS_SQL = ", ".join(f"{text.format(k='k')} AS {name}" for name, text in _CLUB_FIELDS.items())
+
+
+@query(
+    "standardize_lending_club_all_columns",
+    f"""WITH own AS (SELECT *, substr(borrower_id, 4)::BIGINT AS record, substr(borrower_id, 4)::BIGINT AS k FROM ({_CLUB_SQL}) c),
+fields AS (SELECT *, {_FIELDS_SQL} FROM own),
+mapped AS (SELECT * EXCLUDE (k, {', '.join(_CLUB_FIELDS)}), floor({_between('age', 22, 70)})::INT AS age,
+  coalesce(annual_inc, 60000) AS annual_income, coalesce(open_acc, 8) AS existing_credit_lines,
+  coalesce(total_rev_hi_lim, 30000) AS total_credit_limit, coalesce(revol_bal, 10000) AS current_credit_balance,
+  mths_since_last_delinq AS months_since_last_delinquency, coalesce(delinq_2yrs, 0) AS number_of_delinquencies,
+  coalesce(loan_amnt, 15000) AS requested_loan_amount, {_state(4)} AS state,
+  {_choice('employment', standardize.CLUB_EMPLOYMENT_SHARES)} AS employment_type FROM fields)
+SELECT * EXCLUDE (record), {_DRAWN} FROM mapped""",
+)
+def _(spark, folder):
+    more = [F.expr(text.format(k="c_custkey")).alias(name) for name, text in _CLUB_FIELDS.items()]
+    return rounded(standardize.standardize_lending_club(_raw_club(spark, folder, *more)))
+
+
 @query(
     "feature_store_version",
     with_views(
