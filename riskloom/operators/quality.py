@@ -25,6 +25,7 @@ from .encode import numeric_columns
 
 _NOT_REQUIRED = {"months_since_last_delinquency", "is_fraud", "lgd_value", "ead_value"}
 REQUIRED_BORROWER_COLUMNS = [c for c in BORROWER_COLUMNS if c not in _NOT_REQUIRED]
+LISTED_VALUES = 20  # in a check's detail; ``invalid_values`` returns all
 RESULT_SCHEMA = "check string, passed boolean, details string"
 
 
@@ -104,9 +105,13 @@ def validate_borrowers(
         (
             "employment_type_valid",
             F.col("bad_employment") == 0,
-            F.format_string("Rows with an invalid employment type: %d", F.col("bad_employment")),
+            F.format_string(
+                "Rows with an invalid employment type: %d (values: %s)", F.col("bad_employment"), F.col("bad_values")
+            ),
         ),
     ]
+    listed = _listed_values(invalid_values(df, "employment_type", EMPLOYMENT_TYPES), "employment_type", "bad_values")
+    summary = summary.join(F.broadcast(listed), F.lit(True))  # one row each
     return _as_rows(summary, checks).unionByName(schema).unionByName(unique_key(df, key))
 
 
@@ -188,6 +193,16 @@ def invalid_values(df: DataFrame, column: str, allowed: list[str]) -> DataFrame:
     return df.filter(~_holds(F.col(column).isin(allowed))).groupBy(column).agg(F.count(F.lit(1)).alias("rows"))
 
 
+def _listed_values(values: DataFrame, column: str, name: str) -> DataFrame:
+    """One row: the values by name, null as ``null``. Beyond ``LISTED_VALUES`` the text ends in an ellipsis."""
+    text = F.coalesce(F.col(column).cast("string"), F.lit("null")).alias("value")
+    first = values.select(text).distinct().orderBy("value").limit(LISTED_VALUES + 1)
+    found = first.agg(F.sort_array(F.collect_list("value")).alias("values"))
+    shown = F.array_join(F.slice("values", 1, LISTED_VALUES), ", ")
+    more = F.when(F.size("values") > LISTED_VALUES, F.lit(", ...")).otherwise(F.lit(""))
+    return found.select(F.concat(shown, more).alias(name))
+
+
 def overall(checks: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Roll checks up: all passed, how many ran, how many failed."""
     return checks.groupBy(*(by or [])).agg(

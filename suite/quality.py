@@ -52,8 +52,10 @@ _BORROWER_SQL = " UNION ALL ".join(
         _check(
             "employment_type_valid",
             f"bool_and(coalesce(employment_type IN {tuple(EMPLOYMENT_TYPES)}, false))",
-            "printf('Rows with an invalid employment type: %d', count(*) FILTER"
-            f" (NOT coalesce(employment_type IN {tuple(EMPLOYMENT_TYPES)}, false)))",
+            "printf('Rows with an invalid employment type: %d (values: %s)', count(*) FILTER"
+            f" (NOT coalesce(employment_type IN {tuple(EMPLOYMENT_TYPES)}, false)),"
+            " (SELECT coalesce(string_agg(v, ', ' ORDER BY v), '') FROM (SELECT DISTINCT coalesce(employment_type, 'null')"
+            f" AS v FROM borrowers WHERE NOT coalesce(employment_type IN {tuple(EMPLOYMENT_TYPES)}, false)) d))",
             "borrowers",
         ),
     ]

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskloom.models import ensemble
+from riskloom.operators import drift
+from riskloom.operators.profile import borrower_features
 from riskloom.session import materialize, shared_folder
-from riskloom.sources import sinks, standardize, store, tables
+from riskloom.sources import sinks, snapshot, standardize, store, tables
 
 from .evaluation import _OWN_EAD, MODELS, SCORE_SQL, scored_applications
 from .monitoring import _RATES as RATES_SQL
-from .monitoring import COLUMNS, _features, _rates
+from .monitoring import COLUMNS, _features, _psi, _rates
 from .registry import query, rounded
 from .views import table, with_views
 
@@ -252,6 +254,43 @@ def _(spark, folder):
     return store.read_features(latest, "borrower_id", "last_amount double, last_event string")
 
 
+_LATEST_SQL = f"""SELECT user_id AS borrower_id, value AS last_amount, event_type AS last_event FROM events {{where}}
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) = 1 AND ts + INTERVAL 86400 SECOND
+  > TIMESTAMP '{_NOW}'"""
+_LAST = "last_amount double, last_event string"
+
+
+def _kept_snapshot(spark, folder) -> str:
+    """Four writes, the third of them twice, folded on the way."""
+    events = table(spark, folder, "events").select(
+        F.col("user_id").alias("borrower_id"),
+        F.col("value").alias("last_amount"),
+        F.col("event_type").alias("last_event"),
+        "ts",
+    )
+    path = shared_folder(spark, "snapshot")
+    for batch in (0, 1, 2, 2, 3):
+        part = events.where(F.pmod(F.xxhash64("ts"), F.lit(4)) == batch)
+        entries = store.snapshot_entries(part, "borrower_id", "ts", 86400)
+        snapshot.add_batch(entries, batch, path, "borrower_id", now=_NOW, buckets=8, compact_after=2)
+    return path
+
+
+@query("serving_snapshot_merged", _LATEST_SQL.format(where=""))
+def _(spark, folder):
+    kept = snapshot.read(spark, _kept_snapshot(spark, folder), "borrower_id", _NOW)
+    return store.read_features(kept, "borrower_id", _LAST)
+
+
+@query("serving_point_read", _LATEST_SQL.format(where="WHERE user_id IN (SELECT max(user_id) FROM events UNION SELECT min(user_id) FROM events)"))
+def _(spark, folder):
+    """The features of two borrowers: their buckets are opened, no others."""
+    ends = table(spark, folder, "events").agg(F.min("user_id"), F.max("user_id")).first()
+    asked = [k for k in ends if k is not None]
+    kept = snapshot.read(spark, _kept_snapshot(spark, folder), "borrower_id", _NOW, keys=asked)
+    return store.read_features(kept, "borrower_id", _LAST)
+
+
 @query(
     "latest_row_per_borrower",
     "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
@@ -280,17 +319,17 @@ def _(spark, folder):
 
 @query(
     "drift_metrics_sink",
-    "SELECT feature AS feature_name, 0::DOUBLE AS psi_value, 'stable' AS status, DATE '2024-01-31' AS day FROM (VALUES "
-    + ", ".join(f"('{c}')" for c in COLUMNS)
-    + ") t(feature) WHERE (SELECT count(*) FROM customer) > 0",
+    with_views(
+        ["borrowers"],
+        f"""WITH {_psi([drift.SCENARIOS[0]])}
+SELECT feature AS feature_name, psi AS psi_value, status, DATE '2024-01-31' AS day FROM drift""",
+    ),
 )
 def _(spark, folder):
-    from riskloom.operators import drift
-
     path = shared_folder(spark, "drift")
-    features = _features(spark, folder)
-    reference = drift.reference_bins(features, COLUMNS)
-    sinks.append_drift(drift.drift_table(features, reference, COLUMNS), path, "2024-01-31 00:00:00")
+    reference = drift.reference_bins(_features(spark, folder), COLUMNS)
+    stressed = borrower_features(drift.stressed_borrowers(table(spark, folder, "borrowers"), drift.SCENARIOS[0]))
+    sinks.append_drift(drift.drift_table(stressed, reference, COLUMNS), path, "2024-01-31 00:00:00")
     return sinks.read_results(spark, path).drop("recorded_at")
 
 
