@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from riskloom.operators import distinct
 from riskloom.operators import payments as pay
 from riskloom.operators import profile as prof
 from riskloom.operators import transactions as txn
+from riskloom.session import shared_folder
 
 from .registry import FINER, query, rounded
 from .views import LONG_REFERENCE, RECENT_REFERENCE, table, with_views
@@ -133,6 +137,46 @@ for _view, _ref in (("recent_transactions", RECENT_REFERENCE), ("long_transactio
         return rounded(txn.trend_features(table(spark, folder, view)))
 
 
+_WINDOWS = [7, 30, 90]
+
+
+def _distinct_sql(view: str, ref: str) -> str:
+    since = {d: f"timestamp >= TIMESTAMP '{ref} 00:00:00' - INTERVAL {d} DAY" for d in _WINDOWS}
+    counts = ", ".join(
+        f"count(DISTINCT {c}) FILTER ({since[d]}) AS {name}_{d}d" for d in _WINDOWS for c, name in distinct.DIVERSITY.items()
+    )
+    return f"SELECT borrower_id, {counts} FROM {view} WHERE {since[90]} GROUP BY borrower_id"
+
+
+for _view, _ref in (("recent_transactions", RECENT_REFERENCE), ("long_transactions", LONG_REFERENCE)):
+
+    @query(f"diversity_from_days_{_view.split('_')[0]}", with_views([_view], _distinct_sql(_view, _ref)))
+    def _(spark, folder, view=_view, ref=_ref):
+        """Sketches of all days are written once; three windows are united from them."""
+        path = shared_folder(spark, "day-sketches")
+        days = distinct.daily_sketches(table(spark, folder, view), ["borrower_id"], list(distinct.DIVERSITY))
+        distinct.save_months(days, path)
+        return distinct.window_distinct(distinct.read_months(spark, path), ["borrower_id"], distinct.DIVERSITY, ref, _WINDOWS)
+
+
+@query(
+    "clients_from_days",
+    with_views(
+        ["requests"],
+        "SELECT endpoint, count(DISTINCT client_id) AS clients, true AS within FROM requests GROUP BY endpoint",
+    ),
+)
+def _(spark, folder):
+    """Clients per endpoint, counted exactly, and whether the estimate lies within four standard errors."""
+    requests = table(spark, folder, "requests")
+    days = distinct.daily_sketches(requests, ["endpoint"], ["client_id"], at="requested_at")
+    estimated = days.groupBy("endpoint").agg(F.hll_sketch_estimate(F.hll_union_agg("client_id")).alias("estimate"))
+    exact = requests.groupBy("endpoint").agg(F.count_distinct("client_id").alias("clients"))
+    off = F.abs(F.col("estimate") - F.col("clients"))
+    near = off <= 4 * distinct.relative_error() * F.col("clients") + 1
+    return exact.join(estimated, "endpoint").select("endpoint", "clients", near.alias("within"))
+
+
 def _transaction_sql(view: str, ref: str, digits: int | None = 6) -> str:
     return f"""
 SELECT s.borrower_id, v.* EXCLUDE (borrower_id), s.* EXCLUDE (borrower_id), b.* EXCLUDE (borrower_id),
