@@ -32,13 +32,16 @@ def codewords(classes: int, least_bits: int = 7) -> np.ndarray:
 
 
 def _buckets(codes: np.ndarray, size: int) -> Iterator[np.ndarray]:
-    """Bucket of the n-gram that starts at each code point, for n of 1 to 3."""
+    """Bucket of the n-gram that starts at each code point, for n of 1 to 3.
+
+    Those that start in the overlap of a piece are left to the next one.
+    """
     mixed = codes.astype(np.uint64) + np.uint64(1)
     gram = np.zeros(len(mixed), np.uint64)
     for n in range(3):
         gram = gram[: len(mixed) - n] * np.uint64(0x9E3779B97F4A7C15) + mixed[n:]
         spread = gram ^ (gram >> np.uint64(29))
-        yield ((spread * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)).astype(np.int64) % size
+        yield ((spread[:CHUNK] * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)).astype(np.int64) % size
 
 
 def _pieces(text: str) -> Iterator[np.ndarray]:
