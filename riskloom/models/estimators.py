@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import clip
 from ..operators.decision import REGULATORY_CONVERSION, exposure
 from ..operators.split import class_weights
+from .boosting import BoostedTrees
 from .calibration import calibrated
 
 WEIGHT = "_weight"
@@ -106,7 +107,7 @@ def boosted_classifier(columns: list[str], label: str, weighted: bool, **params)
         settings["weightCol"] = WEIGHT
     trees = GBTClassifier(featuresCol="_features", labelCol=label, predictionCol="_class", **settings)
     trees = trees.setProbabilityCol("_probability").setRawPredictionCol("_margin")
-    return Pipeline(stages=[_assembler(columns), trees])
+    return Pipeline(stages=[_assembler(columns), BoostedTrees(trees, len(columns))])
 
 
 def fit_boosted(df: DataFrame, columns: list[str], label: str, **params) -> Classifier:
@@ -181,7 +182,7 @@ def fit_fraud(df: DataFrame, columns: list[str], label: str, **params) -> Classi
 def boosted_regressor(columns: list[str], target: str, **params) -> Pipeline:
     settings = {"maxIter": 200, "maxDepth": 4, "stepSize": 0.05, "seed": 42, **params}
     trees = GBTRegressor(featuresCol="_features", labelCol=target, predictionCol="_value", **settings)
-    return Pipeline(stages=[_assembler(columns), trees])
+    return Pipeline(stages=[_assembler(columns), BoostedTrees(trees, len(columns))])
 
 
 @dataclass
