@@ -34,7 +34,7 @@ def test_same_trees_as_spark_where_nothing_is_drawn(data, weighted):
     whole = {"subsamplingRate": 1.0, "featureSubsetStrategy": "all", "maxIter": 6, "maxDepth": 4, "minInstancesPerNode": 3}
     pipeline = estimators.boosted_classifier(COLUMNS, "y", weighted, **whole)
     made, wanted = (values(p.fit(data), data, "_margin") for p in (pipeline, with_spark(pipeline)))
-    # A row on an edge may go the other way: sums in another order tip equal gains.
+    # Not all: sums in another order may tip equal gains.
     assert (np.abs(made - wanted) < 1e-9).mean() > 0.98
     assert np.corrcoef(made, wanted)[0, 1] > 0.999
 
