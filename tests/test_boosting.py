@@ -79,3 +79,39 @@ def test_feature_number():
     assert [boosting.feature_number(s, 14) for s in ("all", "0.8", "1.000", "3", "99")] == [14, 12, 14, 3, 14]
     with pytest.raises(ValueError):
         boosting.feature_number("some", 14)
+
+
+def test_margins_of_held_rows_are_those_of_the_model(spark, data, tmp_path):
+    prepare, trees = estimators.boosted_classifier(COLUMNS, "y", False, maxIter=7, maxDepth=4).getStages()
+    held = F.col("i") % 3 == 0
+    trees.write_margins(prepare.transform(data), held, str(tmp_path / "margins"))
+    found = spark.read.parquet(str(tmp_path / "margins")).toPandas()["margin"]
+    model = Pipeline(stages=[prepare, trees]).fit(data.where(~held))
+    assert np.allclose(sorted(found), sorted(values(model, data.where(held), "_margin")), atol=1e-12)
+
+
+def test_only_the_smaller_child_is_counted(monkeypatch):
+    class Alone:
+        number, context = 1, type("", (), {"partitionId": staticmethod(lambda: 0)})
+
+        def total(self, numbers):
+            return numbers
+
+    rng, counted = np.random.default_rng(3), []
+    x, settings = rng.normal(size=(4000, 4)), boosting.Settings(1, 5, 0.1, 1.0, 4, 32, 1, 0.0, 1, False, True)
+    y, weight, real = x[:, 0] * x[:, 1] + x[:, 2], 1.0 + (x[:, 3] > 0), boosting.Forest._histograms
+
+    def watched(self, codes, slot, *rest):
+        counted.append(len(slot))
+        return real(self, codes, slot, *rest)
+
+    monkeypatch.setattr(boosting.Forest, "_histograms", watched)
+    forest = boosting.Forest(x, y, weight, settings, Alone())
+    nodes = next(forest.grow())
+    assert counted[0] == 4000 and len(counted) == 5 and max(counted[1:]) <= 2000
+    # Rows and weights of children add up to their parent's, as counted from the rows.
+    inner = np.flatnonzero(nodes["left"] >= 0)
+    left, right = nodes["left"][inner], nodes["left"][inner] + 1
+    assert np.array_equal(nodes["rows"][left] + nodes["rows"][right], nodes["rows"][inner])
+    both = np.array([forest.codes[f] <= c for f, c in zip(nodes["feature"][:1], nodes["cut"][:1])])[0]
+    assert nodes["rows"][left[0]] == both.sum() and np.isclose(nodes["stats"][left[0], 0], forest.weight[both].sum())
