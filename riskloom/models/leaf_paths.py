@@ -18,7 +18,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassificationModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressionModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize, shared_folder
@@ -198,6 +198,28 @@ def tree_contributions(
     return given.mapInArrow(run, f"`{key}` {kind}, feature string, value double, contribution double")
 
 
+def on_edges(df: DataFrame, model: PipelineModel, columns: list[str], chosen: list[str]) -> DataFrame:
+    """``df`` with each ``chosen`` number put on the next edge above it that the trees have for it, or on infinity.
+
+    ``columns`` are the model's inputs in order. Every split sends ``x <= edge`` to the left, so the margin stays the
+    same; a feature has at most as many edges as bins. Missing numbers turn right everywhere, as infinity does.
+    """
+    spark, path = df.sparkSession, shared_folder(df.sparkSession, "trees")
+    _ensemble(model).write().save(path)
+    split = F.col("nodeData.split")
+    found = spark.read.parquet(f"{path}/data").where("nodeData.leftChild >= 0")
+    if found.where(split["numCategories"] >= 0).limit(1).count():
+        raise ValueError("splits by category are not supported")
+    edges = {columns[r["feature"]]: sorted(r["edges"]) for r in found.groupBy(split["featureIndex"].alias("feature")).agg(
+        F.collect_set(F.get(split["leftCategoriesOrThreshold"], F.lit(0))).alias("edges")).collect()}
+
+    def above(name: str) -> Column:
+        own = F.array(*[F.lit(float(e)) for e in edges.get(name, [])], F.lit(float("inf")))
+        return F.coalesce(F.get(F.filter(own, lambda e: e >= F.col(name)), F.lit(0)), F.lit(float("inf"))).alias(name)
+
+    return df.select(*[above(c) if c in chosen else F.col(c) for c in df.columns])
+
+
 def margins(df: DataFrame, model: PipelineModel, name: str = "margin") -> DataFrame:
     """``df`` with the boosted model's margin: the weighted sum over its trees."""
     trees = _ensemble(model)

@@ -256,6 +256,40 @@ def _(spark, folder):
 FOUR = FEATURES[:4]
 
 
+def coalition_contributions(spark, rows, background, same, model):
+    """``(borrower_id, feature, wanted)``: Shapley values of the four features from the worth of all 16 coalitions.
+
+    The margin is the same for all values between two edges of the trees, so values are first put on the edge above. Of
+    each coalition a worth is asked once for all rows that agree in its members, and each mixture is predicted once.
+    """
+    snapped = leaf_paths.on_edges(rows.select("borrower_id", *FOUR), model, FEATURES, FOUR)
+    fields = ", ".join(f"{c} double" for c in FOUR)
+    drawn = spark.createDataFrame([tuple(r[c] for c in FOUR) for r in background], fields)
+    times = leaf_paths.on_edges(drawn, model, FEATURES, FOUR).groupBy(*FOUR).count().collect()
+    others = spark.createDataFrame(
+        [(at, r["count"], *[r[c] for c in FOUR]) for at, r in enumerate(times)], "other int, times long, " + fields.replace(" double", "_other double"))
+    member = [F.col("coalition").bitwiseAND(F.lit(1 << at)) != 0 for at in range(4)]
+    own = [F.when(inside, F.col(c)).alias(f"{c}_own") for inside, c in zip(member, FOUR, strict=True)]
+    given = snapped.withColumn("coalition", F.explode(F.sequence(F.lit(0), F.lit(15)))).select("borrower_id", "coalition", *own)
+    given, owned = materialize(given, "coalitions"), [f"{c}_own" for c in FOUR]
+    # Where all members are the row's, the other row has no part in it.
+    needed = (F.col("coalition") < 15) | (F.col("other") == 0)
+    asked = materialize(given.select("coalition", *owned).distinct().join(F.broadcast(others), needed).select(
+        "coalition", "times", *owned, *[F.coalesce(f"{c}_own", f"{c}_other").alias(c) for c in FOUR]), "mixtures")
+    once = asked.select(*FOUR).distinct().repartition(4 * spark.sparkContext.defaultParallelism)
+    predicted = materialize(leaf_paths.margins(once.select(*FOUR, *same), model).select(*FOUR, "margin"), "margins")
+    worth = materialize(asked.join(predicted, FOUR).groupBy("coalition", *owned).agg(
+        (F.sum(F.col("margin") * F.col("times")) / F.sum("times")).alias("worth")), "worth")
+    equal = [given[c].eqNullSafe(worth[c]) for c in ("coalition", *owned)]
+    both = given.join(worth, equal).select("borrower_id", given["coalition"], "worth")
+    shares, terms = [1 / 4, 1 / 12, 1 / 12, 1 / 4], []
+    for at, c in enumerate(FOUR):
+        signed = [shares[s.bit_count() - (s >> at & 1)] * (1 if s >> at & 1 else -1) for s in range(16)]
+        factor = F.get(F.array(*map(F.lit, signed)), F.col("coalition"))
+        terms.append(F.sum(factor * F.col("worth")).alias(c))
+    return both.groupBy("borrower_id").agg(*terms).unpivot("borrower_id", FOUR, "feature", "wanted")
+
+
 @query("exact_contributions_by_coalitions", with_views(["borrowers"], _EXPLAINED.format("equal")))
 def _(spark, folder):
     """Where rows differ in four features only, their contributions equal those from the worth of all 16 coalitions."""
@@ -267,18 +301,7 @@ def _(spark, folder):
     found = leaf_paths.tree_contributions(
         test.select("borrower_id", *FOUR, *same), "borrower_id", FEATURES, drawn.select(*FOUR, *same), model)
 
-    others = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in FOUR]) for r in background])
-    asked = test.withColumn("other", F.explode(others)).withColumn("coalition", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    member = [F.col("coalition").bitwiseAND(F.lit(1 << at)) != 0 for at in range(4)]
-    mixed = asked.select("borrower_id", "coalition", *same, *[
-        F.when(inside, F.col(c)).otherwise(F.col("other")[c]).alias(c) for inside, c in zip(member, FOUR, strict=True)])
-    worth = leaf_paths.margins(mixed, model).groupBy("borrower_id", "coalition").agg(F.avg("margin").alias("worth"))
-    shares, terms = [1 / 4, 1 / 12, 1 / 12, 1 / 4], []
-    for at, c in enumerate(FOUR):
-        signed = [shares[s.bit_count() - (s >> at & 1)] * (1 if s >> at & 1 else -1) for s in range(16)]
-        factor = F.get(F.array(*map(F.lit, signed)), F.col("coalition"))
-        terms.append(F.struct(F.lit(c).alias("feature"), (factor * F.col("worth")).alias("part")))
-    wanted = worth.select("borrower_id", F.inline(F.array(*terms))).groupBy("borrower_id", "feature").agg(F.sum("part").alias("wanted"))
+    wanted = coalition_contributions(spark, test, background, same, model)
     both = found.join(wanted, ["borrower_id", "feature"], "left")
     near = F.max(F.abs(F.col("contribution") - F.coalesce("wanted", F.lit(0.0)))) < 1e-9
     return both.groupBy("borrower_id").agg((near & (F.count("feature") == len(FEATURES))).alias("equal"))

@@ -115,3 +115,32 @@ def test_limits(frame, boosted):
     with pytest.raises(ValueError, match="boosted"):
         lp.tree_contributions(frame, "id", COLUMNS, frame.limit(3), fit_logistic(frame, COLUMNS, "y", max_iter=3).model)
     assert lp.tree_contributions(frame.limit(0), "id", COLUMNS, frame.limit(3), boosted).collect() == []
+
+
+def test_numbers_on_edges_keep_the_margin(spark, frame, boosted):
+    holes = frame.select("id", *COLUMNS).union(spark.createDataFrame([(900, float("nan"), 1e9, -1e9, 0.0)], "id long, a double, b double, c double, d double"))
+    moved = lp.on_edges(holes, boosted, COLUMNS, ["a", "b", "c"])
+    was, now = ({r.id: r for r in lp.margins(d, boosted).collect()} for d in (holes, moved))
+    assert was.keys() == now.keys() and all(was[i].margin == now[i].margin and was[i].d == now[i].d for i in was)
+    assert max(len({r[c] for r in now.values()}) for c in ("a", "b", "c")) <= 32
+
+
+def test_worth_of_coalitions_is_asked_once_for_equal_members(spark, frame, monkeypatch):
+    from suite import models
+
+    names = list(models.FEATURES)
+    rng = np.random.default_rng(5)
+    made = [(i, *map(float, np.round(r, 1)), int(r[0] * r[1] + r[2] > 0)) for i, r in enumerate(rng.normal(size=(200, len(names))))]
+    df = spark.createDataFrame(made, "borrower_id long, " + ", ".join(f"{c} double" for c in names) + ", y int").cache()
+    model, background = fit_pd("boosted", df, names, "y", maxIter=6, maxDepth=3).model, df.where("borrower_id < 8").collect()
+    same = [F.lit(background[0][c]).alias(c) for c in names[4:]]
+    asked, real = [], lp.margins
+    monkeypatch.setattr(lp, "margins", lambda d, m: asked.append(d.count()) or real(d, m))
+    rows = df.where("borrower_id between 50 and 89").select("borrower_id", *models.FOUR)
+    got = {(r.borrower_id, r.feature): r.wanted for r in models.coalition_contributions(spark, rows, background, same, model).collect()}
+    assert len(asked) == 1 and asked[0] < 40 * 16 * 8 / 4
+    drawn = df.where("borrower_id < 8").select(*models.FOUR, *same)
+    found = lp.tree_contributions(rows.select("borrower_id", *models.FOUR, *same), "borrower_id", names, drawn, model).collect()
+    for r in found:
+        assert abs(r.contribution - got.get((r.borrower_id, r.feature), 0.0)) < 1e-9
+    assert len(got) == 160 and max(abs(v) for v in got.values()) > 0.01
