@@ -21,11 +21,12 @@ from pyspark.ml.regression import GBTRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize, shared_folder
+from ..session import materialize, shared_folder, spread
 from .shapley import BACKGROUND_ROWS
 
 LEAVES = "tree int, leaf int, value double, features array<int>, lows array<double>, highs array<double>"
-CELLS = 1 << 21  # leaf visits held in memory at once
+CELLS = 1 << 19  # leaf visits held in memory at once
+PARTS = 1 << 21  # leaves times ways to meet their conditions, up to which their contributions are kept
 
 
 def _ensemble(model: PipelineModel) -> GBTClassificationModel | GBTRegressionModel:
@@ -97,6 +98,11 @@ class LeafTable:
             n = len(row["features"])
             self.feature[at, :n], self.low[at, :n], self.high[at, :n] = row["features"], row["lows"], row["highs"]
         self.full = (1 << self.width) - 1
+        # Leaves share their conditions; one that always holds fills up the width.
+        edges = np.stack([self.feature.ravel(), self.low.ravel(), self.high.ravel()], axis=1)
+        self.conditions, number = np.unique(edges, axis=0, return_inverse=True)
+        self.condition = number.reshape(shape)
+        self.known = self.parts = self.place = None
         codes = [self._codes(background[at : at + self._rows()]) for at in range(0, len(background), self._rows())]
         found, counts = np.unique(np.concatenate(codes), return_counts=True) if codes else (np.zeros(0, np.int64),) * 2
         self.leaf, self.mask = found >> self.width, found & self.full
@@ -118,10 +124,11 @@ class LeafTable:
         """For each row and leaf: the leaf, and a bit per feature on its way whose interval holds the row."""
         # A missing number turns right at every split, as a number beyond all edges does.
         rows = np.maximum(np.where(np.isnan(rows), np.inf, rows), np.finfo(float).min)
+        x = rows[:, self.conditions[:, 0].astype(int)]
+        inside = (x <= self.conditions[:, 2]) & ~(x <= self.conditions[:, 1])
         mask = np.zeros((len(rows), len(self.value)), np.int64)
         for at in range(self.width):
-            x = rows[:, self.feature[:, at]]
-            mask |= ((x <= self.high[:, at]) & ~(x <= self.low[:, at])).astype(np.int64) << at
+            mask |= inside[:, self.condition[:, at]].astype(np.int64) << at
         return (mask | (np.arange(len(self.value)) << self.width)).ravel()
 
     def contributions(self, rows: np.ndarray) -> np.ndarray:
@@ -131,7 +138,24 @@ class LeafTable:
 
     def _some(self, rows: np.ndarray) -> np.ndarray:
         n, features = rows.shape
-        pairs, number = np.unique(self._codes(rows), return_inverse=True)
+        if self.place is None:
+            self.place = (self.feature.ravel()[:, None] == np.arange(features)).astype(float)
+        codes = self._codes(rows)
+        if len(self.value) << self.width > PARTS:
+            pairs, number = np.unique(codes, return_inverse=True)
+            parts = self._parts(pairs)[number.ravel()]
+        else:
+            if self.known is None:
+                self.known = np.zeros(len(self.value) << self.width, bool)
+                self.parts = np.zeros((len(self.known), self.width))
+            fresh = np.unique(codes[~self.known[codes]])
+            if len(fresh):
+                self.parts[fresh], self.known[fresh] = self._parts(fresh), True
+            parts = self.parts[codes]
+        return parts.reshape(n, -1) @ self.place
+
+    def _parts(self, pairs: np.ndarray) -> np.ndarray:
+        """Contribution of each condition on a leaf's way, for pairs of a leaf and a mask."""
         leaf, mask = pairs >> self.width, pairs & self.full
         # Every pair of leaf and mask meets the masks the background has in that leaf.
         counts = self.first[leaf + 1] - self.first[leaf]
@@ -144,16 +168,12 @@ class LeafTable:
         scale = self.share[other] * self.value[leaf[pair]]
         plus, minus = scale * self.plus[own, theirs], scale * self.minus[own, theirs]
         against = np.bincount(pair, minus, len(pairs))
-        total = np.zeros(n * features)
-        row = np.repeat(np.arange(n), len(self.value))
+        out = np.zeros((len(pairs), self.width))
         for at in range(self.width):
             only_own = (self.mask[other] >> at & 1) == 0
             gain = np.bincount(pair[only_own], plus[only_own], len(pairs))
-            inside = (mask >> at & 1) == 1
-            part = np.where(inside, gain, -against)
-            place = row * features + np.tile(self.feature[:, at], n)
-            total += np.bincount(place, part[number.ravel()], n * features)
-        return total.reshape(n, features)
+            out[:, at] = np.where((mask >> at & 1) == 1, gain, -against)
+        return out
 
 
 def tree_contributions(
@@ -165,7 +185,7 @@ def tree_contributions(
     ``columns`` are the model's inputs in order. A row's contributions add up to its margin less the
     mean margin of ``background``. The leaves of the model (their number is set by its trees and
     depth, not by the data) and the background, at most ``most_background`` rows or it raises, are sent
-    to the tasks; rows are explained in one pass without a shuffle. Null features count as missing.
+    to the tasks; rows are dealt to all cores and explained in one pass. Null features count as missing.
     ``leaves`` spares reading the model again.
     """
     spark = df.sparkSession
@@ -193,7 +213,7 @@ def tree_contributions(
                  pa.array(rows.ravel(), from_pandas=True), pa.array(found.ravel())],
                 [key, "feature", "value", "contribution"])
 
-    given = df.select(key, *[F.col(c).cast("double").alias(c) for c in columns])
+    given = spread(df.select(key, *[F.col(c).cast("double").alias(c) for c in columns]))
     kind = given.schema[key].dataType.simpleString()
     return given.mapInArrow(run, f"`{key}` {kind}, feature string, value double, contribution double")
 

@@ -62,3 +62,8 @@ def materialize(df, purpose: str):
     path = shared_folder(spark, purpose)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df):
+    """``df`` dealt evenly to all cores, for work that takes long per row: small files would be one task."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

@@ -144,3 +144,17 @@ def test_worth_of_coalitions_is_asked_once_for_equal_members(spark, frame, monke
     for r in found:
         assert abs(r.contribution - got.get((r.borrower_id, r.feature), 0.0)) < 1e-9
     assert len(got) == 160 and max(abs(v) for v in got.values()) > 0.01
+
+
+def test_kept_parts_and_rows_on_all_cores(spark, frame, boosted, monkeypatch):
+    background = frame.where("id < 40")
+    lines = [np.array([[r[c] for c in COLUMNS] for r in d.orderBy("id").collect()]) for d in (frame, background)]
+    table = lp.LeafTable(lp.leaf_paths(spark, boosted).orderBy("tree", "leaf").collect(), lines[1])
+    asked, real = [], table._parts
+    monkeypatch.setattr(table, "_parts", lambda pairs: asked.append(len(pairs)) or real(pairs))
+    kept = [table.contributions(lines[0]) for _ in range(2)]
+    assert len(asked) == 1 and np.array_equal(*kept)  # the second time all are known
+    monkeypatch.setattr(lp, "PARTS", 0)
+    assert np.allclose(table.contributions(lines[0]), kept[0], atol=1e-12) and len(asked) == 2
+    found = lp.tree_contributions(frame.coalesce(1), "id", COLUMNS, background, boosted)
+    assert found.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
