@@ -99,6 +99,33 @@ def test_sampled_contributions_add_up(spark):
     assert total[1] == pytest.approx(5.0 - 0.75) and total[2] == pytest.approx(4.0 - 0.75)
 
 
+def test_sampled_contributions_ask_no_prediction_twice(spark):
+    df = spark.range(6).select("id", *[(F.col("id") * n + 0.5 * n).alias(c) for n, c in enumerate(COLUMNS, 1)])
+    background, asked = spark.createDataFrame([(0.5, -1.0, 2.0), (1.0, 0.0, 3.0)], "a double, b double, c double").coalesce(1), []
+
+    def predict(d):
+        asked.append(d.count())
+        return d.withColumn("prob", F.col("a") * F.col("b") - F.col("c") * F.col("a"))
+
+    found = rows(shapley.sampled_contributions(df, "id", COLUMNS, background, predict, 5))
+    assert sorted(asked) == [2, 6, 6 * 5 * 2] and len(found) == 18
+    # The same draws, with every pair of predictions asked for itself.
+    other, lines = rows(background), {r["id"]: r for r in rows(df)}
+    hashes = df.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(4)))).select(
+        "id", "s", F.pmod(F.xxhash64("id", "s"), F.lit(2)).alias("row"), F.array(*[F.xxhash64("id", "s", F.lit(i)) for i in range(3)]).alias("turn"))
+    wanted = {}
+    for h in hashes.collect():
+        mixed = dict(other[h.row])
+        for i in sorted(range(3), key=lambda i: h.turn[i]):
+            before = mixed["a"] * mixed["b"] - mixed["c"] * mixed["a"]
+            mixed[COLUMNS[i]] = lines[h.id][COLUMNS[i]]
+            change = mixed["a"] * mixed["b"] - mixed["c"] * mixed["a"] - before
+            wanted[h.id, COLUMNS[i]] = wanted.get((h.id, COLUMNS[i]), 0.0) + change / 5
+    assert all(r["contribution"] == pytest.approx(wanted[r["id"], r["feature"]]) and r["value"] == lines[r["id"]][r["feature"]] for r in found)
+    alone = rows(shapley.sampled_contributions(df, "id", ["a"], background.select("a"), lambda d: d.withColumn("prob", 2 * F.col("a")), 3), "id")
+    assert len(alone) == 6 and all(-2.0 <= 2 * r["value"] - r["contribution"] <= 2.0 for r in alone.values())
+
+
 def test_training_and_batch_scoring(spark, tmp_path):
     inputs = [table(spark, FOLDER, n) for n in ("borrowers", "long_transactions", "payments")]
     small = {"maxIter": 2, "maxDepth": 2}
