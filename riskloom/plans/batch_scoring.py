@@ -18,6 +18,7 @@ from ..operators import explain, quality
 from ..operators.decision import score_frame
 from ..operators.encode import FeatureModel
 from ..operators.profile import borrower_features, with_utilization
+from ..session import spread
 from .training import read_manifest
 
 MODEL_VERSION = "1.0.0"
@@ -53,8 +54,8 @@ class Scorer:
         )
 
     def score(self, matrix: DataFrame, keep: list[str], drawn: str | None = None, limit: str | None = None) -> DataFrame:
-        """The nine score columns for finished feature rows."""
-        scored = matrix
+        """The nine score columns for finished feature rows, which are dealt to all cores."""
+        scored = spread(matrix)
         for name, model in self.pd_models.items():
             scored = model.predict(scored, f"_pd_{name}")
         combined = ensemble.combine({f"_pd_{n}": self.weights[n] for n in self.pd_models})
