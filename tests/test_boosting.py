@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -115,3 +117,19 @@ def test_only_the_smaller_child_is_counted(monkeypatch):
     assert np.array_equal(nodes["rows"][left] + nodes["rows"][right], nodes["rows"][inner])
     both = np.array([forest.codes[f] <= c for f, c in zip(nodes["feature"][:1], nodes["cut"][:1])])[0]
     assert nodes["rows"][left[0]] == both.sum() and np.isclose(nodes["stats"][left[0], 0], forest.weight[both].sum())
+
+
+def test_tasks_that_share_the_rows_do_not_wait_a_second_a_level(spark, data, monkeypatch, tmp_path):
+    """48 levels, which took as many seconds by the exchange of a barrier stage; rows held back get the margins of one task."""
+    monkeypatch.setattr(boosting, "ADDED", 5)
+    settings = {"maxIter": 12, "maxDepth": 3, "subsamplingRate": 1.0, "featureSubsetStrategy": "all"}
+    prepare, trees = estimators.boosted_classifier(COLUMNS, "y", True, **settings).getStages()
+    prepared, held, found = prepare.transform(data), F.col("i") % 3 == 0, []
+    for cells in (boosting.TASK_CELLS, 1200):
+        monkeypatch.setattr(boosting, "TASK_CELLS", cells)
+        begun = time.monotonic()
+        trees.write_margins(prepared, held, str(tmp_path / str(cells)))
+        found.append(spark.read.parquet(str(tmp_path / str(cells))).toPandas().sort_values(["label", "margin"]).to_numpy())
+    assert time.monotonic() - begun < 40
+    assert found[0].shape == found[1].shape == (300, 2) and set(found[1][:, 0]) == {0.0, 1.0}
+    assert (np.abs(found[0] - found[1]) < 1e-9).all(axis=1).mean() > 0.98
