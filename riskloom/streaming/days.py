@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from .sinks import started
+
 DAY, ORDER, VERSION = "_day", "_order", "version"
 UNDATED = "undated"
 COMPACT_AFTER = 8
@@ -127,13 +129,13 @@ def write_days(
     def write(df: DataFrame, batch_id: int) -> None:
         add_batch(transform(df) if transform else df, batch_id, path, keys, day, add, compact_after)
 
-    return (
+    writer = (
         stream.writeStream.foreachBatch(write)
         .outputMode(mode)
         .option("checkpointLocation", f"{path}/checkpoint")
         .trigger(**(trigger or {"availableNow": True}))
-        .start()
     )
+    return started(writer, stream.sparkSession)
 
 
 def read_days(

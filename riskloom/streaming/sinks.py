@@ -10,9 +10,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 BATCH = "batch"
+PARTITIONS = "spark.sql.shuffle.partitions"
+
+
+def started(writer: DataStreamWriter, spark: SparkSession) -> StreamingQuery:
+    """Starts the stream with a state partition per core, or fewer where the session says so.
+
+    A state writes files for each partition and batch, be it empty or not, and AQE doesn't coalesce them: with some hundreds
+    they take longer than the rows. The number holds for the life of the checkpoint.
+    """
+    usual = spark.conf.get(PARTITIONS)
+    spark.conf.set(PARTITIONS, str(min(int(usual), max(1, spark.sparkContext.defaultParallelism))))
+    try:
+        return writer.start()  # takes its own copy of the settings
+    finally:
+        spark.conf.set(PARTITIONS, usual)
 
 
 def write_batches(
@@ -28,13 +43,13 @@ def write_batches(
         out = transform(df) if transform else df
         out.write.mode("overwrite").parquet(f"{path}/data/{BATCH}={batch_id}")
 
-    return (
+    writer = (
         stream.writeStream.foreachBatch(write)
         .outputMode(mode)
         .option("checkpointLocation", f"{path}/checkpoint")
         .trigger(**(trigger or {"availableNow": True}))
-        .start()
     )
+    return started(writer, stream.sparkSession)
 
 
 def read_batches(spark: SparkSession, path: str) -> DataFrame:

@@ -152,3 +152,20 @@ def test_shadow_answers_late_missing_failed_and_repeated(spark, tmp_path):
     misses = {r["application_id"]: r["reason"] for r in rows(jobs.shadow_misses(pairs, "challenger_pd"))}
     assert misses == {"late": "no answer", "none": "no answer", "failed": "failed", "early": "no answer"}
     assert pairs.count() == 8
+
+
+def test_state_has_a_partition_per_core_at_most(spark, tmp_path):
+    """Each partition of a state writes files in every batch, with 64 some hundreds a batch for these two rows."""
+    path, usual = str(tmp_path / "out"), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.createDataFrame([(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:00:01")], "k int, at string").selectExpr(
+        "k", "cast(at as timestamp) at").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k int, at timestamp").parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        stream_sinks.drain(jobs.first_seen(stream, "k", "at"), path)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "64"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
+    stored = [p.name for p in (tmp_path / "out" / "checkpoint" / "state" / "0").iterdir() if p.name.isdigit()]
+    assert 0 < len(stored) <= spark.sparkContext.defaultParallelism < 64
+    assert stream_sinks.read_batches(spark, path).count() == 1
