@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import clip
 from ..operators.evaluate import rank_metrics
+from ..session import spread
 
 GRID_STEPS = 10
 BUCKETS = 4096
-ODDS = 14.0  # log odds of the outermost buckets, beyond those of the probabilities told apart
+ODDS = 14.0  # log odds of the outermost buckets
 ROUNDING = 1e-9
+CHUNK = 1 << 18  # rows counted at once
 
 
 def normalised(weights: dict[str, float]) -> dict[str, float]:
@@ -52,42 +56,85 @@ def _around(best: dict[str, float], span: float, steps: int) -> list[dict[str, f
     return near
 
 
-def _fanned(df: DataFrame, candidates: list[dict[str, float]], label: str) -> DataFrame:
-    combined = F.array(
-        *[F.struct(F.lit(i).alias("candidate"), combine(w).alias("prob")) for i, w in enumerate(candidates)]
-    )
-    return df.select(F.col(label).alias("label"), F.inline(combined))
+def _counts(df: DataFrame, candidates: list[dict[str, float]], label: str, value: str, place: Callable) -> DataFrame:
+    """``(candidate, <value>, pos, rows)``: counts per value that ``place`` gives a candidate's probabilities.
+
+    Rows are taken some hundred thousands at a time, a candidate after the other, so that what is counted stays small; a
+    value comes once per candidate and such a chunk. Rows that lack a probability are left out.
+    """
+    models = list(candidates[0])
+    weights = [[normalised(w)[m] for m in models] for w in candidates]
+    given = df.select((F.col(label) == 1).alias("y"), *[F.col(m).cast("double").alias(m) for m in models])
+    kind = "int" if value == "bucket" else "double"
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for positive, columns in _chunks(batches, len(models)):
+            for candidate, shares in enumerate(weights):
+                prob = shares[0] * columns[0]
+                for share, column in zip(shares[1:], columns[1:], strict=True):
+                    prob = prob + share * column
+                found, at, rows = np.unique(place(prob), return_inverse=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(found), candidate), pa.int32()), pa.array(found, pa.int32() if kind == "int" else pa.float64()),
+                     pa.array(np.bincount(at, positive, len(found)).astype(np.int64)), pa.array(rows)],
+                    ["candidate", value, "pos", "rows"])
+
+    # A small file is one task's; each of its rows counts once per candidate.
+    return spread(given).mapInArrow(count, f"candidate int, {value} {kind}, pos long, rows long")
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Marks of positive rows and the probabilities of each model, of rows that have all of them."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= CHUNK:
+            yield from _whole_rows(held, width)
+            held, size = [], 0
+    if size:
+        yield from _whole_rows(held, width)
+
+
+def _whole_rows(held: list[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    table = pa.Table.from_batches(held)
+    there = np.ones(table.num_rows, bool)
+    for at in range(width):
+        there &= table.column(1 + at).is_valid().to_numpy()
+    if there.any():
+        positive = table.column(0).fill_null(False).to_numpy()
+        yield positive[there], [table.column(1 + at).to_numpy()[there] for at in range(width)]
 
 
 def weight_metrics(df: DataFrame, candidates: list[dict[str, float]], label: str = "label") -> DataFrame:
     """AUC of every candidate in one job: (candidate, auc_roc).
 
-    A row fans out to one probability per candidate, a number fixed by the grid; equal
-    probabilities are combined before they are shuffled.
+    A row counts once per candidate, a number fixed by the grid; equal probabilities are combined before they are shuffled.
     """
-    fanned = _fanned(df, candidates, label)
-    return rank_metrics(fanned, ["candidate"], groups=len(candidates)).select("candidate", "auc_roc")
+    counted = _counts(df, candidates, label, "prob", lambda prob: prob + 0.0)  # no negative zero beside zero
+    return rank_metrics(counted, ["candidate"], None, groups=len(candidates)).select("candidate", "auc_roc")
 
 
-def _bucket(prob: Column) -> Column:
-    """Number of a bucket, rising with the probability: even steps of its log odds, where models differ."""
-    p = clip(prob, 1e-6, 1 - 1e-6)
-    return F.when(F.isnan(prob), F.lit(BUCKETS)).otherwise(
-        F.floor((F.ln(p / (1 - p)) + F.lit(ODDS)) * F.lit(BUCKETS / (2 * ODDS))).cast("int"))
+def _bucket_edges(buckets: int) -> np.ndarray:
+    """Lower edges of all buckets but the first: even steps of the log odds, where models differ."""
+    return 1 / (1 + np.exp(-(np.arange(1, buckets) * (2 * ODDS / buckets) - ODDS)))
 
 
 def auc_bounds(df: DataFrame, candidates: list[dict[str, float]], label: str = "label") -> DataFrame:
     """(candidate, lower, upper): bounds of the AUC of every candidate, from counts per bucket.
 
     Pairs of a positive and a negative row in different buckets are decided, the others may fall either way.
-    Shuffled are at most ``BUCKETS`` counts per candidate and task, however many rows there are.
+    Shuffled are at most ``BUCKETS`` counts and one for NaN per candidate and task, however many rows there are.
     """
+    edges, beyond = _bucket_edges(BUCKETS), BUCKETS
+
+    def bucket(prob: np.ndarray) -> np.ndarray:
+        return np.where(np.isnan(prob), beyond, np.searchsorted(edges, prob, "right"))
+
     counted = (
-        _fanned(df, candidates, label)
-        .filter(F.col("prob").isNotNull())
-        .select("candidate", (F.col("label") == 1).alias("y"), _bucket(F.col("prob")).alias("bucket"))
+        _counts(df, candidates, label, "bucket", bucket)
         .groupBy("candidate", "bucket")
-        .agg(F.count_if("y").alias("pos"), F.count(F.lit(1)).alias("rows"))
+        .agg(F.sum("pos").alias("pos"), F.sum("rows").alias("rows"))
         .withColumn("neg", F.col("rows") - F.col("pos"))
     )
     above = Window.partitionBy("candidate").orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)

@@ -19,12 +19,14 @@ AUC_GATE = 0.70
 
 
 def curve_steps(
-    df: DataFrame, by: list[str], label: str = "label", prob: str = "prob", groups: int | None = None
+    df: DataFrame, by: list[str], label: str | None = "label", prob: str = "prob", groups: int | None = None
 ) -> DataFrame:
-    """Distinct probabilities in ascending order with running counts of positives and rows."""
-    return value_steps(
-        df, by, prob, {"pos": F.when(F.col(label) == 1, 1).otherwise(0), "rows": F.lit(1)}, groups
-    )
+    """Distinct probabilities in ascending order with running counts of positives and rows.
+
+    Without a label the rows are counts already: ``pos`` and ``rows`` of a probability.
+    """
+    counts = {"pos": F.when(F.col(label) == 1, 1).otherwise(0), "rows": F.lit(1)} if label else {c: F.col(c) for c in ("pos", "rows")}
+    return value_steps(df, by, prob, counts, groups)
 
 
 def _negatives(suffix: str) -> Column:
@@ -32,7 +34,7 @@ def _negatives(suffix: str) -> Column:
 
 
 def rank_metrics(
-    df: DataFrame, by: list[str], label: str = "label", prob: str = "prob", groups: int | None = None
+    df: DataFrame, by: list[str], label: str | None = "label", prob: str = "prob", groups: int | None = None
 ) -> DataFrame:
     """AUC (ties by mid-rank), Gini and the KS statistic; null where only one class is present."""
     neg, neg_all = F.col("rows") - F.col("pos"), _negatives("_all")

@@ -3,8 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from riskloom.models import ensemble
+from riskloom.operators.evaluate import rank_metrics
 
 
 def frame(spark, rows):
@@ -50,3 +52,19 @@ def test_odd_numbers(spark):
 def test_one_class_or_no_rows_give_equal_weights(spark):
     for rows in ([], [(1, 0.1, 0.2, 0.3), (1, 0.4, 0.5, 0.6)]):
         assert ensemble.search_weights(frame(spark, rows), ["a", "b", "c"]) == pytest.approx({m: 1 / 3 for m in "abc"})
+
+
+def test_rows_of_one_file_are_counted_by_all_cores(spark, monkeypatch):
+    """One task counted each row once per candidate; bounds and ranks of chunks are those of plain Spark."""
+    monkeypatch.setattr(ensemble, "CHUNK", 50)
+    rows = [*made(5), (1, None, 0.2, 0.1), (0, 0.4, 0.3, float("nan")), (None, 0.3, 0.3, 0.3)]
+    df, grid = frame(spark, rows).coalesce(1), ensemble.weight_grid(["a", "b", "c"], 4)
+    counted = ensemble._counts(df, grid, "label", "prob", lambda p: p)
+    assert counted.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert {r["n"] for r in counted.groupBy("candidate").agg(F.sum("rows").alias("n")).collect()} == {len(rows) - 1}
+    fanned = df.select("label", F.inline(F.array(*[
+        F.struct(F.lit(i).alias("candidate"), ensemble.combine(w).alias("prob")) for i, w in enumerate(grid)])))
+    wanted = {r["candidate"]: r["auc_roc"] for r in rank_metrics(fanned, ["candidate"]).collect()}
+    assert {r["candidate"]: r["auc_roc"] for r in ensemble.weight_metrics(df, grid).collect()} == wanted
+    for r in ensemble.auc_bounds(df, grid).collect():
+        assert r["lower"] <= wanted[r["candidate"]] + 1e-12 and wanted[r["candidate"]] <= r["upper"] + 1e-12
