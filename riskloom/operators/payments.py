@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import clip, known, ratio_floor, total
+from ..functions import known, ratio_floor, total
 
 PAYMENT_FEATURES = [
     "on_time_payment_rate",
@@ -51,20 +51,17 @@ def _calendar(payments: DataFrame, key: str) -> DataFrame:
 
 
 def _recent_slope() -> Column:
-    """Slope of days late over the last payments, from runs of equal values.
+    """Slope of days late over the last payments, from those that stand newest in each month.
 
-    A run holding ``taken`` payments that start at recency ``first`` adds the sums of
-    first..first+taken-1 and of their squares; recency counts backwards, hence the sign.
+    Recency counts backwards from the newest payment, hence the sign.
     """
-    taken, first, late = F.col("taken"), F.col("first"), F.coalesce(F.col("late_days"), F.lit(0.0))
-    x = taken * first + taken * (taken - 1) / 2
-    xx = (
-        taken * first * first
-        + first * taken * (taken - 1)
-        + (taken - 1) * taken * (2 * taken - 1) / 6
-    )
-    n, sx, sxx = F.sum(taken), F.sum(x), F.sum(xx)
-    sy, sxy = F.sum(taken * late), F.sum(x * late)
+    sums = []
+    for place in range(TREND_PAYMENTS):
+        x = F.col("_rows_later") + place
+        counts = (F.col("rows") > place) & (x < TREND_PAYMENTS)
+        sums.append([F.when(counts, value.cast("double")).otherwise(0.0) for value in (
+            F.lit(1), x, x * x, F.col(f"late_{place}"), x * F.col(f"late_{place}"))])
+    n, sx, sxx, sy, sxy = (F.sum(sum(of[1:], of[0])) for of in zip(*sums, strict=True))
     spread = n * sxx - sx * sx
     return F.when(n >= 2, -(n * sxy - sx * sy) / F.nullif(spread, F.lit(0.0))).otherwise(F.lit(0.0))
 
@@ -72,8 +69,8 @@ def _recent_slope() -> Column:
 def payment_features(payments: DataFrame, key: str = "borrower_id") -> DataFrame:
     """Features of a borrower's payments, newest first.
 
-    Payments are ordered within a borrower's month, and months within a borrower, so the rows
-    of a borrower with very many payments are spread over as many tasks as there are months.
+    Payments are ordered within a borrower's month and added up by month, then months within a borrower, so the rows
+    of a borrower with very many payments are spread over as many tasks as there are months. Payments are read once.
     A null due date counts as the newest and makes a month of its own. Rows without a key are left out.
     """
     newest_first = Window.partitionBy(key, "month").orderBy(
@@ -84,42 +81,41 @@ def payment_features(payments: DataFrame, key: str = "borrower_id") -> DataFrame
     up_to_here = newest_first.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     later = Window.partitionBy(key).orderBy(F.col("month").desc()).rowsBetween(Window.unboundedPreceding, -1)
     month = F.coalesce(F.trunc("due_date", "month"), F.lit("9999-12-31").cast("date"))
-    calendar = _calendar(payments, key).withColumn("month", month)
-    months = (
-        calendar.groupBy(key, "month")
-        .agg(F.sum("rows").alias("_rows"), F.max("broken").alias("_broken"))
-        .select(
-            key,
-            "month",
-            F.coalesce(F.sum("_rows").over(later), F.lit(0)).alias("_rows_later"),
-            F.coalesce(F.max("_broken").over(later), F.lit(False)).alias("_broken_later"),
-        )
+    placed = _calendar(payments.filter(F.col(key).isNotNull()), key).withColumn("month", month).select(
+        "*",
+        F.sum("rows").over(up_to_here).alias("_rows_here"),
+        F.max("broken").over(up_to_here).alias("_broken_here"),
     )
-    placed = (
-        calendar.select(
-            "*",
-            F.sum("rows").over(up_to_here).alias("_rows_here"),
-            F.max(F.col("broken")).over(up_to_here).alias("_broken_here"),
-        )
-        .join(months, [key, "month"])
-        .withColumn("_so_far", F.col("_rows_later") + F.col("_rows_here"))
-        .withColumn("_broken_since", F.col("_broken_later") | F.col("_broken_here"))
-        .withColumn("first", (F.col("_so_far") - F.col("rows")).cast("double"))
-        .withColumn(
-            "taken",
-            clip(F.lit(float(TREND_PAYMENTS)) - F.col("first"), 0.0, F.col("rows").cast("double")),
-        )
+    late, zero = F.col("late_days"), F.lit(0.0)
+
+    def late_at(place: int) -> Column:
+        """Days late of the payment that stands so many places from the month's newest."""
+        there = (F.col("_rows_here") > place) & (F.col("_rows_here") - F.col("rows") <= place)
+        return F.max(F.when(there, F.coalesce(late, zero))).alias(f"late_{place}")
+
+    months = placed.groupBy(key, "month").agg(
+        F.sum("rows").alias("rows"),
+        F.sum(F.when(~F.col("broken"), F.col("rows")).otherwise(0)).alias("on_time"),
+        F.sum(late * F.col("rows")).alias("late"),
+        F.sum(F.when(late.isNotNull(), F.col("rows"))).alias("late_rows"),
+        F.max("late_days").alias("late_most"),
+        F.sum("missed").alias("missed"),
+        F.sum("paid_ratio").alias("paid_ratio"),
+        F.sum("paid_ratios").alias("paid_ratios"),
+        F.max("broken").alias("broken"),
+        F.sum(F.when(~F.col("_broken_here"), F.col("rows")).otherwise(0)).alias("streak"),
+        *[late_at(place) for place in range(TREND_PAYMENTS)],
+    ).select(
+        "*",
+        F.coalesce(F.sum("rows").over(later), F.lit(0)).alias("_rows_later"),
+        F.coalesce(F.max("broken").over(later), F.lit(False)).alias("_broken_later"),
     )
-    weight = F.when(F.col("late_days").isNotNull(), F.col("rows"))
-    zero = F.lit(0.0)
-    return placed.groupBy(key).agg(
-        (F.sum(F.when(~F.col("broken"), F.col("rows")).otherwise(0)) / F.sum("rows")).alias("on_time_payment_rate"),
-        F.coalesce(F.try_divide(F.sum(F.col("late_days") * F.col("rows")), F.sum(weight)), zero).alias(
-            "avg_days_past_due"
-        ),
-        F.coalesce(F.max("late_days"), zero).alias("max_days_past_due"),
+    return months.groupBy(key).agg(
+        (F.sum("on_time") / F.sum("rows")).alias("on_time_payment_rate"),
+        F.coalesce(F.try_divide(F.sum("late"), F.sum("late_rows")), zero).alias("avg_days_past_due"),
+        F.coalesce(F.max("late_most"), zero).alias("max_days_past_due"),
         F.sum("missed").alias("missed_payment_count"),
         F.coalesce(F.try_divide(total(F.col("paid_ratio")), F.sum("paid_ratios")), zero).alias("payment_amount_ratio"),
-        F.sum(F.when(~F.col("_broken_since"), F.col("rows")).otherwise(0)).alias("consecutive_on_time"),
+        F.sum(F.when(~F.col("_broken_later"), F.col("streak")).otherwise(0)).alias("consecutive_on_time"),
         F.coalesce(_recent_slope(), zero).alias("payment_trend_3m"),
     )

@@ -64,3 +64,16 @@ def test_single_and_all_on_time(spark):
     found = rows(payment_features(df), "borrower_id")
     assert found["one"]["consecutive_on_time"] == 0 and found["one"]["payment_trend_3m"] == 0.0
     assert found["good"]["consecutive_on_time"] == 2 and found["good"]["missed_payment_count"] == 0
+
+
+def test_payments_are_read_once_and_months_meet_in_order(spark, capsys):
+    """The calendar was made twice and joined to itself. Three months, the newest with one payment, the next with two of a day."""
+    made = [("a", dt.datetime(2024, m, d), 10.0, 10.0, late, "on_time" if not late else "late")
+            for m, d, late in ((3, 1, 0), (2, 9, 0), (2, 9, 6), (1, 5, 0), (1, 4, 50))]
+    df = payment_features(spark.createDataFrame([*made, (None, dt.datetime(2024, 1, 1), 1.0, 1.0, 9, "late")], SCHEMA))
+    df.explain()
+    assert "Join" not in capsys.readouterr().out
+    found = rows(df, "borrower_id")
+    assert set(found) == {"a"} and found["a"]["consecutive_on_time"] == 1
+    # Newest first: 0, 6, 0 days late, then the others.
+    assert found["a"]["payment_trend_3m"] == pytest.approx(0.0) and found["a"]["max_days_past_due"] == 50
