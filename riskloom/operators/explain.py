@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import computed_once
+
 # Reason code and wording per feature.
 REASON_CODES = {
     "credit_utilization_ratio": ("AA001", "High credit utilization ratio"),
@@ -60,16 +62,19 @@ def linear_contributions(
     """Add ``contributions``, strongest first: coefficient times distance from the background mean.
 
     ``scaling`` holds mean and deviation per feature; ``centre`` the background mean in
-    unscaled units where it differs from the scaling mean. Order of equals is by name.
+    unscaled units where it differs from the scaling mean. Order of equals is by name. Each
+    contribution is worked out once, as a column; entries read it from there.
     """
-    entries = []
+    held, entries = {}, []
     for feature, weight in coefficients.items():
         mean, deviation = scaling[feature]
         origin = (centre or {}).get(feature, mean)
         value = F.col(feature).cast("double")
         scaled = (value - F.lit(float(origin))) / F.lit(float(deviation) or 1.0)
-        entries.append(_entry(feature, value, F.lit(float(weight)) * scaled))
-    return df.withColumn("contributions", F.sort_array(F.array(*entries)))
+        name = f"_contribution_{len(held)}"
+        held[name] = F.lit(float(weight)) * scaled
+        entries.append(_entry(feature, value, F.col(name)))
+    return df.withColumns(held).withColumn("contributions", F.sort_array(F.array(*entries))).drop(*held)
 
 
 def from_long(contributions: DataFrame, key: str) -> DataFrame:
@@ -169,5 +174,8 @@ def notice(reasoned: DataFrame, key: str) -> DataFrame:
 
 
 def declined_only(df: DataFrame) -> DataFrame:
-    """Reasons are owed for declined applications; filtering first keeps the rest unexplained."""
-    return df.filter(F.col("decision") == "declined")
+    """Reasons are owed for declined applications; filtering first keeps the rest unexplained.
+
+    Pass only the columns needed: a decision is worked out once per row, and so is every other column.
+    """
+    return computed_once(df).filter(F.col("decision") == "declined")

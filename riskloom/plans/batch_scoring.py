@@ -99,7 +99,7 @@ def declined_reasons(
     """
     columns = scorer.features.columns
     explained_model = scorer.pd_models[model or max(scorer.weights, key=scorer.weights.get)]
-    declined = matrix.join(explain.declined_only(scored).select(key), key, "left_semi")
+    declined = matrix.join(explain.declined_only(scored.select(key, "decision")).select(key), key, "left_semi")
     if isinstance(explained_model.model.stages[-1], GBTClassificationModel):
         long = tree_contributions(declined, key, columns, background, explained_model.model)
     else:

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(master: str | None = None, app: str = "riskloom", **conf: str) -> SparkSession:
@@ -64,6 +65,17 @@ def materialize(df, purpose: str):
     return spark.read.schema(df.schema).parquet(path)
 
 
+def computed_once(df):
+    """``df`` with its columns worked out before any filter on them.
+
+    The optimiser moves a filter below the projections it reads from and repeats their expressions
+    there, once per mention, for every row of the scan. It moves none below a generator, so all columns
+    pass through one; those that nobody reads are worked out too, hence select first.
+    """
+    columns = [F.col("`" + c.replace("`", "``") + "`").alias(c) for c in df.columns]
+    return df.select(F.inline_outer(F.array(F.struct(*columns))))
+
+
 def spread(df):
     """``df`` dealt evenly to all cores, for work that takes long per row: small files would be one task."""
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from riskloom.operators import explain, profile
 from riskloom.operators.scale import fit_scaling
+from riskloom.session import computed_once
 
 from .features import CREDIT_SQL, PROFILE_SQL, RATIO_SQL
 from .evaluation import SCORE_SQL, _OWN_EAD, scored_applications
@@ -136,11 +137,14 @@ FROM reasons WHERE borrower_id IN (SELECT borrower_id FROM decided WHERE decisio
     ),
 )
 def _(spark, folder):
-    declined = explain.declined_only(scored_applications(spark, folder)).select("borrower_id")
-    explained = _explained(spark, folder).join(declined, "borrower_id", "left_semi")
+    filled = _filled(table(spark, folder, "borrowers"))
+    decided = scored_applications(spark, folder).select("borrower_id", "decision")
+    owed = filled.join(explain.declined_only(decided).select("borrower_id"), "borrower_id", "left_semi")
+    explained = explain.linear_contributions(owed, COEFFICIENTS, fit_scaling(filled, FEATURES))
     notices = explain.notice(explain.adverse_reasons(explained), "borrower_id")
     lines = F.transform("adverse_action_reasons", lambda r: F.concat(r["code"], F.lit(": "), r["reason"]))
-    return notices.select("borrower_id", F.array_join(lines, "; ").alias("notice")).filter("notice <> ''")
+    written = computed_once(notices.select("borrower_id", F.array_join(lines, "; ").alias("notice")))
+    return written.filter("notice <> ''")
 
 
 @query(
