@@ -133,3 +133,26 @@ def test_tasks_that_share_the_rows_do_not_wait_a_second_a_level(spark, data, mon
     assert time.monotonic() - begun < 40
     assert found[0].shape == found[1].shape == (300, 2) and set(found[1][:, 0]) == {0.0, 1.0}
     assert (np.abs(found[0] - found[1]) < 1e-9).all(axis=1).mean() > 0.98
+
+
+def test_features_counted_at_once_have_the_histograms_of_each(monkeypatch):
+    """Also: rows left out of a tree's draw come to their leaf with the others, no tree is walked again for the margins."""
+    rng = np.random.default_rng(5)
+    x = np.column_stack([rng.normal(size=(9000, 3)), rng.integers(0, 5, (9000, 2)), rng.random((9000, 9)) < 0.3, np.ones(9000)]).astype(float)
+    y, weight = (x[:, 0] * x[:, 1] + x[:, 3] + x[:, 7] > 1.5).astype(float), rng.integers(1, 4, 9000).astype(float)
+    settings = boosting.Settings(4, 5, 0.1, 0.7, 12, 32, 2, 0.0, 7, True, True)
+    forest = boosting.Forest(x, y, weight, settings, boosting.Peers())
+    assert sorted(sum(forest.bundles, [])) == list(range(15)) and len(forest.bundles) < 7
+    slot, picked, value = rng.integers(0, 3, 6000), np.sort(rng.choice(9000, 6000, replace=False)), rng.normal(size=6000)
+    alone = forest._histograms(forest.codes, slot, value, weight[picked], 3, picked)
+    together = forest._histograms(forest.codes, slot, value, weight[picked], 3, picked, forest.packed)
+    for a, b in zip(alone, together, strict=True):
+        assert np.allclose(a[:, forest.held], b[:, forest.held], atol=1e-9)
+    assert np.array_equal(alone[0][:, forest.held], together[0][:, forest.held])
+
+    walked, real = [], boosting._ends
+    monkeypatch.setattr(boosting, "_ends", lambda *a: walked.append(1) or real(*a))
+    grown = list(forest.grow())
+    assert not walked
+    wanted = sum(forest.step(tree) * boosting._values(nodes, forest.codes) for tree, nodes in enumerate(grown))
+    assert np.allclose(forest.margin, wanted, atol=1e-12)
