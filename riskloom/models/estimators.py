@@ -22,6 +22,7 @@ from ..operators.split import class_weights
 from .boosting import BoostedTrees
 from .calibration import calibrated
 from .crosses import WeightedMachine
+from .tree_scores import margin
 
 WEIGHT = "_weight"
 MIN_SEVERITY_ROWS = 10
@@ -55,7 +56,11 @@ class Classifier:
     temperature: float | None = None
 
     def predict(self, df: DataFrame, name: str = "pd") -> DataFrame:
-        scored, prob = self.model.transform(df), vector_to_array("_probability")[1]
+        scored, grown = df, margin(df, self.model)
+        if grown is None:
+            scored, prob = self.model.transform(df), vector_to_array("_probability")[1]
+        else:
+            prob = 1 - 1 / (1 + F.exp(2 * grown))
         prob = prob if self.temperature is None else calibrated(prob, self.temperature)
         return scored.select(*df.columns, prob.alias(name))
 
@@ -197,8 +202,11 @@ class Regressor:
     model: PipelineModel
 
     def predict(self, df: DataFrame, name: str) -> DataFrame:
-        scored = self.model.transform(df)
-        return scored.select(*df.columns, clip(F.col("_value"), 0.0, 1.0).alias(name))
+        return self.unclipped(df).select(*df.columns, clip(F.col("_value"), 0.0, 1.0).alias(name))
+
+    def unclipped(self, df: DataFrame) -> DataFrame:
+        grown = margin(df, self.model)
+        return self.model.transform(df) if grown is None else df.withColumn("_value", grown)
 
     def save(self, path: str) -> None:
         self.model.write().overwrite().save(path)
@@ -223,7 +231,7 @@ class TwoStageLGD:
         scored = self.chance.predict(df, "_chance")
         if self.severity is None:
             return scored.withColumn(name, F.lit(0.0)).drop("_chance")
-        sized = self.severity.model.transform(scored)
+        sized = self.severity.unclipped(scored)
         return sized.select(*df.columns, clip(F.col("_chance") * F.col("_value"), 0.0, 1.0).alias(name))
 
     def save(self, path: str) -> None:
