@@ -18,7 +18,7 @@ from ..operators import explain, quality
 from ..operators.decision import score_frame
 from ..operators.encode import FeatureModel
 from ..operators.profile import borrower_features, with_utilization
-from ..session import spread
+from ..session import computed_once, spread
 from .training import read_manifest
 
 MODEL_VERSION = "1.0.0"
@@ -76,9 +76,10 @@ def score_applications(
 ) -> tuple[DataFrame, DataFrame]:
     """Decisions for the valid applications, and the quarantined ones with their reasons.
 
-    ``use_balance`` takes drawn and limit from the application instead of the defaults.
+    ``use_balance`` takes drawn and limit from the application instead of the defaults. A small file is one task's, so
+    applications are dealt to all cores before they are judged.
     """
-    valid, rejected = quality.split_valid(applications, quality.application_rules())
+    valid, rejected = quality.split_valid(computed_once(spread(applications)), quality.application_rules())
     matrix = scorer.matrix(valid, key)
     drawn, limit = ("current_credit_balance", "total_credit_limit") if use_balance else (None, None)
     return scorer.score(matrix, [key], drawn, limit), rejected
