@@ -11,7 +11,7 @@ from riskloom.models import ensemble, estimators, leaf_paths, shapley, tuning
 from riskloom.models.side_by_side import side_by_side, training_table
 from riskloom.operators import evaluate, profile, split
 from riskloom.plans import batch_scoring, training
-from riskloom.session import materialize, shared_folder
+from riskloom.session import materialize, shared_folder, spread
 
 from .evaluation import _OWN_EAD, _SPLIT, MODELS
 from .explanation import FEATURES
@@ -371,5 +371,5 @@ def _(spark, folder):
     applications = table(spark, folder, "borrowers").withColumn("application_id", F.col("borrower_id"))
     scored, _ = batch_scoring.score_applications(applications, scorer, use_balance=True)
     scored = materialize(scored, "scores")
-    notices = batch_scoring.declined_reasons(scorer.matrix(applications), scored, scorer, run.background)
+    notices = batch_scoring.declined_reasons(scorer.matrix(spread(applications)), scored, scorer, run.background)
     return batch_scoring.responses(scored, notices)
