@@ -7,6 +7,7 @@ from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from riskloom.models import boosting, estimators
+from riskloom.models.side_by_side import side_by_side
 
 COLUMNS = ["a", "b", "c", "d"]
 
@@ -159,9 +160,18 @@ def test_features_counted_at_once_have_the_histograms_of_each(monkeypatch):
 
 
 def test_a_fit_among_many_deals_no_rows(spark, data, monkeypatch, tmp_path):
-    """The table stays where it is; 60 fits would write it out 60 times. Up to 64 million numbers are one task's."""
+    """The table stays where it is; 60 fits would write it out 60 times."""
     prepare, trees = estimators.boosted_classifier(COLUMNS, "y", False, maxIter=2, maxDepth=2).getStages()
     monkeypatch.setattr(type(data), "repartition", lambda *a: 1 / 0)
     trees.write_margins(prepare.transform(data), F.col("i") % 3 == 0, str(tmp_path / "margins"))
     assert spark.read.parquet(str(tmp_path / "margins")).count() == 300
-    assert 49_000_000 <= boosting.TASK_CELLS
+
+
+def test_a_fit_beside_others_is_one_task_where_a_lone_one_is_dealt(spark, data, monkeypatch):
+    pipeline, dealt, real = estimators.boosted_regressor(COLUMNS, "z", maxIter=2, maxDepth=2), [], boosting.BoostedTrees._dealt
+    monkeypatch.setattr(boosting.BoostedTrees, "_dealt", lambda *a: dealt.append(1) or real(*a))
+    monkeypatch.setattr(boosting, "TASK_CELLS", 1200)
+    side_by_side(spark, {"a": lambda: pipeline.fit(data), "b": lambda: pipeline.fit(data)})
+    assert not dealt and 49_000_000 <= boosting.BESIDE_CELLS
+    side_by_side(spark, {"a": lambda: pipeline.fit(data)})
+    assert len(dealt) == 1
